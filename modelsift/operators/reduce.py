@@ -39,7 +39,17 @@ def feature_names(df: DataFrame, c: str = "features") -> list[str]:
     for group in df.schema[c].metadata.get("ml_attr", {}).get("attrs", {}).values():
         for a in group:
             names[a["idx"]] = a.get("name") or names[a["idx"]]
-    return names
+    return [_plain(n) for n in names]
+
+
+def _plain(name: str) -> str:
+    """Drop the marks of the internal branch columns from a slot name."""
+    for mark in ("_all_", "_sel_", "_num_", "_txt_"):
+        if name.startswith(mark):
+            name = name[len(mark):]
+    for mark in ("__tail", "__vec"):
+        name = name.replace(mark, "")
+    return name.lstrip("_")
 
 
 class _Stage(Estimator, DefaultParamsReadable, DefaultParamsWritable):

@@ -25,6 +25,7 @@ from .base import FEATURES, FOLD, LABEL, ROW, Candidate, Problem
 from .registry import get_registered_models
 
 Progress = Callable[[int, str], None]
+ROWS_PER_TASK = 20_000
 
 
 @dataclass
@@ -197,11 +198,15 @@ class Recommender:
         rest = flagged.filter("not _test").drop("_test")
         # a different seed, so that folds are not nested in the split order
         train = split.fold_column(rest, self.folds, ROW, by, self.seed + 1, FOLD)
-        cores = slim.sparkSession.sparkContext.defaultParallelism
-        if train.rdd.getNumPartitions() < cores:
-            train = train.repartition(cores, ROW)
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
-        self.log.add("Split", f"train {train.count()} rows, test {test.count()} rows")
+        n_train, parts = train.count(), train.rdd.getNumPartitions()
+        # many short jobs follow: a small table is better served by few tasks, an unsplit one by more
+        wanted = max(1, math.ceil(n_train / ROWS_PER_TASK))
+        if wanted < parts:
+            train = train.coalesce(wanted)
+        elif parts < min(wanted, slim.sparkSession.sparkContext.defaultParallelism):
+            train = train.repartition(min(wanted, slim.sparkSession.sparkContext.defaultParallelism), ROW)
+        self.log.add("Split", f"train {n_train} rows, test {test.count()} rows")
         return Prepared(problem, train, test, rules, leaks, dropped)
 
     # --- candidates

@@ -271,7 +271,10 @@ def oob_score(frame: DataFrame, is_classification: bool, n_trees: int = 20, seed
     unseen = [(bag_weight(F.col(ROW), t, seed) == 0).cast("double") for t in range(n_trees)]
     votes = F.aggregate(F.array(*unseen), F.lit(0.0), lambda a, x: a + x)
     if is_classification:
-        parts = [F.transform(vector_to_array(F.col(f"q{t}")), lambda v, u=u: v * u) for t, u in enumerate(unseen)]
+        def masked(q: str, u: Column) -> Column:
+            return F.transform(vector_to_array(F.col(q)), lambda v: v * u)
+
+        parts = [masked(f"q{t}", u) for t, u in enumerate(unseen)]
         total = F.aggregate(F.slice(F.array(*parts), 2, max(n_trees - 1, 1)), F.get(F.array(*parts), F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
         pick = (F.array_position(total, F.array_max(total)) - 1).cast("double")
         seen = out.select(LABEL, votes.alias("v"), pick.alias("p")).filter("v > 0")
