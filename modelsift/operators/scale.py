@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark import keyword_only
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
@@ -90,46 +91,78 @@ class LogTransform(ColumnEstimator):
         return LogModel.of(columns, {c: None for c in columns})
 
 
-GRID = [x / 2 for x in range(-4, 5)]  # first lambdas tried
-POINTS, PASSES, BOUND = 9, 5, 32.0
+SAMPLE_ROWS, BOUND = 10_000, 32.0
+STEPS = (0.03, 0.005)  # spacing of the lambdas tried on the whole column, coarse then fine
+AROUND = range(-3, 4)
+
+
+def _likelihood(n: float, var: float | None, jac: float, lam: float) -> float:
+    if var is None or not math.isfinite(var) or var <= 0:
+        return -math.inf
+    return -n / 2 * math.log(var) + (lam - 1) * jac
+
+
+def _sample_lambda(x: np.ndarray, method: str) -> float:
+    """Start value: the best lambda of a small sample, by repeated refinement."""
+    x = x[np.isfinite(x)]
+    if len(x) < 3:
+        return 1.0
+    up, size = x >= 0, np.log1p(np.abs(x))
+    logs = np.log(x) if method == "box-cox" else None
+    jac = float(logs.sum() if logs is not None else (np.sign(x) * size).sum())
+
+    def value(lam: float) -> float:
+        if logs is not None:
+            t = logs if abs(lam) < 1e-12 else np.expm1(lam * logs) / lam
+        else:
+            mu = 2 - lam
+            t = np.where(up, size if abs(lam) < 1e-12 else np.expm1(lam * size) / lam, -size if abs(mu) < 1e-12 else -np.expm1(mu * size) / mu)
+        return _likelihood(len(x), float(t.var()), jac, lam)
+
+    with np.errstate(all="ignore"):
+        best, step = max(np.arange(-8.0, 8.5, 0.5), key=value), 0.5
+        while step > 0.01:
+            step /= 4
+            best = max([best + step * i for i in range(-4, 5)], key=value)
+    return float(best)
 
 
 def fit_lambdas(df: DataFrame, columns: list[str], method: str) -> dict[str, float]:
     """Maximum-likelihood lambda of each column.
 
-    Each pass is one scan that evaluates the log likelihood of all columns on a few lambdas; the next pass brackets
-    the best one.  The last bracket is closed with the vertex of the parabola through its three best points.
+    A small sample says where to look.  Each further pass is one scan that evaluates the log likelihood of all columns
+    on a few lambdas, moving on while the best lies on the edge of those tried; the last bracket is closed with the
+    vertex of the parabola through its three best points.
     """
     change = TRANSFORMS[method]
-    base = df.select(*[number(df, c).alias(f"c{i}") for i, c in enumerate(columns)])
     names = [f"c{i}" for i in range(len(columns))]
-    exprs = {}
+    base = df.select(*[number(df, c).alias(k) for c, k in zip(columns, names)])
+    exprs = {"rows": F.count(F.lit(1))}
     for k in names:
         exprs[f"{k}|n"], exprs[f"{k}|j"], exprs[f"{k}|s"] = F.count(k), F.sum(log_jacobian(method, F.col(k))), F.stddev_pop(k)
     fixed = agg_row(base, exprs)
     live = [k for k in names if fixed[f"{k}|n"] and fixed[f"{k}|s"]]
-    grid = {k: list(GRID) for k in live}
-    step = {k: 0.5 for k in live}
+    if not live:
+        return {c: 1.0 for c in columns}
+    few = base.sample(min(1.0, SAMPLE_ROWS / fixed["rows"]), seed=42).toPandas()
+    centre = {k: _sample_lambda(few[k].to_numpy(dtype=float), method) for k in live}
+    step = {k: STEPS[0] for k in live}
     seen: dict[str, dict[float, float]] = {k: {} for k in live}
-    for _ in range(64):
-        todo = {k: [x for x in g if x not in seen[k]] for k, g in grid.items()}
-        if not any(todo.values()):
-            break
-        got = agg_row(base, {f"{k}|{x!r}": F.var_pop(change(F.col(k), x)) for k, g in todo.items() for x in g}, 100)
-        for k, g in todo.items():
-            n, j = fixed[f"{k}|n"], fixed[f"{k}|j"]
-            for x in g:
-                v = got[f"{k}|{x!r}"]
-                ok = v is not None and math.isfinite(v) and v > 0
-                seen[k][x] = -n / 2 * math.log(v) + (x - 1) * j if ok else -math.inf
+    grid = {k: [centre[k] + step[k] * i for i in AROUND] for k in live}
+    while any(grid.values()):
+        got = agg_row(base, {f"{k}|{x!r}": F.var_pop(change(F.col(k), x)) for k, g in grid.items() for x in g}, 120)
+        for k, g in grid.items():
+            if not g:
+                continue
+            seen[k].update({x: _likelihood(fixed[f"{k}|n"], got[f"{k}|{x!r}"], fixed[f"{k}|j"], x) for x in g})
             best = max(seen[k], key=lambda x: (seen[k][x], -abs(x)))
             if best in (min(seen[k]), max(seen[k])) and abs(best) < BOUND:
                 side = 1 if best == max(seen[k]) else -1
-                grid[k] = [best + side * step[k] * i for i in range(1, POINTS)]
-            elif step[k] > 0.5 / 4 ** (PASSES - 1):
-                fine = step[k] / 4
-                grid[k] = [best + fine * i for i in range(-3, 4) if i]
-                step[k] = fine
+                step[k] *= 2  # the sample pointed elsewhere: look further out
+                grid[k] = [best + side * step[k] * i for i in (1, 2, 3)]
+            elif step[k] > STEPS[-1]:
+                step[k] = STEPS[-1] if step[k] <= STEPS[0] else max(STEPS[0], step[k] / 4)
+                grid[k] = [best + step[k] * i for i in AROUND if i]
             else:
                 grid[k] = []
     out = {c: 1.0 for c in columns}
@@ -144,8 +177,7 @@ def fit_lambdas(df: DataFrame, columns: list[str], method: str) -> dict[str, flo
             d1, d2 = (s[best] - s[left]) / h1, (s[right] - s[best]) / h2
             curve = (d2 - d1) / (h1 + h2)
             if curve < 0:
-                vertex = (left + best) / 2 - d1 / (2 * curve)
-                best = min(max(vertex, left), right)
+                best = min(max((left + best) / 2 - d1 / (2 * curve), left), right)
         out[c] = best
     return out
 

@@ -8,7 +8,7 @@ columns the hash covers all columns; copies of a row then share a side, so give
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,57 +16,107 @@ from pyspark.sql import functions as F
 from ..errors import ConfigurationError, InsufficientDataError
 from ..functions.columns import col, ratio
 from ..functions.hashing import hash60, row_keys
-from .encode import sorted_levels
+from .encode import require_few_levels, sorted_levels
 from .order_stats import order_statistics
 
 TEST_SHARE, SEED, FOLDS = 0.2, 42, 3  # fixed values
 HASH, MAX_CLASSES = "_hash", 1000
 
 
+SPAN = 1 << 60  # hashes are uniform on [0, SPAN)
+SIGMAS, GATHER = 7.0, 100_000
+
+
 def _levels(df: DataFrame, by: str) -> list:
     return sorted_levels(df, [by], MAX_CLASSES)[by]
 
 
-def _hashed(df: DataFrame, keys: Sequence[str], seed: int, by: str | None) -> DataFrame:
-    return df.select(hash60(keys, seed).alias(HASH), *([col(by).alias("_by")] if by else []))
+def _by_level(pairs: list[tuple], by: Column) -> Column:
+    """The value of a row's level; a small map."""
+    return F.element_at(F.create_map(*[F.lit(v) if not isinstance(v, Column) else v for kv in pairs for v in kv]), by)
 
 
-def _series(levels: list | None) -> dict[str, Column]:
-    if levels is None:
-        return {"all": F.col(HASH)}
-    return {str(i): F.when(F.col("_by") == F.lit(v), F.col(HASH)) for i, v in enumerate(levels)}
+def _intervals(n: int, probs: Sequence[float]) -> list[tuple[int, int]]:
+    """Where the order statistics near each probability lie, as disjoint hash ranges."""
+    out: list[tuple[int, int]] = []
+    for p in sorted(probs):
+        half = SIGMAS * math.sqrt(p * (1 - p) / n) + 3.0 / n
+        lo, hi = max(0, int((p - half) * SPAN)), min(SPAN, int((p + half) * SPAN))
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def _by_level(levels: list | None, by: str | None, values: dict[str, Column]) -> Column:
-    if levels is None:
-        return values["all"]
-    out = None
-    for i, v in enumerate(levels):
-        out = F.when(col(by) == F.lit(v), values[str(i)]) if out is None else out.when(col(by) == F.lit(v), values[str(i)])
+def hash_cutoffs(
+    df: DataFrame, keys: Sequence[str], seed: int, by: str | None, levels: Sequence | None, probs: Sequence[float], ranks: Callable[[int, float], int],
+) -> dict:
+    """``{level: (n, {p: hash at rank ranks(n, p)})}``, exact.
+
+    The hash is uniform, so the place of each cut is known up to a few standard errors from the level counts alone.
+    One aggregation then counts the rows between those ranges and the distinct hashes inside them: about the square
+    root of the row count per cut.  Copies of one key fold into one counted hash.
+    """
+    tagged = df.select(hash60(keys, seed).alias(HASH), (col(by) if by else F.lit("all")).alias("_by"))
+    levels = ["all"] if by is None else list(levels if levels is not None else _levels(df, by))
+    counted = {r["_by"]: r["n"] for r in tagged.groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect() if r["_by"] is not None}
+    counts = {v: counted.get(v, 0) for v in levels}
+    live = [v for v in levels if counts[v]]
+    out = {v: (counts[v], dict.fromkeys(probs)) for v in levels}
+    large = [v for v in live if 2 * SIGMAS * math.sqrt(counts[v]) > GATHER]
+    small = [v for v in live if v not in large]
+    if small:
+        zones = {v: _intervals(counts[v], probs) for v in small}
+        arrays = [(v, F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for lo, hi in zones[v]])) for v in small]
+        h = F.col(HASH)
+        spots = _by_level(arrays, F.col("_by"))
+        cells = (
+            tagged.filter(F.col("_by").isin(small)).withColumn("_z", spots)
+            .select(
+                "_by", F.size(F.filter("_z", lambda z: h > z["hi"])).alias("seg"),
+                F.when(F.exists("_z", lambda z: h.between(z["lo"], z["hi"])), h).alias("h"),
+            )
+            .groupBy("_by", "seg", "h").agg(F.count(F.lit(1)).alias("n")).collect()
+        )
+        for v in small:
+            rows = sorted((r for r in cells if r["_by"] == v), key=lambda r: (r["seg"], -1 if r["h"] is None else r["h"]))
+            for p in probs:
+                want, below = min(max(ranks(counts[v], p), 0), counts[v] - 1), 0
+                for r in rows:
+                    if below <= want < below + r["n"]:
+                        out[v][1][p] = r["h"]
+                        break
+                    below += r["n"]
+    # a table too large for one gathering, or a cut outside its range, goes through the general search
+    rest = [v for v in live if any(out[v][1][p] is None for p in probs)]
+    if rest:
+        series = {str(i): F.when(F.col("_by") == F.lit(v), F.col(HASH)) for i, v in enumerate(rest)}
+        found = order_statistics(tagged, series, probs, lambda n, p: [ranks(n, p)])
+        for i, v in enumerate(rest):
+            out[v] = (counts[v], {p: found[str(i)][1][p][0] for p in probs})
     return out
 
 
 def train_test_flag(
     df: DataFrame, key: Sequence[str] | str | None = None, stratify: str | None = None,
-    test_share: float = TEST_SHARE, seed: int = SEED, output: str = "is_test",
+    test_share: float = TEST_SHARE, seed: int = SEED, output: str = "is_test", levels: Sequence | None = None,
 ) -> DataFrame:
     """Adds a boolean column: the ``test_share`` of rows (of each class when stratified) with the lowest hashes."""
     if not 0 < test_share < 1:
         raise ConfigurationError("test share must lie between 0 and 1", share=test_share)
     keys = row_keys(df, key)
-    levels = _levels(df, stratify) if stratify else None
 
     def size(n: int) -> int:
         return math.floor(test_share * n + 0.5) if stratify else math.ceil(test_share * n - 1e-9)
 
-    found = order_statistics(_hashed(df, keys, seed, stratify), _series(levels), [test_share], lambda n, p: [size(n) - 1])
-    values: dict[str, Column] = {}
-    for name, (n, by_p) in found.items():
+    found = hash_cutoffs(df, keys, seed, stratify, levels, [test_share], lambda n, p: size(n) - 1)
+    cuts = []
+    for v, (n, by_p) in found.items():
         if stratify and n < 2:
-            raise InsufficientDataError("a class needs at least two rows", column=stratify, value=levels[int(name)])
-        take = size(n)
-        values[name] = hash60(keys, seed) <= F.lit(by_p[test_share][0]) if take > 0 else F.lit(False)
-    return df.withColumn(output, _by_level(levels, stratify, values))
+            raise InsufficientDataError("a class needs at least two rows", column=stratify, value=v)
+        cuts.append((v, by_p[test_share] if size(n) > 0 else -1))
+    return df.withColumn(output, hash60(keys, seed) <= _by_level(cuts, col(stratify) if stratify else F.lit("all")))
 
 
 def train_test_split(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
@@ -76,28 +126,25 @@ def train_test_split(df: DataFrame, **kw) -> tuple[DataFrame, DataFrame]:
 
 def fold_column(
     df: DataFrame, folds: int = FOLDS, key: Sequence[str] | str | None = None, stratify: str | None = None,
-    seed: int = SEED, output: str = "fold",
+    seed: int = SEED, output: str = "fold", levels: Sequence | None = None,
 ) -> DataFrame:
     """Adds an int fold number; fold sizes (per class when stratified) differ by at most one row."""
     if folds < 2:
         raise ConfigurationError("at least two folds are needed", folds=folds)
     keys = row_keys(df, key)
-    levels = _levels(df, stratify) if stratify else None
     probs = [j / folds for j in range(1, folds)]
-    found = order_statistics(
-        _hashed(df, keys, seed, stratify), _series(levels), probs,
-        lambda n, p: [-(-round(p * folds) * n // folds)],
-    )
-    values: dict[str, Column] = {}
-    for name, (n, by_p) in found.items():
-        if levels is None and n < folds:
+    first = lambda n, p: -(-round(p * folds) * n // folds)  # noqa: E731 - first rank of the fold
+    found = hash_cutoffs(df, keys, seed, stratify, levels, probs, first)
+    cuts = []
+    for v, (n, by_p) in found.items():
+        if stratify is None and n < folds:
             raise InsufficientDataError("fewer rows than folds", rows=n, folds=folds)
-        v = F.lit(0)
-        for j, p in enumerate(probs, 1):
-            if math.ceil(j * n / folds) < n:
-                v = v + (hash60(keys, seed) >= F.lit(by_p[p][0])).cast("int")
-        values[name] = v
-    return df.withColumn(output, _by_level(levels, stratify, values))
+        # a fold without rows starts above every hash
+        starts = [by_p[p] if n and first(n, p) < n else SPAN for p in probs]
+        cuts.append((v, F.array(*[F.lit(int(x)) for x in starts])))
+    starts = _by_level(cuts, col(stratify) if stratify else F.lit("all"))
+    h = hash60(keys, seed)
+    return df.withColumn(output, sum(((h >= F.get(starts, F.lit(j))).cast("int") for j in range(folds - 1)), F.lit(0)))
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
@@ -108,10 +155,6 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, target: str, output: str = "weight") -> DataFrame:
-    levels = _levels(df, target)
-    rows = {r["class"]: r["weight"] for r in class_weights(df, target).collect()}
-    case = None
-    for v in levels:
-        test, w = col(target) == F.lit(v), F.lit(float(rows[v]))
-        case = F.when(test, w) if case is None else case.when(test, w)
-    return df.withColumn(output, case)
+    require_few_levels(df, [target], MAX_CLASSES)
+    rows = class_weights(df, target).collect()
+    return df.withColumn(output, _by_level([(r["class"], float(r["weight"])) for r in rows], col(target)))

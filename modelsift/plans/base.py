@@ -15,7 +15,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ModelExportError, ModelNotFittedError, ModelTrainingError
@@ -54,7 +54,8 @@ def parallel(jobs: Sequence[Callable], width: int) -> list:
     if width <= 1 or len(jobs) <= 1:
         return [j() for j in jobs]
     with ThreadPool(min(width, len(jobs))) as pool:
-        spark_safe = [inheritable_thread_target(j) for j in jobs]
+        keep_session = inheritable_thread_target(SparkSession.getActiveSession())
+        spark_safe = [keep_session(j) for j in jobs]
         return pool.map(lambda j: j(), spark_safe)
 
 

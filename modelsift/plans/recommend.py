@@ -192,12 +192,12 @@ class Recommender:
         )
         coded = schema.remainder(coded, "passthrough")
         slim = coded.select(ROW, LABEL, *[col(c) for c in [*problem.numeric, *problem.text, *problem.flags]])
-        by = LABEL if task == schema.CLASSIFICATION else None
-        flagged = split.train_test_flag(slim, key=ROW, stratify=by, seed=self.seed, output="_test")
+        by, levels = (LABEL, [float(i) for i in range(len(classes))]) if classes else (None, None)
+        flagged = split.train_test_flag(slim, key=ROW, stratify=by, seed=self.seed, output="_test", levels=levels)
         test = flagged.filter("_test").drop("_test").persist(StorageLevel.MEMORY_AND_DISK)
         rest = flagged.filter("not _test").drop("_test")
         # a different seed, so that folds are not nested in the split order
-        train = split.fold_column(rest, self.folds, ROW, by, self.seed + 1, FOLD)
+        train = split.fold_column(rest, self.folds, ROW, by, self.seed + 1, FOLD, levels)
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
         n_train, parts = train.count(), train.rdd.getNumPartitions()
         # many short jobs follow: a small table is better served by few tasks, an unsplit one by more
