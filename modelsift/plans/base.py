@@ -54,7 +54,7 @@ def parallel(jobs: Sequence[Callable], width: int) -> list:
     if width <= 1 or len(jobs) <= 1:
         return [j() for j in jobs]
     with ThreadPool(min(width, len(jobs))) as pool:
-        keep_session = inheritable_thread_target(SparkSession.getActiveSession())
+        keep_session = inheritable_thread_target(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate())
         spark_safe = [keep_session(j) for j in jobs]
         return pool.map(lambda j: j(), spark_safe)
 
