@@ -4,24 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import INTEGRAL, abs_pearson, col, field_of, is_numeric, number, numeric_columns, ratio
+from ..functions.columns import INTEGRAL, abs_pearson, chunks, col, field_of, is_numeric, number, numeric_columns, ratio
 from .schema import FEW_LEVELS, split_features
 
 # fixed values of the rules
 LARGE_ROWS, STRONG_R, WEAK_R, WEAK_MIN_ROWS, RARE_SHARE, ALPHA = 20_000, 0.7, 0.2, 100, 0.1, 0.05
+COLUMNS_PER_SCAN = 3
 RULES = ("large_table", "wide_table", "normal_features", "strong_linear", "weak_linear", "rare_class")
 
 
-def _sum(cols: Sequence[Column]) -> Column:
-    total = cols[0]
-    for c in cols[1:]:
-        total = total + c
-    return total
-
-
 def normality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Jarque-Bera over whole columns: ``(feature, n, skewness, kurtosis, jarque_bera, p_value)``; one scan."""
     named = {f"c{i}": c for i, c in enumerate(columns)}
@@ -59,48 +53,50 @@ def class_share(df: DataFrame, target: str) -> DataFrame:
     return counts.select("class", "n", ratio(F.col("n"), total).alias("share"))
 
 
+def _column_facts(df: DataFrame, target: str, columns: Sequence[str], numeric_y: bool) -> DataFrame:
+    """One row per numeric column: ``(total, zeros, n, skewness, kurtosis, r)``.
+
+    A few columns share one aggregate and the aggregates are unioned: each branch scans only its own columns, and its
+    generated code stays small enough to be compiled to machine code.
+    """
+    out = None
+    for part in chunks(columns, COLUMNS_PER_SCAN):
+        view = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(part)], *([number(df, target).alias("y")] if numeric_y else []))
+        aggs = [F.count(F.lit(1)).alias("total")]
+        for i in range(len(part)):
+            v = F.col(f"v{i}")
+            aggs += [F.count_if(v == 0).alias(f"z{i}"), F.count(v).alias(f"n{i}"), F.skewness(v).alias(f"s{i}"), F.kurtosis(v).alias(f"k{i}")]
+            aggs.append((abs_pearson(v, F.col("y")) if numeric_y else F.max(F.lit(None).cast("double"))).alias(f"r{i}"))
+        rows = view.agg(*aggs).select("total", F.inline(F.array(*[
+            F.struct(*[F.col(f"{k}{i}").alias(name) for k, name in (("z", "zeros"), ("n", "n"), ("s", "skewness"), ("k", "kurtosis"), ("r", "r"))])
+            for i in range(len(part))
+        ])))
+        out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 def profile(df: DataFrame, target: str) -> DataFrame:
-    """One row ``(n_samples, n_features, ratio, sparsity, is_gaussian, linearity_score, max_linear_score)``; one scan."""
+    """One row ``(n_samples, n_features, ratio, sparsity, is_gaussian, linearity_score, max_linear_score)``."""
     features, _ = split_features(df, target)
     nums = numeric_columns(df, [target])
-    p = len(nums)
     numeric_y = is_numeric(field_of(df, target))
-    view = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(nums)], (number(df, target) if numeric_y else F.lit(None)).alias("y"))
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i in range(p):
-        v = F.col(f"v{i}")
-        aggs += [
-            F.count_if(v == 0).alias(f"z{i}"),
-            F.count(v).alias(f"n{i}"), F.skewness(v).alias(f"s{i}"), F.kurtosis(v).alias(f"k{i}"),
-        ]
-        if numeric_y:
-            aggs.append(abs_pearson(v, F.col("y")).alias(f"r{i}"))
-    row = view.agg(*aggs)
-    n = F.col("n")
-    sparsity = F.coalesce(ratio(_sum([F.col(f"z{i}") for i in range(p)]), n * p), F.lit(0.0)) if p else F.lit(0.0)
-    pvals = [
-        F.when(F.col(f"n{i}") >= 3, F.exp(-F.col(f"n{i}") / 12.0 * (F.col(f"s{i}") ** 2 + F.col(f"k{i}") ** 2 / 4.0)))
-        for i in range(p)
-    ]
-    if p:
-        tested = F.filter(F.array(*pvals), lambda x: x.isNotNull())
-        gaussian = (F.size(tested) > 0) & F.forall(tested, lambda x: x > ALPHA)
-    else:
-        gaussian = F.lit(False)
-    if p and numeric_y:
-        rs = F.filter(F.array(*[F.col(f"r{i}") for i in range(p)]), lambda x: x.isNotNull())
-        mean_r = ratio(F.aggregate(rs, F.lit(0.0), lambda a, x: a + x), F.nullif(F.size(rs), F.lit(0)))
-        max_r = F.array_max(rs)
+    if nums:
+        facts = _column_facts(df, target, nums, numeric_y)
+        p = F.exp(-F.col("n") / 12.0 * (F.col("skewness") ** 2 + F.col("kurtosis") ** 2 / 4.0))
+        tested = F.when(F.col("n") >= 3, p)
+        row = facts.agg(
+            F.max("total").alias("n"), F.coalesce(ratio(F.sum("zeros"), F.sum("total")), F.lit(0.0)).alias("sparsity"),
+            F.coalesce(F.bool_and(tested > ALPHA), F.lit(False)).alias("is_gaussian"),
+            *([F.avg("r").alias("mean_r"), F.max("r").alias("max_r")] if numeric_y else [F.max(F.lit(0.0)).alias("mean_r"), F.max(F.lit(0.0)).alias("max_r")]),
+        )
     else:
-        mean_r = max_r = F.lit(0.0)
+        row = df.agg(F.count(F.lit(1)).alias("n")).withColumns(
+            {"sparsity": F.lit(0.0), "is_gaussian": F.lit(False), "mean_r": F.lit(0.0), "max_r": F.lit(0.0)}
+        )
     return row.select(
-        n.alias("n_samples"),
-        F.lit(len(features)).cast("bigint").alias("n_features"),
-        (n / F.lit(float(max(len(features), 1)))).alias("ratio"),
-        sparsity.alias("sparsity"),
-        gaussian.alias("is_gaussian"),
-        mean_r.alias("linearity_score"),
-        max_r.alias("max_linear_score"),
+        F.col("n").alias("n_samples"), F.lit(len(features)).cast("bigint").alias("n_features"),
+        (F.col("n") / F.lit(float(max(len(features), 1)))).alias("ratio"), "sparsity", "is_gaussian",
+        F.col("mean_r").alias("linearity_score"), F.col("max_r").alias("max_linear_score"),
     )
 
 

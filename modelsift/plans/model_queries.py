@@ -6,6 +6,7 @@ Search spaces are narrowed here to keep a query short; every query reads its who
 from __future__ import annotations
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -325,7 +326,7 @@ def _ridge_folds(spark, sf):
     df = split.fold_column(base, 3, ROW, output=FOLD)
     cols = ["l_quantity", "l_discount", "l_tax"]
     df = _assembled(Scaler(inputCols=cols).fit(df).transform(df), cols).select(FEATURES, LABEL, FOLD, ROW)
-    return df
+    return df.persist(StorageLevel.MEMORY_AND_DISK)  # read twice per fold and batch
 
 
 def _ridge_scores(df: DataFrame, settings: list[dict]) -> list[float]:

@@ -352,11 +352,11 @@ def log1p(spark, sf):
 
 @query(
     "box_cox",
-    """with t as (select event_id, (power(value, 0.25) - 1) / 0.25 as t from events)
+    """with t as (select event_id, (power(value + 1, 0.25) - 1) / 0.25 as t from events)
        select event_id, round((t - (select avg(t) from t)) / (select stddev_pop(t) from t), 6) as value from t""",
 )
 def box_cox(spark, sf):
-    df = read_table(spark, sf, "events").select("event_id", "value")
+    df = read_table(spark, sf, "events").select("event_id", (F.col("value") + 1).alias("value"))
     return rounded(scale.PowerTransform(inputCols=["value"], method="box-cox", lambdas=[0.25]).fit(df).transform(df), value=6)
 
 
@@ -372,8 +372,8 @@ def yeo_johnson(spark, sf):
 
 @query("power_lambdas")
 def power_lambdas(spark, sf):
-    """Fitted lambdas: Box-Cox for the event values, Yeo-Johnson for the account balances."""
-    ev, cu = read_table(spark, sf, "events"), read_table(spark, sf, "customer")
+    """Fitted lambdas: Box-Cox for one plus the event values, Yeo-Johnson for the account balances."""
+    ev, cu = read_table(spark, sf, "events").select((F.col("value") + 1).alias("value")), read_table(spark, sf, "customer")
     rows = [("value", "box-cox", scale.fit_lambdas(ev, ["value"], "box-cox")["value"]),
             ("c_acctbal", "yeo-johnson", scale.fit_lambdas(cu, ["c_acctbal"], "yeo-johnson")["c_acctbal"])]
     return spark.createDataFrame(rows, "feature string, method string, fitted double")
