@@ -106,15 +106,19 @@ _NB = ["l_quantity", "l_extendedprice", "l_tax"]
 
 
 def _nb_sql() -> str:
+    """Both class densities side by side on each row; the line key need not be unique."""
     stats = ", ".join(f"avg({c}) as m{i}, var_pop({c}) as v{i}" for i, c in enumerate(_NB))
     top = "(select greatest(" + ", ".join(f"var_pop({c})" for c in _NB) + ") from lineitem)"
-    dens = " + ".join(f"ln(2 * pi() * (v{i} + 1e-6 * {top})) + power({c} - m{i}, 2) / (v{i} + 1e-6 * {top})" for i, c in enumerate(_NB))
+
+    def joint(t: str) -> str:
+        dens = " + ".join(f"ln(2 * pi() * ({t}.v{i} + 1e-6 * {top})) + power({c} - {t}.m{i}, 2) / ({t}.v{i} + 1e-6 * {top})" for i, c in enumerate(_NB))
+        return f"ln({t}.n / (select count(*) from lineitem)::double) - 0.5 * ({dens})"
+
     keys = ", ".join(LINE_KEY)
     return (
         f"with s as (select l_linestatus as k, count(*) as n, {stats} from lineitem group by 1), "
-        f"j as (select {keys}, k, ln(n / (select count(*) from lineitem)::double) - 0.5 * ({dens}) as j from lineitem, s) "
-        f"select {keys}, case when max(j) filter (k = 'O') > max(j) filter (k <> 'O') then 1.0 else 0.0 end::double as prediction, "
-        f"round(1 / (1 + exp(max(j) filter (k <> 'O') - max(j) filter (k = 'O'))), 6) as probability from j group by {keys}"
+        f"j as (select {keys}, {joint('a')} as f, {joint('b')} as o from lineitem, s a, s b where a.k = 'F' and b.k = 'O') "
+        f"select {keys}, case when o > f then 1.0 else 0.0 end::double as prediction, round(1 / (1 + exp(f - o)), 6) as probability from j"
     )
 
 
