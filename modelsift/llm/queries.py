@@ -1,4 +1,4 @@
 """Registers the queries of all operators in this subpackage."""
 
-from . import packing, simple8b  # noqa: F401
+from . import packing, simple8b, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
