@@ -1,4 +1,4 @@
 """Registers the queries of all operators in this subpackage."""
 
-from . import licenses, packing, simple8b, toxicity  # noqa: F401
+from . import jaccard, licenses, packing, simple8b, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
