@@ -1,4 +1,4 @@
 """Registers the queries of all operators in this subpackage."""
 
-from . import hyperplanes, jaccard, licenses, packing, simple8b, substrings, toxicity  # noqa: F401
+from . import hyperplanes, jaccard, licenses, packing, pstable, simple8b, substrings, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
