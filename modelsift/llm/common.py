@@ -48,6 +48,15 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BROADCAST_IDS = 1_000_000  # ids sent to every executor at most (8 MB); more are joined by a shuffle
+
+
+def rows_of(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows whose key is among ``ids`` (one column ``key``, a table).  Few ids, which are counted, go to the rows."""
+    few = ids.distinct()
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, key, "left_semi")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -220,7 +220,7 @@ def join(docs: DataFrame, n: int, num: int, den: int, key: str = "doc_id", text:
         return p.where(_close("x", "y", num, den)).select("a", "b")
 
     first = common.settled(near(stars), "pairs")
-    texts = common.settled(_rows(docs, key, text).where("doc_id is not null").join(described.select("doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts", compression="zstd")
+    texts = common.settled(common.rows_of(_rows(docs, key, text), described.select("doc_id")).dropDuplicates(["doc_id"]), "texts", compression="zstd")
     links = common.settled(_verify(first, texts, n, num, den), "verified")
     found = common.components(links)
 
