@@ -1,10 +1,9 @@
 """Suffix-array dedup: bytes that a repeated string covers, at any scale.
 
 A byte goes when a string of ``size`` bytes that covers it also starts in a document with a smaller id.  Sorting all suffixes of
-the corpus together cannot be shared out, so strings are first brought together by content.  Winnowing marks in every window of
-``size`` bytes the gram with the least hash; equal windows are marked at the same place.  Marks are exchanged as packed hashes;
-those that several documents hold are cut out with all windows around them and dealt to shards by their hash, so equal windows
-meet in one shard.  Each shard sorts its suffixes by external induced sorting; suffixes that share ``size`` bytes are one
+the corpus together cannot be shared out, so strings are first brought together by content.  Winnowing gives every window of
+``size`` bytes to the gram in it with the least hash, the same in equal windows.  Marks are exchanged as packed hashes; those that
+several documents hold are cut out with their windows and dealt to shards by their hash, so equal windows meet in one shard.  Each shard sorts its suffixes by external induced sorting; suffixes that share ``size`` bytes are one
 string, and the least document among them decides for all.  Copies are folded before each exchange: a text that its task has
 seen under a smaller id needs no marks, and equal cuts of a task travel once.
 """
@@ -27,13 +26,14 @@ from .suffixes import sorted_suffixes
 SIZE = 50
 GRAM = 24              # bytes of a marked gram
 CHUNK = 1 << 17        # bytes hashed together
-SHARD_TEXT = 32 << 20  # bytes of cut-out text sorted together; a larger shard is cut by mark hash
+BROADCAST_NUMBERS = 4_000_000  # numbers of the table of removed runs sent to every executor at most (32 MB); more are shuffled
 _FULL = b"\x01"
 
 
-def marks(texts: list[bytes], size: int = SIZE, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(index, places, hashes)`` for each text of at least ``size`` bytes: every window of ``size`` bytes holds a place, chosen by
-    the window's own bytes alone (more places may be given)."""
+def marks(texts: list[bytes], size: int = SIZE, gram: int = GRAM) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(index, first, count, hash)`` for each text of at least ``size`` bytes: every window of ``size`` bytes belongs to the gram in
+    it with the least hash, the last of equal ones, which its own bytes alone decide.  Windows of one gram are neighbours:
+    ``count`` of them from ``first``."""
     i = 0
     while i < len(texts):
         j, total = i, 0
@@ -44,28 +44,25 @@ def marks(texts: list[bytes], size: int = SIZE, gram: int = GRAM) -> Iterator[tu
         i = j
 
 
-def _marks(texts: list[bytes], i: int, j: int, size: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _marks(texts: list[bytes], i: int, j: int, size: int, gram: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     b = np.frombuffer(b"".join(texts[i:j]), np.uint8)
-    span = size - gram + 1  # grams in a window
     n = b.size - gram + 1
-    if n < span:
+    if b.size < size:
         return
     up, down = _powers(b.size)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up)))
     h = mix((sums[gram:] - sums[:-gram]) * down[:n])
-    top = (h >> np.uint64(33)).astype(np.uint32)
+    last_first = np.uint64(0xFFFFFFFF)
+    key = (h & ~last_first) | (last_first - np.arange(n, dtype=np.uint64))
+    place = (last_first - (_sliding(np.minimum, key, size - gram + 1) & last_first)).astype(np.int64)  # of each window's gram
     ends = np.cumsum([len(t) for t in texts[i:j]])
-    for e in ends[:-1]:  # grams across two texts are never least
-        top[max(0, e - gram + 1) : e] = 0xFFFFFFFF
-    least = _sliding(np.minimum, top, span)
-    most = _sliding(np.maximum, np.concatenate((np.zeros(span - 1, np.uint32), least, np.zeros(span - 1, np.uint32))), span)
-    at = np.flatnonzero((most == top) & (top != 0xFFFFFFFF))
-    cut = np.searchsorted(at, np.concatenate(([0], ends)))
     for k in range(i, j):
-        a, c = cut[k - i], cut[k - i + 1]
-        if len(texts[k]) >= size and c > a:
-            base = int(ends[k - i]) - len(texts[k])
-            yield k, at[a:c] - base, h[at[a:c]]
+        end = int(ends[k - i])
+        base, windows = end - len(texts[k]), len(texts[k]) - size + 1
+        if windows > 0:
+            own = place[base : base + windows]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            yield k, first, np.diff(np.concatenate((first, [windows]))), h[own[first]]
 
 
 def _sliding(op: Callable, x: np.ndarray, span: int) -> np.ndarray:
@@ -121,7 +118,7 @@ def _deal(shard: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _mark_rows(size: int, gram: int, shards: int) -> Callable:
-    """Rows ``shard, blob``: hashes (48 bits), document numbers and places of marks; ids of folded documents."""
+    """Rows ``shard, blob``: hashes (40 bits besides the shard) and document numbers of marks; ids of folded documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
@@ -137,92 +134,109 @@ def _mark_rows(size: int, gram: int, shards: int) -> Callable:
                     seen[key] = k
                     keep.append((k, t))
             got = list(marks([t for _, t in keep], size, gram))
-            names = np.array([keep[i][0] for i, _, _ in got], np.int64)
-            doc = np.repeat(np.arange(len(got), dtype=np.uint32), [len(p) for _, p, _ in got])
-            place = np.concatenate([p for _, p, _ in got] or [np.empty(0, np.int64)]).astype(np.uint32)
-            h = np.concatenate([x for _, _, x in got] or [np.empty(0, np.uint64)])
+            names = np.array([keep[g[0]][0] for g in got], np.int64)
+            doc = np.repeat(np.arange(len(got), dtype=np.uint32), [len(g[1]) for g in got])
+            h = np.concatenate([g[3] for g in got] or [np.empty(0, np.uint64)])
             rows = []
             for t, at in _deal((mix(h) % np.uint64(shards)).astype(np.int64), shards):
                 docs, number = np.unique(doc[at], return_inverse=True)
-                narrow = lambda v: v.astype(np.uint16 if v.max(initial=0) < 65536 else np.uint32)
-                rows.append((t, _pack((h[at] & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h[at] >> np.uint64(32) & np.uint64(0xFFFF)).astype(np.uint16), narrow(number), names[docs], narrow(place[at]), np.empty(0, np.int64))))
+                number = number.astype(np.uint16 if len(docs) <= 65536 else np.uint32)
+                rows.append((t, _pack(h[at].astype(np.uint32), (h[at] >> np.uint64(32)).astype(np.uint8), number, names[docs], np.empty(0, np.int64))))
             none = np.empty(0, np.uint32)
             for t in range(min(shards, len(folded))):
-                rows.append((t, _pack(none, none.astype(np.uint16), none, none.astype(np.int64), none, np.array(folded[t::shards], np.int64))))
+                rows.append((t, _pack(none, none.astype(np.uint8), none, none.astype(np.int64), np.array(folded[t::shards], np.int64))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
 
     return run
 
 
-def _by_doc(doc: np.ndarray, *columns: np.ndarray) -> pa.Table:
-    """One row per document with its packed columns."""
+def _by_doc(doc: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
+    """One row per document with the bytes of its columns, one after the other."""
     order = np.argsort(doc, kind="stable")
     doc = doc[order]
-    columns = tuple(c[order] for c in columns)
+    columns = [c[order] for c in columns]
     start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if doc.size else np.empty(0, np.int64)
     stop = np.concatenate((start[1:], [doc.size])) if doc.size else start
-    return pa.table({"doc_id": pa.array(doc[start], pa.int64()), "blob": pa.array([_pack(*(c[a:b] for c in columns)) for a, b in zip(start, stop)], pa.binary())})
+    return pa.table({"doc_id": pa.array(doc[start], pa.int64()), "blob": pa.array([b"".join([c[a:b].tobytes() for c in columns]) for a, b in zip(start.tolist(), stop.tolist())], pa.binary())})
 
 
 def _shared(group: pa.Table) -> pa.Table:
-    """Marks that at least two documents of a shard hold, by document; folded documents have a one-byte blob."""
-    hash_, doc, place, folded = [], [], [], []
+    """Marks that at least two documents of a shard hold, by document: the low halves of their hashes.  Folded documents have a
+    one-byte blob."""
+    hash_, doc, folded = [], [], []
     for blob in group.column("blob").to_pylist():
-        low, high, number, names, at, fold = _unpack(blob)
+        low, high, number, names, fold = _unpack(blob)
         hash_.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
         doc.append(names[number])
-        place.append(at.astype(np.uint32))
         folded.append(fold)
-    h, doc, place, fold = np.concatenate(hash_), np.concatenate(doc), np.concatenate(place), np.concatenate(folded)
+    h, doc, fold = np.concatenate(hash_), np.concatenate(doc), np.concatenate(folded)
     order = np.argsort(h, kind="stable")
-    h, doc, place = h[order], doc[order], place[order]
-    start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if h.size else np.empty(0, np.int64)
+    h, doc = h[order], doc[order]
     if h.size:
+        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
         keep = np.repeat(several, np.diff(np.concatenate((start, [h.size]))))
-        doc, place = doc[keep], place[keep]
-    out = _by_doc(doc, place)
+        h, doc = h[keep], doc[keep]
     full = pa.table({"doc_id": pa.array(fold, pa.int64()), "blob": pa.array([_FULL] * len(fold), pa.binary())})
-    return pa.concat_tables([out, full])
+    return pa.concat_tables([_by_doc(doc, [h.astype("<u4")]), full])
 
 
 def _cut_rows(size: int, gram: int, shards: int) -> Callable:
-    """Rows ``shard, blob``: distinct cuts around shared marks (padded bytes, bytes before the mark) and where they occur."""
-    side, wide = size - gram, 2 * size - gram
+    """Rows ``shard, blob``: distinct cuts (the windows of a shared mark, as one string) and where they occur; ids of folded documents."""
+    wide = 2 * size - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3)
         for ids, texts, blobs in _batches(batches, 3, 8 << 20):
-            names, doc, place, cuts = [], [], [], []
-            for k, t, found in zip(ids, texts, blobs):
-                if _FULL in found:
-                    continue
-                at = np.unique(np.concatenate([_unpack(x)[0] for x in found])).astype(np.int64)
-                data = np.full(len(t) + 2 * side, 255, np.uint8)  # 255 occurs in no text
-                data[side : side + len(t)] = np.frombuffer(t, np.uint8)
-                cuts.append(np.lib.stride_tricks.sliding_window_view(data, wide)[at])
-                place.append(at)
+            folded = [k for k, found in zip(ids, blobs) if _FULL in found]
+            some = [(k, t, np.unique(np.frombuffer(b"".join(found), "<u4"))) for k, t, found in zip(ids, texts, blobs) if _FULL not in found]
+            names, doc, place, count, mark, cuts = [], [], [], [], [], []
+            for i, first, n, h in marks([t for _, t, _ in some], size, gram):
+                k, t, wanted = some[i]
+                low = h.astype(np.uint32)
+                at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)] == low)
+                data = np.concatenate((np.frombuffer(t, np.uint8), np.zeros(wide, np.uint8)))
+                cuts.append(np.lib.stride_tricks.sliding_window_view(data, wide)[first[at]])
+                place.append(first[at])
+                count.append(n[at])
+                mark.append(h[at])
                 doc.append(np.full(len(at), len(names), np.uint32))
                 names.append(k)
-            if not names:
-                continue
-            cut, place, doc = np.concatenate(cuts), np.concatenate(place).astype(np.uint32), np.concatenate(doc)
-            names = np.array(names, np.int64)
-            mark = _row_hash(cut[:, side : side + gram])
-            whole = _row_hash(cut)
             rows = []
-            for t, at in _deal((mix(mark) % np.uint64(shards)).astype(np.int64), shards):
-                _, first, which = np.unique(whole[at], return_index=True, return_inverse=True)
-                odd = np.flatnonzero((cut[at] != cut[at[first[which]]]).any(1))  # equal hashes of different cuts
-                rep = np.concatenate((at[first], at[odd]))
-                which[odd] = len(first) + np.arange(len(odd))
-                docs, number = np.unique(doc[at], return_inverse=True)
-                rows.append((t, _pack(cut[rep].ravel(), which.astype(np.uint32), number.astype(np.uint32), names[docs], place[at])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
+            if names:
+                cut, place, count, mark, doc = np.concatenate(cuts), np.concatenate(place).astype(np.uint32), np.concatenate(count), np.concatenate(mark), np.concatenate(doc)
+                names = np.array(names, np.int64)
+                inside = np.arange(wide) < (count + size - 1)[:, None]
+                cut[~inside] = 255  # occurs in no text
+                whole = _row_hash(cut)
+                for t, at in _deal((mix(mark) % np.uint64(shards)).astype(np.int64), shards):
+                    rep, which = _distinct(cut[at], whole[at])
+                    rep = at[rep]
+                    docs, number = np.unique(doc[at], return_inverse=True)
+                    number = number.astype(np.uint16 if len(docs) <= 65536 else np.uint32)
+                    which = which.astype(np.uint16 if len(rep) <= 65536 else np.uint32)
+                    flat = np.frombuffer(press.compress(cut[rep][inside[rep]].tobytes()), np.uint8)
+                    rows.append((t, _pack(flat, count[rep].astype(np.uint8), which, number, names[docs], place[at], np.empty(0, np.int64))))
+            none = np.empty(0, np.uint8)
+            for t in range(min(shards, len(folded))):
+                rows.append((t, _pack(none, none, none, none, none.astype(np.int64), none.astype(np.uint32), np.array(folded[t::shards], np.int64))))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
 
     return run
 
 
+def _distinct(rows: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the distinct rows, and which of them each row equals."""
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = np.flatnonzero((rows != rows[first[which]]).any(1))  # equal hashes of different rows stay apart
+    which[odd] = len(first) + np.arange(len(odd))
+    return np.concatenate((first, odd)), which
+
+
 def _row_hash(rows: np.ndarray) -> np.ndarray:
     pad = -rows.shape[1] % 8
     words = np.ascontiguousarray(np.pad(rows, ((0, 0), (0, pad)))).view(np.uint64)
@@ -234,94 +248,103 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
 
 def _repeated(size: int, gram: int) -> Callable:
     """Per shard: the windows of each document that also start in a smaller one, as first places and bit masks."""
-    side, wide = size - gram, 2 * size - gram
-    offsets = side + 1
+    wide, offsets = 2 * size - gram, size - gram + 1
 
     def run(group: pa.Table) -> pa.Table:
-        cuts, which, doc, place, base = [], [], [], [], 0
+        import zstandard
+
+        press = zstandard.ZstdDecompressor()
+        cuts, counts, which, doc, place, folded, base = [], [], [], [], [], [], 0
         for blob in group.column("blob").to_pylist():
-            cut, w, number, names, at = _unpack(blob)
-            cuts.append(cut.reshape(-1, wide))
+            flat, n, w, number, names, at, fold = _unpack(blob)
+            folded.append(fold)
+            if not n.size:
+                continue
+            cut = np.full((len(n), wide), 255, np.uint8)
+            cut[np.arange(wide) < (n.astype(np.int64) + size - 1)[:, None]] = np.frombuffer(press.decompress(flat.tobytes()), np.uint8)
+            cuts.append(cut)
+            counts.append(n)
             which.append(w.astype(np.int64) + base)
             doc.append(names[number])
-            place.append(at.astype(np.int64))
-            base += len(cuts[-1])
-        cut, which, doc, place = np.concatenate(cuts), np.concatenate(which), np.concatenate(doc), np.concatenate(place)
-        # equal cuts of different tasks are one
-        whole = _row_hash(cut)
-        _, first, again = np.unique(whole, return_index=True, return_inverse=True)
-        odd = np.flatnonzero((cut != cut[first[again]]).any(1))
-        again[odd] = len(first) + np.arange(len(odd))
-        cut, which = np.concatenate((cut[first], cut[odd])), again[which]
+            place.append(at)
+            base += len(cut)
+        fold = np.concatenate(folded)
+        full = pa.table({"doc_id": pa.array(fold, pa.int64()), "blob": pa.array([_FULL] * len(fold), pa.binary())})
+        if not cuts:
+            return full
+        cut, count, which, doc, place = np.concatenate(cuts), np.concatenate(counts), np.concatenate(which), np.concatenate(doc), np.concatenate(place)
+        rep, again = _distinct(cut, _row_hash(cut))  # equal cuts of different tasks are one
+        cut, count, which = cut[rep], count[rep].astype(np.int64), again[which]
         least = np.full(len(cut), np.iinfo(np.int64).max)
         np.minimum.at(least, which, doc)
         winner = np.repeat(least[:, None], offsets, axis=1)  # least document of each window of each cut
-        mark = _row_hash(cut[:, side : side + gram])
-        pieces = max(1, -(-len(cut) * (wide + 1) // SHARD_TEXT))
-        for _, rows in _deal((mix(mark ^ np.uint64(0xA5A5)) % np.uint64(pieces)).astype(np.int64), pieces):
-            _settle(cut, rows, least, winner, size)
-        gone = winner[which] < doc[:, None]
-        start = place[:, None] - side + np.arange(offsets)
-        mask = (gone & (start >= 0)).astype(np.uint64) << np.arange(offsets, dtype=np.uint64)
-        mask = np.bitwise_or.reduce(mask, axis=1)
+        _settle(cut, count, least, winner, size)
+        gone = (winner[which] < doc[:, None]) & (np.arange(offsets) < count[which][:, None])
+        mask = np.bitwise_or.reduce(gone.astype(np.uint64) << np.arange(offsets, dtype=np.uint64), axis=1)
         hit = np.flatnonzero(mask)
-        return _by_doc(doc[hit], (place[hit] - side).astype(np.int64), mask[hit])
+        return pa.concat_tables([_by_doc(doc[hit], [place[hit].astype("<u4"), mask[hit].astype("<u8")]), full])
 
     return run
 
 
-def _settle(cut: np.ndarray, rows: np.ndarray, least: np.ndarray, winner: np.ndarray, size: int) -> None:
-    """Suffixes of the given cuts in order; those that share ``size`` bytes inside their cut take the least document of all."""
-    step = cut.shape[1] + 1
-    text = np.full((len(rows), step), 255, np.uint8)
-    text[:, :-1] = cut[rows]
-    for at, lcp in sorted_suffixes(text.ravel(), size):
+def _settle(cut: np.ndarray, count: np.ndarray, least: np.ndarray, winner: np.ndarray, size: int) -> None:
+    """All suffixes of the cuts in order; windows that share ``size`` bytes take the least document of all."""
+    length = count + size  # with one byte that ends each cut
+    text = np.full((len(cut), cut.shape[1] + 1), 255, np.uint8)
+    text[:, :-1] = cut
+    text = text[np.arange(text.shape[1]) < length[:, None]]
+    start = np.cumsum(length) - length
+    row_of = np.repeat(np.arange(len(cut), dtype=np.int32), length)
+    for at, lcp in sorted_suffixes(text, size):
         same = lcp >= size
         if not same.any():
             continue
-        group = np.cumsum(~same)
-        offset = at % step
-        ok = (offset <= cut.shape[1] - size)
-        row, offset, group = rows[at[ok] // step], offset[ok], group[ok]
+        member = same.copy()  # of a group of two or more
+        member[:-1] |= same[1:]
+        group, at = np.cumsum(~same)[member], at[member]
+        row = row_of[at]
+        offset = at - start[row]
+        ok = offset < count[row]
+        row, offset, group = row[ok], offset[ok], group[ok]
         if not row.size:
             continue
         first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
         best = np.minimum.reduceat(least[row], first)
-        winner[row, offset] = np.minimum(winner[row, offset], np.repeat(best, np.diff(np.concatenate((first, [row.size])))))
+        winner[row, offset] = np.repeat(best, np.diff(np.concatenate((first, [row.size]))))
 
 
-def spans(length: int, blobs: list[bytes] | None, size: int) -> np.ndarray:
-    """Removed runs of a text as ``[start, stop)`` rows, from the packed windows of its shards."""
-    if length < size or not blobs:
-        return np.empty((0, 2), np.int64)
+def spans(length: int | None, blobs: list[bytes], size: int) -> np.ndarray:
+    """Removed runs as ``[start, stop)`` rows from the packed windows of a document's shards; ``[0, -1)`` is the whole of a folded one."""
     if _FULL in blobs:
-        return np.array([[0, length]], np.int64)
-    first = np.concatenate([_unpack(b)[0] for b in blobs])
-    mask = np.concatenate([_unpack(b)[1] for b in blobs])
+        return np.array([[0, -1 if length is None else length]], np.int64)
+    first = np.concatenate([np.frombuffer(b, "<u4", len(b) // 12) for b in blobs]).astype(np.int64)
+    mask = np.concatenate([np.frombuffer(b[len(b) // 3 :], "<u8") for b in blobs])
     bits = (mask[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool)
     starts = np.unique((first[:, None] + np.arange(64))[bits])
-    starts = starts[(starts >= 0) & (starts + size <= length)]
-    if not starts.size:
-        return np.empty((0, 2), np.int64)
     new = np.flatnonzero(np.concatenate(([True], starts[1:] > starts[:-1] + size)))
     last = np.concatenate((new[1:], [starts.size])) - 1
     return np.stack([starts[new], starts[last] + size], axis=1)
 
 
-def repeated_windows(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", gram: int | None = None) -> DataFrame:
-    """``doc_id, blobs``: packed starts of the strings of ``size`` bytes that also start in a document with a smaller id."""
+def repeated_spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", gram: int | None = None) -> DataFrame:
+    """``doc_id, spans`` (``start, stop`` pairs, flattened; empty arrays do not occur) of the documents that lose bytes."""
     gram = gram or max(4, min(GRAM, size // 2))
     if size - gram + 1 > 64 or size > 254:
-        raise ValueError("a window may hold 64 marks and 254 bytes")
+        raise ValueError("a mark may have 64 windows of 254 bytes")
     shards = common.partitions(docs.sparkSession)
     rows = _rows(docs, key, text)
     marked = rows.mapInArrow(_mark_rows(size, gram, shards), "shard int, blob binary")
     shared = marked.groupBy("shard").applyInArrow(_shared, "doc_id bigint, blob binary")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))  # places in one document
+    shared = shared.groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))  # marks of one document
     cut = rows.join(shared, "doc_id").mapInArrow(_cut_rows(size, gram, shards), "shard int, blob binary")
     gone = cut.groupBy("shard").applyInArrow(_repeated(size, gram), "doc_id bigint, blob binary").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
-    full = shared.where(F.array_contains("blobs", F.lit(_FULL)))
-    return gone.unionAll(full)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [spans(None, b, size).ravel().tolist() for b in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "spans"])
+
+    return gone.mapInArrow(merge, "doc_id bigint, spans array<bigint>")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -336,21 +359,24 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     columns are not read.
     """
     rows = _rows(docs, key, text)
-    found = repeated_windows(docs, size, key, text)
-    found = common.settled(found, "windows")
+    found = common.settled(repeated_spans(docs, size, key, text), "spans")
+    held = found.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
+    few = held <= BROADCAST_NUMBERS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts, blobs in _batches(batches, 3, 8 << 20):
+        for ids, texts, found in _batches(batches, 3, 8 << 20):
             out = []
-            for k, t, b in zip(ids, texts, blobs):
-                t = t or b""
-                runs = spans(len(t), b, size)
-                keep = b"".join(t[a:c] for a, c in zip([0, *runs[:, 1].tolist()], [*runs[:, 0].tolist(), len(t)]))
-                out.append((k, len(t), len(t) - len(keep), runs.ravel().tolist(), keep))
+            for k, t, runs in zip(ids, texts, found):
+                t, runs = t or b"", runs or []
+                if runs and runs[1] == -1:
+                    runs = [0, len(t)]
+                keep = b"".join(t[a:c] for a, c in zip([0, *runs[1::2]], [*runs[::2], len(t)]))
+                out.append((k, len(t), len(t) - len(keep), runs, keep))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    return rows.join(found, "doc_id", "left").mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<bigint>, kept binary")
+    joined = rows.join(F.broadcast(found) if few else found, "doc_id", "left").select("doc_id", "text", "spans")
+    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<bigint>, kept binary")
 
 
 @common.query("op4_suffix_array_dedup")
