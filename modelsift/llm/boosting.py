@@ -28,26 +28,27 @@ class Boosted:
         return out
 
 
-def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 2.0, least: float = 2.0) -> Boosted:
-    """Second-order boosting of the logistic loss; every level of a tree is split at once from histograms."""
-    share = min(max(float(y.mean()), 1e-4), 1 - 1e-4)
+def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 2.0, least: float = 2.0, share: float = 0.4, seed: int = 5) -> Boosted:
+    """Second-order boosting of the logistic loss; every level of a tree is split at once from histograms of a ``share`` of the rows."""
+    odds = min(max(float(y.mean()), 1e-4), 1 - 1e-4)
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
-    model = Boosted(float(np.log(share / (1 - share))), cuts, depth)
+    model = Boosted(float(np.log(odds / (1 - odds))), cuts, depth)
     b = np.stack([np.searchsorted(c, x[:, i], side="left") for i, c in enumerate(cuts)], axis=1)
     n, f = b.shape
     width = bins + 1
-    margin = np.full(n, model.base)
-    flat = (np.arange(f) * width + b).ravel()
+    margin, rng = np.full(n, model.base), np.random.default_rng(seed)
+    flat = np.arange(f) * width + b
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, np.maximum(p * (1 - p), 1e-9)
+        some = np.flatnonzero(rng.random(n) < share) if n > 1000 else np.arange(n)
+        p = 1 / (1 + np.exp(-margin[some]))
+        g, h = y[some] - p, np.maximum(p * (1 - p), 1e-9)
+        wide_g, wide_h, own = np.repeat(g, f), np.repeat(h, f), flat[some]
         feature, border = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, width, np.int64)
         at = np.zeros(n, np.int64)
         for level in range(depth):
             nodes, first = 1 << level, (1 << level) - 1
-            cell = np.repeat((at - first) * f * width, f) + flat
-            hist = np.stack([np.bincount(cell, np.repeat(v, f), nodes * f * width).reshape(nodes, f, width) for v in (g, h)])
-            left = hist.cumsum(axis=3)
+            cell = (((at[some] - first) * f * width)[:, None] + own).ravel()
+            left = np.stack([np.bincount(cell, v, nodes * f * width).reshape(nodes, f, width) for v in (wide_g, wide_h)]).cumsum(axis=3)
             total = left[:, :, :, -1:]
             right = total - left
             gain = left[0] ** 2 / (left[1] + ridge) + right[0] ** 2 / (right[1] + ridge) - total[0] ** 2 / (total[1] + ridge)
@@ -58,7 +59,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate:
             border[first : first + nodes] = np.where(good, best % width, width)
             at = 2 * at + 1 + (b[np.arange(n), feature[at]] > border[at])
         leaf = at - (1 << depth) + 1
-        value = rate * np.bincount(leaf, g, 1 << depth) / (np.bincount(leaf, h, 1 << depth) + ridge)
+        value = rate * np.bincount(leaf[some], g, 1 << depth) / (np.bincount(leaf[some], h, 1 << depth) + ridge)
         model.trees.append((feature, border, value))
         margin += value[leaf]
     return model

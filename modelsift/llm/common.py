@@ -51,10 +51,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
 BROADCAST_IDS = 1_000_000  # ids sent to every executor at most (8 MB); more are joined by a shuffle
 
 
-def rows_of(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows whose key is among ``ids`` (one column ``key``, a table).  Few ids, which are counted, go to the rows."""
+def rows_of(rows: DataFrame, ids: DataFrame, key: str = "doc_id", without: bool = False) -> DataFrame:
+    """The rows whose key is among ``ids`` (one column ``key``, a table), or those ``without``; a row with a null key is never among
+    them.  Few ids, which are counted, go to the rows."""
     few = ids.distinct()
-    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, key, "left_semi")
+    return rows.join(F.broadcast(few) if few.count() <= BROADCAST_IDS else few, key, "left_anti" if without else "left_semi")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -26,7 +26,7 @@ from .dom import HINT_NAMES, Node, parse, walk
 from .tokens import worker_store
 
 SAMPLE_PAGES = 200    # pages of the input whose words fill the training pages
-TRAIN_PAGES = 500     # built pages the models are trained on
+TRAIN_PAGES = 900     # built pages the models are trained on
 SEED = 11
 _MAIN = ""      # marks main text in a built page
 
@@ -271,7 +271,8 @@ def build_page(rng: random.Random, words: list[str]) -> str:
         t = rng.choice(["div", "div", "section", "dialog"])
         return f"<{t}{name('notice', 0.98)}><p>{sentences(rng.choice([1, 2, 3]))}</p>{rng.choice(['', link(1, 2), '<button>' + some(1, 2) + '</button>'])}</{t}>"
 
-    blocks = [main_block() for _ in range(rng.choice([1, 1, 2, 4, 7, 12, 25]))]
+    short = rng.random() < 0.15  # a headline and hardly more
+    blocks = [f"<p>{m(some(1, 9))}</p>" if short else main_block() for _ in range(rng.choice([1, 1, 2, 4, 7, 12, 25]))]
     for _ in range(rng.choice([0, 0, 1, 2])):
         blocks.insert(rng.randint(0, len(blocks)), rng.choice([ad, ad, share, side])())
     title = m(some(2, 10).capitalize())

@@ -358,10 +358,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     is neither searched nor matched.  Strings are judged on the input, so what a document loses does not free others.  Other
     columns are not read.
     """
-    rows = _rows(docs, key, text)
-    found = common.settled(repeated_spans(docs, size, key, text), "spans")
-    held = found.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
-    few = held <= BROADCAST_NUMBERS
+    joined = _with_spans(_rows(docs, key, text), repeated_spans(docs, size, key, text), "doc_id").select("doc_id", "text", "__spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, found in _batches(batches, 3, 8 << 20):
@@ -370,15 +367,59 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
                 t, runs = t or b"", runs or []
                 if runs and runs[1] == -1:
                     runs = [0, len(t)]
-                keep = b"".join(t[a:c] for a, c in zip([0, *runs[1::2]], [*runs[::2], len(t)]))
+                keep = _keep(t, runs)
                 out.append((k, len(t), len(t) - len(keep), runs, keep))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*out), kinds)], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
-    joined = rows.join(F.broadcast(found) if few else found, "doc_id", "left").select("doc_id", "text", "spans")
     return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<bigint>, kept binary")
 
 
+def _with_spans(rows: DataFrame, spans_: DataFrame, key: str) -> DataFrame:
+    """Rows with their removed runs as ``__spans``; the table of runs is sent to the rows while it is small, which is measured."""
+    found = common.settled(spans_, "spans").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
+    held = found.agg(F.sum(F.size("__spans") + 2)).first()[0] or 0
+    return rows.join(F.broadcast(found) if held <= BROADCAST_NUMBERS else found, F.col(f"`{key}`") == F.col("__id"), "left").drop("__id")
+
+
+def _keep(text: bytes, runs: list[int]) -> bytes:
+    return b"".join(text[a:c] for a, c in zip([0, *runs[1::2]], [*runs[::2], len(text)]))
+
+
+def without_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with the repeated strings cut out of ``text``; a character that is removed in part stays.
+
+    ``length`` names a column that is set to the new number of characters.  A text that loses everything becomes empty, a null stays.
+    """
+    names = docs.columns
+    joined = _with_spans(docs, repeated_spans(docs, size, key, text), key)
+    at, number = names.index(text), names.index(length) if length else -1
+    kinds = dict(docs.dtypes)
+    schema = ", ".join(f"`{c}` {'string' if c == text else 'bigint' if c == length else kinds[c]}" for c in names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for t, runs in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
+                if t is not None and runs:
+                    b = t.encode()
+                    runs = [0, len(b)] if runs[1] == -1 else list(runs)
+                    for i in range(0, len(runs), 2):  # whole characters only
+                        while runs[i] < runs[i + 1] and b[runs[i]] & 0xC0 == 0x80:
+                            runs[i] += 1
+                        while runs[i + 1] > runs[i] and runs[i + 1] < len(b) and b[runs[i + 1]] & 0xC0 == 0x80:
+                            runs[i + 1] -= 1
+                    t = _keep(b, runs).decode()
+                texts.append(t)
+            columns = list(batch.columns[: len(names)])
+            columns[at] = pa.array(texts, pa.string())
+            if length:
+                columns[number] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return joined.mapInArrow(cut, schema)
+
+
 @common.query("op4_suffix_array_dedup")
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(common.table(spark, sf_dir, "documents"))
