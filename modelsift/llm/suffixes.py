@@ -146,11 +146,21 @@ def _types(text: np.ndarray) -> np.ndarray:
     return out
 
 
+def _bit_length(x: np.ndarray) -> np.ndarray:
+    high = x >> np.uint64(32)
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((x & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
+
+
 def _order_stars(text: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """S* suffixes in order to ``depth``, and the common prefix of each with the one before."""
-    rounds = -(-depth // 8)
-    data = np.concatenate((np.maximum(text, 1) - 1, np.zeros(8 * rounds + 8, text.dtype))).astype(np.uint8)
-    words = np.lib.stride_tricks.sliding_window_view(data, 8)
+    found = np.bincount(text, minlength=257) > 0
+    if found.sum() <= 256:  # symbols, with the end mark as 0, fit one byte each
+        data, per = (np.cumsum(found) - 1).astype(np.uint8)[text], 8
+    else:
+        data, per = text.astype(">u2"), 4
+    rounds = -(-depth // per)
+    data = np.concatenate((data, np.zeros(per * rounds + per, data.dtype)))
+    words = np.lib.stride_tricks.sliding_window_view(data, per)
     order, lcp = stars, np.zeros(len(stars), np.int64)
     lcp_known = np.zeros(len(stars), bool)
     lcp_known[:1] = True
@@ -159,14 +169,14 @@ def _order_stars(text: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.nd
     for r in range(rounds):
         if not tied.size:
             break
-        key = np.ascontiguousarray(words[np.minimum(order[tied] + 8 * r, len(words) - 1)]).view(">u8").ravel().astype(np.uint64)
+        key = np.ascontiguousarray(words[np.minimum(order[tied] + per * r, len(words) - 1)]).view(">u8").ravel().astype(np.uint64)
         idx = np.lexsort((key, groups[tied]))
         order[tied], key = order[tied][idx], key[idx]
         g = groups[tied]  # groups are contiguous and ascending, so their places do not change
         same_group = np.concatenate(([False], g[1:] == g[:-1]))
         apart = same_group & np.concatenate(([False], key[1:] != key[:-1]))
         x = key[apart] ^ key[np.flatnonzero(apart) - 1]
-        lcp[tied[apart]] = 8 * r + (64 - np.frexp(x.astype(np.float64))[1].clip(0, 64)) // 8
+        lcp[tied[apart]] = per * r + (64 - _bit_length(x)) // (64 // per)
         lcp_known[tied[apart]] = True
         new = np.cumsum(~same_group | apart)
         groups[tied] = new
