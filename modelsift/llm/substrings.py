@@ -151,35 +151,77 @@ def _mark_rows(size: int, gram: int, shards: int) -> Callable:
     return run
 
 
-def _by_doc(doc: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
-    """One row per document with the bytes of its columns, one after the other."""
+def _to_buckets(doc: np.ndarray, columns: list[np.ndarray], folded: np.ndarray, buckets: int) -> pa.Table:
+    """Rows ``bucket, blob`` of values per document, dealt by document; ids of folded documents besides."""
     order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    columns = [c[order] for c in columns]
-    start = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if doc.size else np.empty(0, np.int64)
-    stop = np.concatenate((start[1:], [doc.size])) if doc.size else start
-    return pa.table({"doc_id": pa.array(doc[start], pa.int64()), "blob": pa.array([b"".join([c[a:b].tobytes() for c in columns]) for a, b in zip(start.tolist(), stop.tolist())], pa.binary())})
-
-
-def _shared(group: pa.Table) -> pa.Table:
-    """Marks that at least two documents of a shard hold, by document: the low halves of their hashes.  Folded documents have a
-    one-byte blob."""
-    hash_, doc, folded = [], [], []
-    for blob in group.column("blob").to_pylist():
-        low, high, number, names, fold = _unpack(blob)
-        hash_.append(low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
-        doc.append(names[number])
-        folded.append(fold)
-    h, doc, fold = np.concatenate(hash_), np.concatenate(doc), np.concatenate(folded)
-    order = np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    if h.size:
-        start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-        keep = np.repeat(several, np.diff(np.concatenate((start, [h.size]))))
-        h, doc = h[keep], doc[keep]
-    full = pa.table({"doc_id": pa.array(fold, pa.int64()), "blob": pa.array([_FULL] * len(fold), pa.binary())})
-    return pa.concat_tables([_by_doc(doc, [h.astype("<u4")]), full])
+    doc, columns = doc[order], [c[order] for c in columns]
+    own = (mix(doc.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    fold = (mix(folded.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    parts, folds = dict(_deal(own, buckets)), dict(_deal(fold, buckets))
+    none = np.empty(0, np.int64)
+    rows = []
+    for t in sorted(parts.keys() | folds.keys()):
+        at = parts.get(t, none)
+        names, counts = np.unique(doc[at], return_counts=True)
+        rows.append((t, _pack(names, counts.astype(np.uint32), folded[folds.get(t, none)], *(c[at] for c in columns))))
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "blob": pa.array([r[1] for r in rows], pa.binary())})
+
+
+def _from_buckets(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Folded documents, the document of each value in ascending order, and the values."""
+    blobs = [_unpack(b) for b in group.column("blob").to_pylist()]
+    doc = np.concatenate([np.repeat(b[0], b[1]) for b in blobs])
+    order = np.argsort(doc, kind="stable")
+    return np.concatenate([b[2] for b in blobs]), doc[order], [np.concatenate(c)[order] for c in zip(*(b[3:] for b in blobs))]
+
+
+def _marks_of_docs(group: pa.Table) -> pa.Table:
+    """``doc_id, blob``: the low halves of the shared marks of each document; one byte for a folded one."""
+    folded, doc, (low,) = _from_buckets(group)
+    names, start = np.unique(doc, return_index=True)
+    cut = [*start.tolist(), len(doc)]
+    blobs = [low[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+    return pa.table({"doc_id": pa.array(np.concatenate((names, folded)), pa.int64()), "blob": pa.array(blobs + [_FULL] * len(folded), pa.binary())})
+
+
+def _spans_of_docs(size: int) -> Callable:
+    """``doc_id, spans`` from the removed windows of all shards; ``[0, -1]`` is the whole of a folded document."""
+
+    def run(group: pa.Table) -> pa.Table:
+        folded, doc, (first, mask) = _from_buckets(group)
+        bits = (mask[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool)
+        row, step = np.nonzero(bits)
+        doc, start = doc[row], first[row].astype(np.int64) + step
+        order = np.lexsort((start, doc))
+        doc, start = doc[order], start[order]
+        new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + size)))) if doc.size else np.empty(0, np.int64)
+        last = np.concatenate((new[1:], [doc.size])) - 1 if doc.size else new
+        pairs = np.stack((start[new], start[last] + size), axis=1)
+        pairs = np.concatenate((pairs, np.tile(np.array([[0, -1]]), (len(folded), 1))))
+        names, counts = np.unique(doc[new], return_counts=True)
+        ends = np.cumsum(np.concatenate(([0], counts, np.ones(len(folded), np.int64)))) * 2
+        return pa.table({"doc_id": pa.array(np.concatenate((names, folded)), pa.int64()), "spans": pa.ListArray.from_arrays(ends.astype(np.int32), pa.array(pairs.ravel(), pa.int64()))})
+
+    return run
+
+
+def _shared(shards: int) -> Callable:
+    """Marks that at least two documents of a shard hold: the low halves of their hashes, by document."""
+
+    def run(group: pa.Table) -> pa.Table:
+        blobs = [_unpack(b) for b in group.column("blob").to_pylist()]
+        h = np.concatenate([b[0].astype(np.uint64) | b[1].astype(np.uint64) << np.uint64(32) for b in blobs])
+        doc, fold = np.concatenate([b[3][b[2]] for b in blobs]), np.concatenate([b[4] for b in blobs])
+        order = np.argsort(h, kind="stable")
+        h, doc = h[order], doc[order]
+        if h.size:
+            start = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+            keep = np.repeat(several, np.diff(np.concatenate((start, [h.size]))))
+            h, doc = h[keep], doc[keep]
+        return _to_buckets(doc, [h.astype("<u4")], fold, shards)
+
+    return run
 
 
 def _cut_rows(size: int, gram: int, shards: int) -> Callable:
@@ -191,8 +233,8 @@ def _cut_rows(size: int, gram: int, shards: int) -> Callable:
 
         press = zstandard.ZstdCompressor(level=3)
         for ids, texts, blobs in _batches(batches, 3, 8 << 20):
-            folded = [k for k, found in zip(ids, blobs) if _FULL in found]
-            some = [(k, t, np.unique(np.frombuffer(b"".join(found), "<u4"))) for k, t, found in zip(ids, texts, blobs) if _FULL not in found]
+            folded = [k for k, found in zip(ids, blobs) if found == _FULL]
+            some = [(k, t, np.unique(np.frombuffer(found, "<u4"))) for k, t, found in zip(ids, texts, blobs) if found != _FULL]
             names, doc, place, count, mark, cuts = [], [], [], [], [], []
             for i, first, n, h in marks([t for _, t, _ in some], size, gram):
                 k, t, wanted = some[i]
@@ -246,7 +288,7 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _repeated(size: int, gram: int) -> Callable:
+def _repeated(size: int, gram: int, shards: int) -> Callable:
     """Per shard: the windows of each document that also start in a smaller one, as first places and bit masks."""
     wide, offsets = 2 * size - gram, size - gram + 1
 
@@ -269,9 +311,8 @@ def _repeated(size: int, gram: int) -> Callable:
             place.append(at)
             base += len(cut)
         fold = np.concatenate(folded)
-        full = pa.table({"doc_id": pa.array(fold, pa.int64()), "blob": pa.array([_FULL] * len(fold), pa.binary())})
         if not cuts:
-            return full
+            return _to_buckets(np.empty(0, np.int64), [np.empty(0, "<u4"), np.empty(0, "<u8")], fold, shards)
         cut, count, which, doc, place = np.concatenate(cuts), np.concatenate(counts), np.concatenate(which), np.concatenate(doc), np.concatenate(place)
         rep, again = _distinct(cut, _row_hash(cut))  # equal cuts of different tasks are one
         cut, count, which = cut[rep], count[rep].astype(np.int64), again[which]
@@ -282,7 +323,7 @@ def _repeated(size: int, gram: int) -> Callable:
         gone = (winner[which] < doc[:, None]) & (np.arange(offsets) < count[which][:, None])
         mask = np.bitwise_or.reduce(gone.astype(np.uint64) << np.arange(offsets, dtype=np.uint64), axis=1)
         hit = np.flatnonzero(mask)
-        return pa.concat_tables([_by_doc(doc[hit], [place[hit].astype("<u4"), mask[hit].astype("<u8")]), full])
+        return _to_buckets(doc[hit], [place[hit].astype("<u4"), mask[hit].astype("<u8")], fold, shards)
 
     return run
 
@@ -313,38 +354,19 @@ def _settle(cut: np.ndarray, count: np.ndarray, least: np.ndarray, winner: np.nd
         winner[row, offset] = np.repeat(best, np.diff(np.concatenate((first, [row.size]))))
 
 
-def spans(length: int | None, blobs: list[bytes], size: int) -> np.ndarray:
-    """Removed runs as ``[start, stop)`` rows from the packed windows of a document's shards; ``[0, -1)`` is the whole of a folded one."""
-    if _FULL in blobs:
-        return np.array([[0, -1 if length is None else length]], np.int64)
-    first = np.concatenate([np.frombuffer(b, "<u4", len(b) // 12) for b in blobs]).astype(np.int64)
-    mask = np.concatenate([np.frombuffer(b[len(b) // 3 :], "<u8") for b in blobs])
-    bits = (mask[:, None] >> np.arange(64, dtype=np.uint64) & np.uint64(1)).astype(bool)
-    starts = np.unique((first[:, None] + np.arange(64))[bits])
-    new = np.flatnonzero(np.concatenate(([True], starts[1:] > starts[:-1] + size)))
-    last = np.concatenate((new[1:], [starts.size])) - 1
-    return np.stack([starts[new], starts[last] + size], axis=1)
-
-
 def repeated_spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text: str = "text", gram: int | None = None) -> DataFrame:
-    """``doc_id, spans`` (``start, stop`` pairs, flattened; empty arrays do not occur) of the documents that lose bytes."""
+    """``doc_id, spans`` (``start, stop`` pairs, flattened; ``[0, -1]`` is a whole document) of the documents that lose bytes."""
     gram = gram or max(4, min(GRAM, size // 2))
     if size - gram + 1 > 64 or size > 254:
         raise ValueError("a mark may have 64 windows of 254 bytes")
     shards = common.partitions(docs.sparkSession)
     rows = _rows(docs, key, text)
     marked = rows.mapInArrow(_mark_rows(size, gram, shards), "shard int, blob binary")
-    shared = marked.groupBy("shard").applyInArrow(_shared, "doc_id bigint, blob binary")
-    shared = shared.groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))  # marks of one document
+    parts = "bucket int, blob binary"
+    shared = marked.groupBy("shard").applyInArrow(_shared(shards), parts).groupBy("bucket").applyInArrow(_marks_of_docs, "doc_id bigint, blob binary")
     cut = rows.join(shared, "doc_id").mapInArrow(_cut_rows(size, gram, shards), "shard int, blob binary")
-    gone = cut.groupBy("shard").applyInArrow(_repeated(size, gram), "doc_id bigint, blob binary").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [spans(None, b, size).ravel().tolist() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "spans"])
-
-    return gone.mapInArrow(merge, "doc_id bigint, spans array<bigint>")
+    gone = cut.groupBy("shard").applyInArrow(_repeated(size, gram, shards), parts)
+    return gone.groupBy("bucket").applyInArrow(_spans_of_docs(size), "doc_id bigint, spans array<bigint>")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
