@@ -295,7 +295,9 @@ def build_page(rng: random.Random, words: list[str]) -> str:
 
 def learn_from_pages(pages: DataFrame, html: str = "html") -> Extractor:
     """Learn with the words of at most ``SAMPLE_PAGES`` pages, those with the smallest hashes."""
-    sample = pages.select(F.col(f"`{html}`").cast("string").alias("html")).where("html is not null").withColumn("h", F.xxhash64("html")).orderBy("h").limit(SAMPLE_PAGES).select("html").collect()
+    hashed = pages.select(F.col(f"`{html}`").cast("string").alias("html")).where("html is not null").withColumn("h", F.xxhash64("html"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    sample = hashed.where(F.col("h").isin(least)).dropDuplicates(["h"]).select("html").collect() if least else []
     words = [w for r in sample for leaf in walk(parse(r["html"])) if not leaf.tag for w in leaf.text.replace("<", "").replace("&", "").split(" ") if w and _MAIN not in w]
     return learn(words)
 

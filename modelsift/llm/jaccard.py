@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import mix, shingle_sets
 
-BITMAP_WORDS = 8     # parity bitmap: 8 x 64 bits
+BITMAP_WORDS = (4, 1024)  # least and most 64-bit words of a parity bitmap, which has two to four cells per element
 SMALL = 64           # up to this size all segments are doubled
 WEAK_COST = 50.0     # comparisons that a signature of at most one element is expected to cause
 
@@ -94,16 +94,15 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """Parity of the set in each of 512 cells; two bitmaps differ in at most as many cells as the sets differ in elements."""
-    bits = np.bincount((mix(s) >> np.uint64(55)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    """Parity of the set in each cell, a power of two of them by the set's size; two bitmaps of one length differ in at most as many
+    cells as the sets differ in elements, and a longer one folds to half its length by exclusive or of its halves."""
+    words = min(BITMAP_WORDS[1], max(BITMAP_WORDS[0], 1 << max(0, (s.size - 1) // 32).bit_length()))
+    bits = np.bincount((mix(s) & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-_MAPS = [f"m{i}" for i in range(BITMAP_WORDS)]
-
-
 def describe(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, k1, k2, m0..``: set size, a 128-bit key of the set, its parity bitmap."""
+    """``doc_id, n_shingles, k1, k2``: set size and a 128-bit key of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,10 +110,20 @@ def describe(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -
             size = np.array([s.size for s in sets], np.int64)
             k1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             k2 = np.array([mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            maps = np.stack([bitmap(s) for s in sets]) if sets else np.empty((0, BITMAP_WORDS), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(k1), pa.array(k2), *[pa.array(np.ascontiguousarray(maps[:, i])) for i in range(BITMAP_WORDS)]], names=["doc_id", "n_shingles", "k1", "k2", *_MAPS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(k1), pa.array(k2)], names=["doc_id", "n_shingles", "k1", "k2"])
+
+    return _rows(docs, key, text).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
+
+
+def _maps(texts: DataFrame, n: int) -> DataFrame:
+    """``doc_id, n_shingles, map``: set size and parity bitmap."""
 
-    return _rows(docs, key, text).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint, " + ", ".join(f"{m} bigint" for m in _MAPS))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1).to_pylist(), n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "map"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, map array<bigint>")
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -164,8 +173,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _close(x: str, y: str, num: int, den: int) -> Column:
     """What two linked sets must satisfy: near sizes, and bitmaps no further apart than the sets may be."""
     nx, ny = F.col(f"{x}.n_shingles"), F.col(f"{y}.n_shingles")
-    apart = sum((F.bit_count(F.col(f"{x}.{m}").bitwiseXOR(F.col(f"{y}.{m}"))) for m in _MAPS), F.lit(0))
-    return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (apart * (den + num) <= (nx + ny) * (den - num))
+    mx, my = F.col(f"{x}.map"), F.col(f"{y}.map")
+    xor = lambda a, b: a.bitwiseXOR(b)
+    fold = lambda m, other: F.when(F.size(m) > F.size(other), F.zip_with(F.slice(m, 1, (F.size(m) / 2).cast("int")), F.slice(m, (F.size(m) / 2).cast("int") + 1, (F.size(m) / 2).cast("int")), xor)).otherwise(m)
+    apart = F.aggregate(F.zip_with(fold(mx, my), fold(my, mx), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda s, v: s + v)
+    # sizes of a pair that links lie within a factor of two, so one fold is enough; without equal lengths nothing is ruled out
+    apart = F.when(F.size(fold(mx, my)) == F.size(fold(my, mx)), apart).otherwise(0)
+    return F.when(F.least(nx, ny) * den >= F.greatest(nx, ny) * num, apart * (den + num) <= (nx + ny) * (den - num)).otherwise(F.lit(False))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -206,13 +220,12 @@ def join(docs: DataFrame, n: int, num: int, den: int, key: str = "doc_id", text:
     whole = members.where("doc_id is not null and n_shingles > 0")
     reps = whole.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("representative"))
     of = common.settled(whole.join(reps, ["k1", "k2", "n_shingles"]).select("doc_id", "representative"), "representatives")
-    described = whole.join(of.where("doc_id = representative").select("doc_id").distinct(), "doc_id").dropDuplicates(["doc_id"])
-
     index = _index(docs, n, num, den, key, text).repartition("sig").sortWithinPartitions("sig", "doc_id")
     stars = index.mapInArrow(_stars, "sig bigint, a bigint, b bigint")
     stars = common.settled(stars.join(of.select(F.col("doc_id").alias("a"), F.col("representative").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("representative").alias("rb")), "b").where("ra <> rb").select("sig", F.col("ra").alias("a"), F.col("rb").alias("b")), "stars")
 
-    described = common.settled(described.join(stars.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "doc_id"), "described")
+    texts = common.settled(common.rows_of(_rows(docs, key, text), stars.select(F.explode(F.array("a", "b")).alias("doc_id"))).dropDuplicates(["doc_id"]), "texts", compression="zstd")
+    described = common.settled(_maps(texts, n), "described")
 
     def near(pairs: DataFrame) -> DataFrame:
         p = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -220,7 +233,6 @@ def join(docs: DataFrame, n: int, num: int, den: int, key: str = "doc_id", text:
         return p.where(_close("x", "y", num, den)).select("a", "b")
 
     first = common.settled(near(stars), "pairs")
-    texts = common.settled(common.rows_of(_rows(docs, key, text), described.select("doc_id")).dropDuplicates(["doc_id"]), "texts", compression="zstd")
     links = common.settled(_verify(first, texts, n, num, den), "verified")
     found = common.components(links)
 

@@ -89,9 +89,10 @@ def probes_needed(planes: int, ratio: float, wanted: float, tables: int, most: i
 
 
 def fit(rows: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", wanted: float = WANTED) -> Index | None:
-    """Fit on at most ``SAMPLE_ROWS`` usable rows, those with the smallest hashed keys; None without rows."""
+    """Fit on about ``SAMPLE_ROWS`` usable rows, at most twice as many, picked by hashed key; None without rows."""
     n = rows.count()
-    sample = rows.orderBy(F.xxhash64(key), key).select(F.col(f"`{vector}`").cast("array<double>").alias("v")).limit(SAMPLE_ROWS).toPandas()
+    share = math.ceil(min(1.0, SAMPLE_ROWS / max(1, n)) * (1 << 30))  # of hashed keys
+    sample = rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < share).select(F.xxhash64(key).alias("h"), F.col(f"`{key}`").alias("k"), F.col(f"`{vector}`").cast("array<double>").alias("v")).limit(2 * SAMPLE_ROWS).toPandas().sort_values(["h", "k"])
     if not len(sample):
         return None
     dim = len(sample["v"].iloc[0])

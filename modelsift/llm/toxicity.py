@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import common
 from .tokens import worker_store
 
-TRAIN_ROWS = 12_000     # labelled rows that are learned from, those with the smallest hashed ids
+TRAIN_ROWS = 12_000     # labelled rows that are learned from, about
 SHORTEST, LONGEST = 4, 12  # letters of a word beginning
 KEEP_SHARE = 0.95       # a longer entry replaces a shorter one when it keeps this share of its toxic documents
 MIN_LIFT = 6.0          # toxic share over clean share an entry needs
@@ -269,9 +269,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn_from_tables(docs: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learn from at most ``TRAIN_ROWS`` labelled documents outside the held-out fifth; repeated labels of an id take the largest."""
+    """Learn from about ``TRAIN_ROWS`` labelled documents outside the held-out fifth, picked by hashed id, at most twice as many; repeated
+    labels of an id take the largest."""
     known = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("label")).where("label in (0, 1)")
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    share = math.ceil(min(1.0, TRAIN_ROWS / max(1, known.count())) * (1 << 30))
+    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).limit(2 * TRAIN_ROWS)
     return learn(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label"))  # some: TRAIN_ROWS at most
 
 
