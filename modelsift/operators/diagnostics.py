@@ -119,13 +119,14 @@ def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
 
 
 def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
-    """``(threshold, precision, recall)`` at every distinct score."""
+    """``(threshold, precision, recall)`` at every distinct score, with the closing point (recall 0, precision 1) at an infinite threshold."""
     t = _side_totals(df, label, score)
     cum = _cumulative(df, label, score)
-    return cum.select(
+    points = cum.select(
         "threshold", ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg")).alias("precision"),
         ratio(F.col("cum_pos"), t["pos"]).alias("recall"),
     )
+    return points.unionAll(df.sparkSession.createDataFrame([(float("inf"), 1.0, 0.0)], points.schema))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
-from itertools import combinations
+
+import numpy as np
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import abs_pearson, agg_row, boolean_columns, chunks, col, field_of, is_numeric, number, numeric_columns, text_columns
 
 # fixed values of the checks
-THRESHOLD, RTOL, ATOL, PAIR_GUARD = 0.95, 1e-5, 1e-8, 30
+THRESHOLD, RTOL, ATOL = 0.95, 1e-5, 1e-8
 PROXY_WORDS = ("target", "label", "result", "outcome", "output")
 PAIRS_PER_SCAN = 100
 SCREEN_ROWS = 64
@@ -37,27 +39,36 @@ def _holds(df: DataFrame, a: str, b: str, target: str) -> Column:
     return F.coalesce(F.bool_and(F.coalesce(close, F.lit(False))), F.lit(False))
 
 
-def identity_leaks(df: DataFrame, target: str, max_columns: int | None = PAIR_GUARD) -> DataFrame:
+def identity_leaks(df: DataFrame, target: str, max_columns: int | None = None) -> DataFrame:
     """Pairs whose product equals the target on every row: ``(feature_a, feature_b)``.
 
     A pair that fails on any row is no identity, so a handful of rows rules out nearly all pairs; only the
-    survivors are tested on the whole table.  ``max_columns=None`` lifts the width guard.
+    survivors are tested on the whole table.  ``max_columns`` skips the check on wider tables, which is logged.
     """
     nums = numeric_columns(df, [target])
     schema = "feature_a string, feature_b string"
     if max_columns is not None and len(nums) > max_columns:
+        logging.getLogger(__name__).warning("product check skipped: %d numeric columns, %d allowed", len(nums), max_columns)
         return df.sparkSession.createDataFrame([], schema)
-    pairs = list(combinations(nums, 2))
-    few = df.select(*[col(c) for c in [*nums, target]]).limit(SCREEN_ROWS)
-    for stage in (few, df):
-        kept = []
-        for part in chunks(pairs, PAIRS_PER_SCAN):
-            seen = stage.agg(*[_holds(df, a, b, target).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
-            kept += [pair for i, pair in enumerate(part) if seen[f"p{i}"]]
-        pairs = kept
-        if not pairs:
-            break
-    return df.sparkSession.createDataFrame(pairs, schema)
+    kept = []
+    for part in chunks(_screened(df, nums, target), PAIRS_PER_SCAN):
+        seen = df.agg(*[_holds(df, a, b, target).alias(f"p{i}") for i, (a, b) in enumerate(part)]).first()
+        kept += [pair for i, pair in enumerate(part) if seen[f"p{i}"]]
+    return df.sparkSession.createDataFrame(kept, schema)
+
+
+def _screened(df: DataFrame, nums: list[str], target: str) -> list[tuple[str, str]]:
+    """Pairs that hold on a few rows."""
+    rows = df.select(*[number(df, c).cast("double").alias(f"c{i}") for i, c in enumerate([*nums, target])]).limit(SCREEN_ROWS).collect()
+    if not rows:
+        return []
+    x = np.array([[np.nan if v is None else v for v in r] for r in rows], float)
+    y, out = x[:, -1], []
+    with np.errstate(all="ignore"):
+        for i in range(len(nums)):
+            close = np.abs(x[:, i : i + 1] * x[:, i + 1 : -1] - y[:, None]) <= (ATOL + RTOL * np.abs(y))[:, None]
+            out += [(nums[i], nums[i + 1 + j]) for j in np.flatnonzero(close.all(0))]
+    return out
 
 
 def name_leaks(df: DataFrame, target: str) -> list[str]:
@@ -115,7 +126,7 @@ def _could_be_one_to_one(df: DataFrame, target: str, columns: Sequence[str]) ->
     return out
 
 
-def find_leaks(df: DataFrame, target: str, threshold: float = THRESHOLD, max_columns: int | None = PAIR_GUARD) -> dict[str, str]:
+def find_leaks(df: DataFrame, target: str, threshold: float = THRESHOLD, max_columns: int | None = None) -> dict[str, str]:
     """``{feature: reason}`` over all checks; nothing is checked for a non-numeric target."""
     if target not in df.columns or not is_numeric(field_of(df, target)):
         return {}
@@ -136,6 +147,6 @@ def find_leaks(df: DataFrame, target: str, threshold: float = THRESHOLD, max_col
     return found
 
 
-def drop_leaks(df: DataFrame, target: str, threshold: float = THRESHOLD) -> tuple[DataFrame, dict[str, str]]:
-    found = find_leaks(df, target, threshold)
+def drop_leaks(df: DataFrame, target: str, threshold: float = THRESHOLD, max_columns: int | None = None) -> tuple[DataFrame, dict[str, str]]:
+    found = find_leaks(df, target, threshold, max_columns)
     return df.drop(*found), found

@@ -9,18 +9,17 @@ import numpy as np
 from pyspark import StorageLevel, keyword_only
 from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, OneHotEncoder, VectorAssembler, VectorSlicer
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSlicer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasInputCols, HasLabelCol, HasOutputCol
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.ml.stat import Summarizer
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
 from .encode import MAX_LEVELS, BoundedIndexer
+from .projection import LinearMap, covariance, spectrum
 from .select import above_variance, k_best
 
 
@@ -166,6 +165,15 @@ class ModelSelect(_Stage, HasInputCol, HasOutputCol, HasLabelCol):
         return VectorSlicer(inputCol=f, outputCol=self.getOutputCol(), indices=kept or [0])
 
 
+def _shares(values: np.ndarray) -> np.ndarray:
+    return values / values.sum() if values.sum() > 0 else np.zeros(len(values))
+
+
+def _components(share: np.ndarray, want: float) -> int:
+    """A count, or the fewest components whose cumulative share exceeds a fraction."""
+    return min(len(share), int(want) if want >= 1 else int(np.searchsorted(np.cumsum(share), want, side="right")) + 1)
+
+
 class PcaReduce(_Stage, HasInputCol, HasOutputCol):
     """Principal components: a count, or the fewest whose cumulative variance share exceeds a fraction."""
 
@@ -177,12 +185,11 @@ class PcaReduce(_Stage, HasInputCol, HasOutputCol):
         self._setDefault(components=0.95)
         self._keep(self._input_kwargs)
 
-    def _fit(self, df: DataFrame) -> PipelineModel:
-        p, want, out = vector_size(df, self.getInputCol()), self.getOrDefault(self.components), self.getOutputCol()
-        full = PCA(k=p, inputCol=self.getInputCol(), outputCol=f"{out}_all").fit(df)
-        share = np.cumsum(np.nan_to_num(full.explainedVariance.toArray()))
-        k = min(p, int(want)) if want >= 1 else min(p, int(np.searchsorted(share, want, side="right")) + 1)
-        return PipelineModel(stages=[full, VectorSlicer(inputCol=f"{out}_all", outputCol=out, indices=list(range(k)))])
+    def _fit(self, df: DataFrame) -> LinearMap:
+        _, mean, cov = covariance(df, self.getInputCol())
+        values, rows = spectrum(cov)
+        k = _components(_shares(values), self.getOrDefault(self.components))
+        return LinearMap.of(rows[:k], self.getInputCol(), self.getOutputCol(), mean)
 
 
 class LevelVectors(_Stage, HasInputCols, HasOutputCol):
@@ -220,32 +227,27 @@ def pca_report(df: DataFrame, features: str, components: float = 0.95, whiten: b
     Returns ``(projected, spectrum, metrics)``: the input with ``pca`` added, ``(component, ratio, cumulative,
     singular_value)``, and one row ``(reconstruction_rmse, explained_variance, n_components)``.
     """
-    from pyspark.ml.feature import ElementwiseProduct, StandardScaler
+    from pyspark.ml.functions import vector_to_array
 
     spark, p = df.sparkSession, vector_size(df, features)
-    centred_model = StandardScaler(inputCol=features, outputCol="_centred", withMean=True, withStd=False).fit(df)
-    centred = centred_model.transform(df)
-    stats = centred.select(Summarizer.metrics("count", "variance").summary(F.col("_centred")).alias("s")).first()["s"]
-    n, total = stats["count"], float(stats["variance"].toArray().sum())
-    model = PCA(k=p, inputCol="_centred", outputCol="_all").fit(centred)
-    ratio = np.nan_to_num(model.explainedVariance.toArray())
-    share = np.cumsum(ratio)
-    k = min(p, int(components)) if components >= 1 else min(p, int(np.searchsorted(share, components, side="right")) + 1)
+    n, mean, cov = covariance(df, features)
+    values, rows = spectrum(cov)
+    ratio = _shares(values)
+    share, k = np.cumsum(ratio), _components(ratio, components)
+    kept = LinearMap.of(rows[:k], features, "pca", mean).transform(df)
     # unit vectors make the projection orthogonal: what is lost is the length not explained
-    out = VectorSlicer(inputCol="_all", outputCol="_kept", indices=list(range(k))).transform(model.transform(centred))
-    scale = 1.0 / np.sqrt(np.maximum(ratio[:k] * total, 1e-300)) if whiten else np.ones(k)
-    out = ElementwiseProduct(inputCol="_kept", outputCol="pca", scalingVec=Vectors.dense(scale)).transform(out)
-    from pyspark.ml.functions import vector_to_array
-
-    square = lambda c: F.aggregate(vector_to_array(F.col(c)), F.lit(0.0), lambda a, x: a + x * x)
-    lost = out.agg(F.sqrt(F.avg(F.greatest(square("_centred") - square("_kept"), F.lit(0.0))) / p).alias("reconstruction_rmse"))
+    square = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x)
+    centred = F.zip_with(vector_to_array(F.col(features)), F.lit(mean.tolist()), lambda a, b: a - b)
+    lost = kept.agg(F.sqrt(F.avg(F.greatest(square(centred) - square(vector_to_array(F.col("pca"))), F.lit(0.0))) / p).alias("reconstruction_rmse"))
     metrics = lost.withColumns({"explained_variance": F.lit(float(share[k - 1])), "n_components": F.lit(k)})
-    singular = np.sqrt(np.maximum(ratio * total * max(n - 1, 0), 0.0))
-    spectrum = spark.createDataFrame(
+    if whiten:
+        kept = LinearMap.of(rows[:k] / np.sqrt(np.maximum(values[:k], 1e-300))[:, None], features, "pca", mean).transform(df)
+    singular = np.sqrt(values * max(n - 1, 0))
+    table = spark.createDataFrame(
         [(i, float(ratio[i]), float(share[i]), float(singular[i])) for i in range(k)],
         "component int, ratio double, cumulative double, singular_value double",
     )
-    return out.drop("_centred", "_all", "_kept"), spectrum, metrics
+    return kept, table, metrics
 
 
 __all__ = [

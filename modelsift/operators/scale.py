@@ -144,7 +144,9 @@ def fit_lambdas(df: DataFrame, columns: list[str], method: str) -> dict[str, flo
     live = [k for k in names if fixed[f"{k}|n"] and fixed[f"{k}|s"]]
     if not live:
         return {c: 1.0 for c in columns}
-    few = base.sample(min(1.0, SAMPLE_ROWS / fixed["rows"]), seed=42).toPandas()
+    # rows are picked by a hash of their values, so the start does not depend on partitioning
+    share = min(1.0, SAMPLE_ROWS / fixed["rows"])
+    few = base.where(F.pmod(F.xxhash64(*names), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).limit(4 * SAMPLE_ROWS).toPandas()
     centre = {k: _sample_lambda(few[k].to_numpy(dtype=float), method) for k in live}
     step = {k: STEPS[0] for k in live}
     seen: dict[str, dict[float, float]] = {k: {} for k in live}

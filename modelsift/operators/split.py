@@ -13,7 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import ConfigurationError, InsufficientDataError
+from ..errors import ConfigurationError, DataValidationError, InsufficientDataError
 from ..functions.columns import col, ratio
 from ..functions.hashing import hash60, row_keys
 from .encode import require_few_levels, sorted_levels
@@ -60,7 +60,9 @@ def hash_cutoffs(
     """
     tagged = df.select(hash60(keys, seed).alias(HASH), (col(by) if by else F.lit("all")).alias("_by"))
     levels = ["all"] if by is None else list(levels if levels is not None else _levels(df, by))
-    counted = {r["_by"]: r["n"] for r in tagged.groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect() if r["_by"] is not None}
+    counted = {r["_by"]: r["n"] for r in tagged.groupBy("_by").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if counted.get(None):
+        raise DataValidationError("rows without a class cannot be stratified", column=by, rows=counted[None])
     counts = {v: counted.get(v, 0) for v in levels}
     live = [v for v in levels if counts[v]]
     out = {v: (counts[v], dict.fromkeys(probs)) for v in levels}

@@ -29,7 +29,8 @@ from .base import FEATURES, FOLD, LABEL, Candidate, balanced, branch_stages, cla
 from .registry import register_model
 from .tuning import Choice, FloatRange, Search, tpe_search
 
-MAPPED, FOURIER, MAX_CUBIC = "mapped", 256, 5000
+MAPPED, FOURIER = "mapped", 256
+MAX_CUBIC, CUBIC = 5000, 2048  # monomials that are written out at most; random features that stand for more
 EPSILON = 0.1  # fixed value: half width of the regression tube
 
 
@@ -66,6 +67,44 @@ class FourierFeatures(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, D
         return df.withColumn(self.getOutputCol(), array_to_vector(lift(vector_to_array(F.col(self.getInputCol())))))
 
 
+class CubicFeatures(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Products of three random sign projections of (sqrt(gamma) x, 1) over sqrt(D).
+
+    Their inner products estimate (gamma x.y + 1)^3 without bias, so a wide table needs no cubic expansion: approximate, with a
+    size that does not depend on the number of columns.  The signs follow from the seed.
+    """
+
+    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
+    size = Param(Params._dummy(), "size", "number of features", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
+
+    def __init__(self):
+        super().__init__()
+        self._setDefault(gamma=1.0, size=CUBIC, seed=42, inputCol=FEATURES, outputCol=MAPPED)
+
+    @classmethod
+    def of(cls, gamma: float, seed: int, size: int = CUBIC):
+        m = cls()
+        m._set(gamma=float(gamma), seed=seed, size=size)
+        return m
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        gamma, size, seed = (self.getOrDefault(p) for p in (self.gamma, self.size, self.seed))
+
+        @F.pandas_udf("array<double>")
+        def lift(x: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            m = math.sqrt(gamma) * np.stack(x.to_numpy())
+            m = np.concatenate((m, np.ones((len(m), 1))), axis=1)
+            rng, out = np.random.default_rng(seed), np.full((len(m), size), 1 / math.sqrt(size))
+            for _ in range(3):
+                out *= m @ (2.0 * rng.integers(0, 2, (m.shape[1], size)) - 1)
+            return pd.Series(list(out))
+
+        return df.withColumn(self.getOutputCol(), array_to_vector(lift(vector_to_array(F.col(self.getInputCol())))))
+
+
 class ScaleVector(Model, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     factor = Param(Params._dummy(), "factor", "multiplier", TypeConverters.toFloat)
 
@@ -130,7 +169,7 @@ def feature_map(frame: DataFrame, kernel: str, gamma, seed: int):
         return FourierFeatures.of(width, seed)
     if kernel == "poly":
         if math.comb(p + 3, 3) > MAX_CUBIC:
-            raise ConfigurationError("cubic expansion is too wide", features=p)
+            return CubicFeatures.of(width, seed)
         return PipelineModel(stages=[
             ScaleVector.of(math.sqrt(width), FEATURES, "_narrow"), PolynomialExpansion(degree=3, inputCol="_narrow", outputCol=MAPPED),
         ])

@@ -1,6 +1,6 @@
 """Registered queries of the models, the tuners and the recommendation flow.
 
-Search spaces are narrowed here to keep a query short; every query reads its whole table.
+Every query reads its whole table and searches the default space of its model.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from ..sources.tables import read_table
 from . import tuning
 from .base import FEATURES, FOLD, LABEL, ROW, Problem
 from .bayes import GaussianNBModel, class_moments
-from .linear import moments, solve_elastic_net
+from .linear import ElasticNet, moments, solve_elastic_net
 from .margins import Svm
 from .recommend import Outcome, Recommender, leaderboard_table, prediction_latency
 from .registered import query, rounded
@@ -98,8 +98,7 @@ def elastic_net(spark, sf):
 
 @query("logistic")
 def logistic(spark, sf):
-    config = {"C": [0.1, 10.0], "penalty": ["l1", "l2", "elasticnet"], "max_iter": 30}
-    return _scores(_fitted(_lines(spark, sf), "l_linestatus", "logistic", config, LINE_KEY), spark)
+    return _scores(_fitted(_lines(spark, sf), "l_linestatus", "logistic", {}, LINE_KEY), spark)
 
 
 _NB = ["l_quantity", "l_extendedprice", "l_tax"]
@@ -138,8 +137,7 @@ def naive_bayes(spark, sf):
 
 @query("multinomial_nb")
 def multinomial_nb(spark, sf):
-    config = {"model_type": "multinomial", "alpha": [0.1, 1.0]}
-    return _scores(_fitted(_lines(spark, sf), "l_linestatus", "naive bayes", config, LINE_KEY), spark)
+    return _scores(_fitted(_lines(spark, sf), "l_linestatus", "naive bayes", {"model_type": "multinomial"}, LINE_KEY), spark)
 
 
 # --- trees ----------------------------------------------------------------------------------------------------------
@@ -147,14 +145,12 @@ def multinomial_nb(spark, sf):
 
 @query("tree")
 def tree(spark, sf):
-    config = {"max_depth": [5, 10], "min_samples_leaf": [1, 4], "n_iter": 6}
-    return _scores(_fitted(_customers(spark, sf), "c_acctbal", "tree", config, "c_custkey"), spark)
+    return _scores(_fitted(_customers(spark, sf), "c_acctbal", "tree", {}, "c_custkey"), spark)
 
 
 @query("tree_classifier")
 def tree_classifier(spark, sf):
-    config = {"max_depth": [5, 10], "min_samples_leaf": [2], "n_iter": 6}
-    return _scores(_fitted(_lines(spark, sf), "l_linestatus", "tree", config, LINE_KEY), spark)
+    return _scores(_fitted(_lines(spark, sf), "l_linestatus", "tree", {}, LINE_KEY), spark)
 
 
 def _grown(spark, sf):
@@ -181,14 +177,13 @@ def tree_pruning(spark, sf):
 
 @query("forest")
 def forest(spark, sf):
-    config = {"n_estimators": (10, 20), "max_depth": (4, 6), "n_trials": 3, "oob_trees": 5}
-    return _scores(_fitted(_customers(spark, sf), "c_mktsegment", "forest", config, "c_custkey"), spark)
+    return _scores(_fitted(_customers(spark, sf), "c_mktsegment", "forest", {}, "c_custkey"), spark)
 
 
 @query("out_of_bag")
 def out_of_bag(spark, sf):
     df = _assembled(_customers(spark, sf).withColumn(LABEL, (F.col("c_acctbal") > 4500).cast("double")), ["c_nationkey", "c_acctbal"])
-    return oob_score(df.withColumn(ROW, F.col("c_custkey").cast("string")), True, 8, maxDepth=5)
+    return oob_score(df.withColumn(ROW, F.col("c_custkey").cast("string")), True, maxDepth=5)
 
 
 # --- margins --------------------------------------------------------------------------------------------------------
@@ -196,16 +191,14 @@ def out_of_bag(spark, sf):
 
 @query("svm")
 def svm(spark, sf):
-    config = {"n_iter": 2, "kernel": ("linear", "rbf"), "max_iter": 15}
     df = read_table(spark, sf, "labels").join(read_table(spark, sf, "documents"), "doc_id").select("doc_id", "quality", "n_chars", "lang", "source")
-    return _scores(_fitted(df, "quality", "svm", config, "doc_id"), spark)
+    return _scores(_fitted(df, "quality", "svm", {}, "doc_id"), spark)
 
 
 @query("svr")
 def svr(spark, sf):
-    config = {"n_iter": 2, "kernel": ("linear", "poly")}
     df = read_table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice", "p_type")
-    return _scores(_fitted(df, "p_retailprice", "svm", config, "p_partkey"), spark)
+    return _scores(_fitted(df, "p_retailprice", "svm", {}, "p_partkey"), spark)
 
 
 @query("support_counts")
@@ -214,7 +207,7 @@ def support_counts(spark, sf):
 
     df = _vectors(spark, sf).withColumn(FEATURES, array_to_vector("x")).withColumn(LABEL, (F.col(LABEL) > 4).cast("double"))
     problem = Problem("classification", [], classes=[0, 1])
-    model = Svm(problem, {"max_iter": 15})._fit(df, {"kernel": "linear", "C": 1.0, "gamma": "scale"})
+    model = Svm(problem, {})._fit(df, {"kernel": "linear", "C": 1.0, "gamma": "scale"})
     return support_table(model, df, problem)
 
 
@@ -258,8 +251,7 @@ def knn_vote(spark, sf):
 
 @query("knn")
 def knn(spark, sf):
-    config = {"n_trials": 4, "metric": ("euclidean",)}
-    return _scores(_fitted(_customers(spark, sf), "c_acctbal", "knn", config, "c_custkey"), spark)
+    return _scores(_fitted(_customers(spark, sf), "c_acctbal", "knn", {}, "c_custkey"), spark)
 
 
 # --- selection and projection ---------------------------------------------------------------------------------------
@@ -274,7 +266,7 @@ def _standardised(spark, sf) -> DataFrame:
 @query("select_rfe")
 def select_rfe(spark, sf):
     df = _standardised(spark, sf).select(FEATURES, (F.col(LABEL) > 4).cast("double").alias(LABEL))
-    kept = rfe_support(df, FEATURES, LABEL, keep=10, step=0.2)
+    kept = rfe_support(df, FEATURES, LABEL, keep=10)
     return spark.createDataFrame([(i,) for i in kept], "feature_index int")
 
 
@@ -313,8 +305,7 @@ def pca_reconstruction(spark, sf):
 @query("nca")
 def nca(spark, sf):
     df = _standardised(spark, sf).select("vec_id", FEATURES, LABEL)
-    reduced = PcaReduce(inputCol=FEATURES, outputCol="p", components=8.0).fit(df).transform(df)
-    out = NcaReduce(inputCol="p", outputCol="nca", components=2, steps=8).fit(reduced).transform(reduced)
+    out = NcaReduce(inputCol=FEATURES, outputCol="nca", components=2).fit(df).transform(df)
     from pyspark.ml.functions import vector_to_array
 
     z = vector_to_array(F.col("nca"))
@@ -325,26 +316,40 @@ def nca(spark, sf):
 
 
 def _ridge_folds(spark, sf):
-    """Per fold: train and validation moments of the line items, from which any penalty can be scored."""
+    """Line items with folds; features are scaled inside each fold, from the moments of its train rows."""
     base = _lines(spark, sf).withColumn(ROW, F.concat_ws("|", *LINE_KEY)).withColumn(LABEL, F.col("l_extendedprice"))
     df = split.fold_column(base, 3, ROW, output=FOLD)
-    cols = ["l_quantity", "l_discount", "l_tax"]
-    df = _assembled(Scaler(inputCols=cols).fit(df).transform(df), cols).select(FEATURES, LABEL, FOLD, ROW)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)  # read twice per fold and batch
+    return df.select(*[F.col(c).alias(f"z{i}") for i, c in enumerate(("l_quantity", "l_discount", "l_tax", LABEL))], FOLD, ROW).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _fold_moments(df: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """``{fold: (rows, sums, sums of products)}`` about a common centre, in one aggregate."""
+    centre = df.agg(*[F.avg(f"z{i}").alias(f"z{i}") for i in range(4)]).first()
+    z = [F.col(f"z{i}") - F.lit(centre[f"z{i}"]) for i in range(4)]
+    sums = [F.sum(z[i]).alias(f"s{i}") for i in range(4)] + [F.sum(z[i] * z[j]).alias(f"p{i}{j}") for i in range(4) for j in range(i + 1)]
+    rows = df.groupBy(FOLD).agg(F.count(F.lit(1)).alias("n"), *sums).collect()  # one row a fold
+    return {r[FOLD]: (r["n"], np.array([r[f"s{i}"] for i in range(4)]), np.array([[r[f"p{max(i, j)}{min(i, j)}"] for j in range(4)] for i in range(4)])) for r in rows}
 
 
 def _ridge_scores(df: DataFrame, settings: list[dict]) -> list[float]:
-    total = [0.0] * len(settings)
-    for f in range(3):
-        (_, m, c), (_, vm, vc) = moments(df.filter(F.col(FOLD) != f)), moments(df.filter(F.col(FOLD) == f))
-        for i, s in enumerate(settings):
-            w = solve_elastic_net(c[:-1, :-1], c[:-1, -1], s["alpha"] * s["l1_ratio"], s["alpha"] * (1 - s["l1_ratio"]))
-            bias = vm[-1] - m[-1] - (vm[:-1] - m[:-1]) @ w
-            total[i] -= float(vc[-1, -1] - 2 * w @ vc[:-1, -1] + w @ vc[:-1, :-1] @ w + bias * bias) / 3
+    """Minus the mean validation error of each setting: train moments are those of all rows less those of the fold."""
+    by_fold, total = _fold_moments(df), [0.0] * len(settings)
+    whole = tuple(sum(v[k] for v in by_fold.values()) for k in range(3))
+    for n, s, p in by_fold.values():
+        tn, ts, tp = (a - b for a, b in zip(whole, (n, s, p)))
+        m, vm = ts / tn, s / n
+        c, vc = tp / tn - np.outer(m, m), p / n - np.outer(vm, vm)
+        unit = np.append(np.sqrt(np.diag(c)[:-1]), 1.0)
+        unit[unit == 0] = 1.0
+        c, vc, shift = c / np.outer(unit, unit), vc / np.outer(unit, unit), (vm - m) / unit
+        for i, q in enumerate(settings):
+            w = solve_elastic_net(c[:-1, :-1], c[:-1, -1], q["alpha"] * q["l1_ratio"], q["alpha"] * (1 - q["l1_ratio"]))
+            bias = shift[-1] - shift[:-1] @ w
+            total[i] -= float(vc[-1, -1] - 2 * w @ vc[:-1, -1] + w @ vc[:-1, :-1] @ w + bias * bias) / len(by_fold)
     return [v if np.isfinite(v) else -np.inf for v in total]
 
 
-_GRID = {"alpha": [0.01, 0.1, 1.0, 10.0], "l1_ratio": [0.1, 0.5, 1.0]}
+_GRID = {k: ElasticNet.defaults[k] for k in ("alpha", "l1_ratio")}
 
 
 @query("grid_search")
@@ -356,7 +361,7 @@ def grid_search(spark, sf):
 @query("random_search")
 def random_search(spark, sf):
     df = _ridge_folds(spark, sf)
-    return tuning.random_search(_GRID, lambda s: _ridge_scores(df, s), 6).table(spark)
+    return tuning.random_search(_GRID, lambda s: _ridge_scores(df, s), 10).table(spark)
 
 
 @query("halving_search")
@@ -370,7 +375,7 @@ def halving_search(spark, sf):
 def tpe_search(spark, sf):
     df = _ridge_folds(spark, sf)
     space = {"alpha": tuning.FloatRange(0.01, 100.0, log=True), "l1_ratio": tuning.FloatRange(0.0, 1.0)}
-    return tuning.tpe_search(space, lambda s: _ridge_scores(df, s), n_trials=12, startup=10).table(spark)
+    return tuning.tpe_search(space, lambda s: _ridge_scores(df, s), n_trials=20, startup=10).table(spark)
 
 
 # --- attribution and the whole flow ---------------------------------------------------------------------------------
@@ -411,7 +416,7 @@ def leaderboard_order(spark, sf):
 
 
 def flagship(spark, sf) -> DataFrame:
-    rec = Recommender(key=LINE_KEY, configs={"logistic": {"C": [0.1, 10.0], "penalty": ["l2"], "max_iter": 30}})
+    rec = Recommender(key=LINE_KEY)
     result = rec.run(_lines(spark, sf), "l_linestatus", include=["logistic, naive"])
     return result.leaderboard
 
@@ -423,8 +428,7 @@ def leaderboard(spark, sf):
 
 @query("leaderboard_regression")
 def leaderboard_regression(spark, sf):
-    config = {"tree": {"max_depth": [5], "n_iter": 4}}
-    result = Recommender(key=LINE_KEY, configs=config).run(_lines(spark, sf), "l_extendedprice", include=["linear, tree"])
+    result = Recommender(key=LINE_KEY).run(_lines(spark, sf), "l_extendedprice", include=["linear, tree"])
     return result.leaderboard.select("rank", "name", "status", F.try_element_at("metrics", F.lit("rmse")).alias("rmse"), F.try_element_at("metrics", F.lit("r2")).alias("r2"))
 
 

@@ -213,12 +213,16 @@ def leak_one_to_one(spark, sf):
     return leakage.one_to_one_leaks(_priced(spark, sf), "rank")
 
 
-@query("leak_name", "select 'final_label' as feature")
+@query(
+    "leak_name",
+    "select 'final_label' as feature, count(distinct o_orderstatus) as n_values from orders "
+    "union all select 'is_result_late', count(distinct o_totalprice > 100000) from orders",
+)
 def leak_name(spark, sf):
-    df = _priced(spark, sf)
-    named = leakage.name_leaks(df, "rank")
-    # the name test needs no data; it is answered for the columns the table really has
-    return df.agg(F.lit(named).alias("f")).select(F.explode("f").alias("feature"))
+    """Columns that the name rule drops, with the values each of them would have given away."""
+    df = _orders(spark, sf).select("o_custkey", F.col("o_totalprice").alias("output"), F.col("o_orderstatus").alias("final_label"), (F.col("o_totalprice") > 100000).alias("is_result_late"), F.col("o_orderpriority").alias("level"))
+    named = leakage.name_leaks(df, "o_custkey")
+    return df.agg(*[F.count_distinct(c).alias(c) for c in named]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("n_values")) for c in named])))
 
 
 @query(
@@ -636,7 +640,7 @@ def roc_points(spark, sf):
     return diagnostics.roc_points(_curve(spark, sf), "y", "s")
 
 
-@query("pr_points", _CURVE + "select s as threshold, cp / (cp + cn)::double as precision, cp / tp::double as recall from c")
+@query("pr_points", _CURVE + "select s as threshold, cp / (cp + cn)::double as precision, cp / tp::double as recall from c union all select 'infinity'::double, 1.0, 0.0")
 def pr_points(spark, sf):
     return diagnostics.pr_points(_curve(spark, sf), "y", "s")
 
