@@ -106,7 +106,7 @@ class Extractor:
 
     @classmethod
     def shared(cls, text: str) -> Extractor:
-        store = worker_store().__dict__.setdefault("extractors", {})
+        store = worker_store("extractors")
         if text not in store:
             store.clear()
             store[text] = cls.from_json(text)

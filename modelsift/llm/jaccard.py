@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common
 from .shingles import mix, shingle_sets
+from .tokens import worker_store
 
 BITMAP_WORDS = (4, 1024)  # least and most 64-bit words of a parity bitmap, which has two to four cells per element
 SMALL = 64           # up to this size all segments are doubled
@@ -105,6 +106,7 @@ def describe(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -
     """``doc_id, n_shingles, k1, k2``: set size and a 128-bit key of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("none")
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), n)
             size = np.array([s.size for s in sets], np.int64)
@@ -134,6 +136,7 @@ def _index(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) ->
     """``sig, doc_id``; of equal sets in a task only the first is indexed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("none")
         seen: set[tuple[int, int]] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):

@@ -77,7 +77,7 @@ class PieceCoder:
 
     @classmethod
     def shared(cls, file: str, dropout: float, seed: int, variants: int) -> PieceCoder:
-        store = worker_store().__dict__.setdefault("pieces", {})
+        store = worker_store("pieces")
         name = (file, dropout, seed, variants)
         if name not in store:
             store[name] = cls(*name)

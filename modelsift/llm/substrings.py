@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import _powers, mix
 from .suffixes import sorted_suffixes
+from .tokens import worker_store
 
 SIZE = 50
 GRAM = 24              # bytes of a marked gram
@@ -121,6 +122,7 @@ def _mark_rows(size: int, gram: int, shards: int) -> Callable:
     """Rows ``shard, blob``: hashes (40 bits besides the shard) and document numbers of marks; ids of folded documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("none")
         seen: dict[bytes, int] = {}
         for ids, texts in _batches(batches, 2):
             keep, folded = [], []

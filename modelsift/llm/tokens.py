@@ -7,6 +7,7 @@ worker keeps the ids of the words it has met; new words go to the model of the t
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import sys
@@ -23,9 +24,14 @@ LONGEST_KEPT = 48
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def worker_store() -> types.ModuleType:
-    """A place that outlives a task in a reused Python worker."""
-    return sys.modules.setdefault("_corpus_worker_store", types.ModuleType("_corpus_worker_store"))
+def worker_store(kind: str) -> dict:
+    """A place that outlives a task in a reused Python worker, for one kind of thing at a time: another kind empties it, so a stage does
+    not pay for the memory of the one before."""
+    store = sys.modules.setdefault("_corpus_worker_store", types.ModuleType("_corpus_worker_store")).__dict__
+    if store.get("kind") != kind:
+        store["kind"], store["held"] = kind, {}
+        gc.collect()
+    return store["held"]
 
 
 def tokenizer_path(name_or_path: str) -> str:
@@ -64,7 +70,7 @@ class WordEncoder:
 
     @classmethod
     def shared(cls, file: str) -> WordEncoder:
-        store = worker_store().__dict__.setdefault("encoders", {})
+        store = worker_store("encoders")
         if file not in store:
             store[file] = cls(file)
         return store[file]

@@ -108,7 +108,7 @@ class Matcher:
 
     @classmethod
     def shared(cls, lexicon_json: str) -> Matcher:
-        store = worker_store().__dict__.setdefault("matchers", {})
+        store = worker_store("matchers")
         if lexicon_json not in store:
             store.clear()
             store[lexicon_json] = cls(Lexicon.from_json(lexicon_json))
@@ -165,6 +165,7 @@ def learn(rows: DataFrame, text: str = "text", label: str = "label", exceptions:
         toxic, clean = totals.get(1, 0), totals.get(0, 0)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker_store("matchers")
             pos, neg = Counter(), Counter()
             for batch in batches:
                 for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -248,17 +249,21 @@ def _spared_phrases(rows: DataFrame, lexicon: Lexicon) -> list[str]:
 def measure(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with ``score`` (0 to 1), ``weight``, ``matches``, ``words`` of every whole text; a null text is empty."""
     packed = lexicon.to_json()
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = ", ".join([f"`{c}` {t}" for c, t in rows.dtypes[:-1]] + ["score double, weight double, matches bigint, words bigint"])
+    held = [F.col(f"`{c}`") for c in keep if c != text]
+    rows = docs.select(*held, F.col(f"`{text}`").cast("string").alias("__text"))
+    out = [(text if c == "__text" else c, t) for c, t in rows.dtypes]  # the text is read once, kept or not
+    schema = ", ".join([f"`{c}` {t}" for c, t in out if c in keep] + ["score double, weight double, matches bigint, words bigint"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher.shared(packed)
         for batch in batches:
-            last = batch.num_columns - 1
-            got = [matcher.measure(t) for t in batch.column(last).to_pylist()]
-            weight, hits, words = (np.array([g[i] for g in got], dtype) for i, dtype in enumerate((float, np.int64, np.int64)))
-            score = chance(weight, words, matcher.curve)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(score), pa.array(weight), pa.array(hits), pa.array(words)], names=[*keep, "score", "weight", "matches", "words"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = [matcher.measure(t) for t in part.column(part.num_columns - 1).to_pylist()]
+                weight, hits, words = (np.array([g[i] for g in got], dtype) for i, dtype in enumerate((float, np.int64, np.int64)))
+                score = chance(weight, words, matcher.curve)
+                kept = [(c, v) for (c, _), v in zip(out, part.columns) if c in keep]
+                yield pa.RecordBatch.from_arrays([*(v for _, v in kept), pa.array(score), pa.array(weight), pa.array(hits), pa.array(words)], names=[*(c for c, _ in kept), "score", "weight", "matches", "words"])
 
     return rows.mapInArrow(scan, schema)
 
