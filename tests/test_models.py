@@ -213,4 +213,5 @@ def test_registry():
 def test_error_hierarchy():
     for e in (errors.InsufficientDataError, errors.ModelExportError, errors.RegistryError, errors.PipelineError, errors.DiagnosticsError):
         assert issubclass(e, errors.SiftError)
-    assert "column: y" in str(errors.DataValidationError("bad", column="y"))
+    e = errors.DataValidationError("bad", column="y")
+    assert str(e) == 'bad {"column": "y"}' and e.details == {"column": "y"} and str(errors.SiftError("plain")) == "plain"

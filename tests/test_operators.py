@@ -75,7 +75,7 @@ def test_target_checks(spark):
     df = frame(spark, [(1.0, "x")], "a double, b string")
     with pytest.raises(errors.DataValidationError, match="nope"):
         schema.require_column(df, "nope")
-    with pytest.raises(errors.DataValidationError, match="rows: 1"):
+    with pytest.raises(errors.DataValidationError, match='"rows": 1'):
         schema.coerce_target(df, "b")
 
 
