@@ -9,13 +9,13 @@ from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import DataValidationError, PipelineError
 from ..functions.columns import boolean_columns, col, numeric_columns, text_columns
 from ..functions.hashing import digest, row_keys
-from ..operators import diagnostics, leakage, metrics, outliers, split
+from ..operators import attribution, diagnostics, leakage, metrics, outliers, split
 from ..operators import profile as prof
 from ..operators import schema
 from ..operators.encode import label_encode
@@ -67,9 +67,8 @@ def leaderboard_table(spark: SparkSession, outcomes: Sequence[Outcome], task: st
         key = F.coalesce(F.try_element_at("metrics", F.lit("f1")), F.lit(-1.0))
     else:
         key = -F.coalesce(F.try_element_at("metrics", F.lit("rmse")), F.lit(float("inf")))
-    ordered = df.orderBy((F.col("status") == "success").desc(), key.desc(), "position").collect()  # one row per candidate
-    ranked = [(i + 1, r["name"], r["status"], r["error"], r["metrics"]) for i, r in enumerate(ordered)]
-    return spark.createDataFrame(ranked, "rank int, name string, status string, error string, metrics map<string,double>")
+    order = Window.orderBy((F.col("status") == "success").desc(), key.desc(), "position")  # one row per candidate
+    return df.withColumn("rank", F.row_number().over(order)).select("rank", "name", "status", "error", "metrics").orderBy("rank")
 
 
 def select_candidates(task: str, include: Sequence[str] | None = None) -> list[type[Candidate]]:
@@ -92,6 +91,7 @@ class Prepared:
     rules: list[str]
     leaks: dict[str, str]
     dropped_rows: int
+    cached: list[DataFrame] = field(default_factory=list)
 
 
 @dataclass
@@ -108,6 +108,7 @@ class Result:
     parameters: DataFrame
     log: DataFrame
     prepared: Prepared
+    explanations: dict[str, DataFrame] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
         spark = self.leaderboard.sparkSession
@@ -115,7 +116,8 @@ class Result:
             [(self.task, float(self.seconds), [str(c) for c in self.classes] if self.classes else None, self.best.name, self.feature_names)],
             "task string, seconds double, classes array<string>, best_model string, feature_names array<string>",
         )
-        named = {f"diagnostic_{k}": v for k, v in self.diagnostics.items()} | {f"tailored_{k}": v for k, v in self.tailored.items()}
+        groups = (("diagnostic", self.diagnostics), ("tailored", self.tailored), ("explanation", self.explanations))
+        named = {f"{g}_{k}": v for g, tables in groups for k, v in tables.items()}
         return {"summary": summary, "leaderboard": self.leaderboard, "parameters": self.parameters, "log": self.log, **named}
 
     def write(self, path: str, format: str = "parquet") -> None:
@@ -125,7 +127,7 @@ class Result:
         self.best.candidate.export(f"{path}/model")
 
     def release(self) -> None:
-        for df in [self.prepared.train, self.prepared.test, *[o.predictions for o in self.outcomes if o.predictions is not None]]:
+        for df in [*self.prepared.cached, *[o.predictions for o in self.outcomes if o.predictions is not None]]:
             df.unpersist()
 
 
@@ -199,7 +201,9 @@ class Recommender:
         # a different seed, so that folds are not nested in the split order
         train = split.fold_column(rest, self.folds, ROW, by, self.seed + 1, FOLD, levels)
         train = train.persist(StorageLevel.MEMORY_AND_DISK)
-        n_train, parts = train.count(), train.rdd.getNumPartitions()
+        cached = [train, test]
+        size = train.select(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p").alias("parts")).first()
+        n_train, parts = size["n"], size["parts"]
         # many short jobs follow: a small table is better served by few tasks, an unsplit one by more
         wanted = max(1, math.ceil(n_train / ROWS_PER_TASK))
         if wanted < parts:
@@ -207,7 +211,7 @@ class Recommender:
         elif parts < min(wanted, slim.sparkSession.sparkContext.defaultParallelism):
             train = train.repartition(min(wanted, slim.sparkSession.sparkContext.defaultParallelism), ROW)
         self.log.add("Split", f"train {n_train} rows, test {test.count()} rows")
-        return Prepared(problem, train, test, rules, leaks, dropped)
+        return Prepared(problem, train, test, rules, leaks, dropped, cached)
 
     # --- candidates
 
@@ -243,7 +247,8 @@ class Recommender:
         except Exception as e:  # noqa: BLE001 - one candidate must not end the run
             return Outcome(name, error=f"{type(e).__name__}: {str(e)[:500]}")
 
-    def run(self, df: DataFrame, target: str, include: Sequence[str] | None = None, progress: Progress | None = None, latency_runs: int = 0) -> Result:
+    def run(self, df: DataFrame, target: str, include: Sequence[str] | None = None, progress: Progress | None = None, latency_runs: int = 0, explain: bool = True) -> Result:
+        """``explain`` adds what shows the data and the best candidate: correlations, histograms, trials, attribution, neighbours."""
         start, spark = time.time(), df.sparkSession
         tell = progress or (lambda p, m: None)
         self.log.add("Start", f"{len(df.columns)} columns")
@@ -263,11 +268,14 @@ class Recommender:
         best = best_outcome(outcomes, prepared.problem.task)
         tables = diagnostic_tables(best.predictions, prepared.problem)
         self.log.add("Diagnostics", f"best candidate {best.name}")
+        explained = explanation_tables(best, prepared) if explain else {}
+        if explain:
+            self.log.add("Explanations", ", ".join(sorted(explained)))
         tailored = best.candidate.tailored(spark)
         tell(100, f"best candidate {best.name}")
         return Result(
             prepared.problem.task, prepared.problem.classes, time.time() - start, outcomes, leaderboard_table(spark, outcomes, prepared.problem.task), best,
-            best.candidate.feature_names, tables, tailored, best.candidate.parameters(spark), self.log.table(spark), prepared,
+            best.candidate.feature_names, tables, tailored, best.candidate.parameters(spark), self.log.table(spark), prepared, explained,
         )
 
 
@@ -304,6 +312,25 @@ def prediction_latency(model: PipelineModel, df: DataFrame, runs: int = 3) -> di
     return {"latency_seconds": mean, "rows_per_second": df.count() / mean}
 
 
+def explanation_tables(best: Outcome, prepared: Prepared) -> dict[str, DataFrame]:
+    """Data tables over the train rows, the trials of the best candidate, and how much each raw column adds on the test rows."""
+    spark, problem = prepared.train.sparkSession, prepared.problem
+    out = {"trials": best.candidate.search.table(spark)}
+    if problem.numeric:
+        out["correlation_matrix"] = diagnostics.correlation_matrix(prepared.train.select(LABEL, *[col(c) for c in problem.numeric]), LABEL)
+        out["histograms"] = diagnostics.histogram(prepared.train, problem.numeric)
+    columns = [*problem.numeric, *problem.text, *problem.flags]
+    if problem.is_classification:
+        loss = lambda d: d.agg(F.avg((F.col(LABEL) != F.col("prediction")).cast("double"))).first()[0] or 0.0
+    else:
+        loss = lambda d: d.agg(F.sqrt(F.avg((F.col(LABEL) - F.col("prediction")) ** 2))).first()[0] or 0.0
+    if columns:
+        out["attribution"] = attribution.permutation_importance(best.candidate.model, prepared.test, columns, ROW, loss, problem.seed)
+    if hasattr(best.candidate, "inspected"):
+        out["neighbours"] = best.candidate.inspected(prepared.test)
+    return out
+
+
 def diagnostic_tables(predictions: DataFrame, problem: Problem) -> dict[str, DataFrame]:
     if not problem.is_classification:
         return {

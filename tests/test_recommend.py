@@ -120,3 +120,22 @@ def test_a_failing_candidate_becomes_a_row(spark):
     prepared = rec.prepare(mixed(spark), "target")
     out = rec.train_one(select_candidates("classification", ["naive"])[0], prepared, lambda p, m: None)
     assert not out.ok and "ConfigurationError" in out.error
+
+
+def test_explanations_of_a_run(spark):
+    import numpy as np
+
+    from modelsift.plans.recommend import Recommender
+
+    rng = np.random.default_rng(8)
+    rows = [(i, float(a), float(b), "xy"[i % 2], float(3 * a + 2 * c)) for i, (a, b, c) in enumerate(rng.normal(size=(240, 3)))]
+    result = Recommender(key="id").run(spark.createDataFrame(rows, "id int, a double, b double, t string, y double"), "y", include=["elasticnet, knn"])
+    tables = result.tables()
+    assert {"explanation_trials", "explanation_correlation_matrix", "explanation_histograms", "explanation_attribution"} <= set(tables)
+    assert tables["explanation_attribution"].orderBy("importance", ascending=False).first()["feature"] == "a"
+    assert tables["explanation_trials"].count() == len(result.best.candidate.search.trials)
+    ranks = [(r["rank"], r["status"]) for r in result.leaderboard.collect()]
+    assert [k for k, _ in ranks] == list(range(1, len(ranks) + 1))
+    assert not result.prepared.cached[0].storageLevel == result.prepared.cached[0].sparkSession.range(1).storageLevel
+    result.release()
+    assert not result.prepared.cached[0].is_cached and not result.prepared.cached[1].is_cached
