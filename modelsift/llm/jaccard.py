@@ -117,15 +117,23 @@ def describe(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -
     return _rows(docs, key, text).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
 
 
+_FOLDS = [f"f{i}" for i in range(4)]
+
+
 def _maps(texts: DataFrame, n: int) -> DataFrame:
-    """``doc_id, n_shingles, map``: set size and parity bitmap."""
+    """``doc_id, n_shingles, map, f0..f3``: set size, parity bitmap, and the bitmap folded to 256 cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "map"])
+            maps = [bitmap(s) for s in sets]
+            folds = np.stack([np.bitwise_xor.reduce(m.reshape(-1, 4), axis=0) for m in maps]) if maps else np.empty((0, 4), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([s.size for s in sets], pa.int64()), pa.array(maps, pa.list_(pa.int64())), *[pa.array(np.ascontiguousarray(folds[:, i])) for i in range(4)]],
+                names=["doc_id", "n_shingles", "map", *_FOLDS],
+            )
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, map array<bigint>")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, map array<bigint>, " + ", ".join(f"{f} bigint" for f in _FOLDS))
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -182,7 +190,10 @@ def _close(x: str, y: str, num: int, den: int) -> Column:
     apart = F.aggregate(F.zip_with(fold(mx, my), fold(my, mx), lambda a, b: F.bit_count(xor(a, b))), F.lit(0), lambda s, v: s + v)
     # sizes of a pair that links lie within a factor of two, so one fold is enough; without equal lengths nothing is ruled out
     apart = F.when(F.size(fold(mx, my)) == F.size(fold(my, mx)), apart).otherwise(0)
-    return F.when(F.least(nx, ny) * den >= F.greatest(nx, ny) * num, apart * (den + num) <= (nx + ny) * (den - num)).otherwise(F.lit(False))
+    # compiled tests come first: few pairs reach the whole bitmaps
+    coarse = sum((F.bit_count(xor(F.col(f"{x}.{f}"), F.col(f"{y}.{f}"))) for f in _FOLDS), F.lit(0))
+    may = (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (coarse * (den + num) <= (nx + ny) * (den - num))
+    return F.when(may, apart * (den + num) <= (nx + ny) * (den - num)).otherwise(F.lit(False))
 
 
 def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
