@@ -4,8 +4,9 @@ Two sets that link have sizes within the threshold, so sizes fall into geometric
 the next share a scheme.  A scheme hashes the universe into segments.  If two sets differ in at most H elements and the
 segments' budgets sum to H + 1 + t, they agree in segments worth more than t.  A segment of budget 1 is indexed as a whole; one
 of budget 2 also by all its one-deletion neighbours, which catches one difference.  Each set leaves out its t costliest
-whole segments, those with the fewest elements: of two agreeing sets both keep their cheapest agreeing segment, so nothing is
-lost.  A cost model picks the numbers of doubled and spare segments of each scheme.
+whole segments, those with the fewest rare elements: cost is a function of a segment's content, so of two agreeing sets both keep
+their cheapest agreeing segment and nothing is lost, whatever the costs are.  A cost model picks the numbers of doubled and spare
+segments of each scheme; which elements are frequent is read off some documents and guides the costs only.
 
 Sets that agree in a signature are candidates.  Each is compared with the smallest id of its signature; only signatures whose
 members then still lie in different components compare the rest across components, so no group of copies is paired out.
@@ -29,7 +30,9 @@ from .tokens import worker_store
 
 BITMAP_WORDS = (4, 1024)  # least and most 64-bit words of a parity bitmap, which has two to four cells per element
 SMALL = 64           # up to this size all segments are doubled
-WEAK_COST = 50.0     # comparisons that a signature of at most one element is expected to cause
+WEAK_COST = 200.0    # comparisons that a signature of at most one element is expected to cause
+GUIDE_DOCS = 4_000   # documents, about, whose shingles tell frequent ones
+FREQUENT, MOST_FREQUENT = 0.003, 50_000  # share of them that makes a shingle frequent; frequent shingles kept
 
 
 def band_edges(num: int, den: int, top: int) -> list[int]:
@@ -50,27 +53,30 @@ def scheme(num: int, den: int, low: int, high: int) -> tuple[int, int, int]:
         m = (worst + 2) // 2
         return m, m, 2 * m - worst - 1
     best, size = None, (low + high) / 2
-    for spare in sorted({0, *(math.ceil(f * worst) for f in (0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.2))}):
+    for spare in sorted({0, *(math.ceil(f * worst) for f in (0.005, 0.01, 0.02, 0.04, 0.08, 0.12, 0.2, 0.3, 0.4, 0.55))}):
         for doubled in sorted({0, *(math.ceil(f * worst) for f in (0.01, 0.02, 0.05, 0.1))}):
             m = worst + 1 + spare - doubled
             if m - doubled <= spare:
                 continue
             each = size / m
-            weak = max(0.0, (m - doubled) * math.exp(-each) * (1 + each) - spare)
+            few = math.exp(-each) * (1 + each)  # a doubled segment of one element has the empty one among its neighbours
+            weak = max(0.0, (m - doubled) * few - spare) + doubled * 10 * few  # and cannot be left out
             cost = m - spare + doubled * each + WEAK_COST * weak
             if best is None or cost < best[0]:
                 best = (cost, m, doubled, spare)
     return best[1:]
 
 
-def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Signatures of a sorted set: any two sets that link share one, unless they are equal or empty."""
+def signatures(s: np.ndarray, num: int, den: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of a sorted set: any two sets that link share one, unless they are equal or empty.  ``frequent``: a sorted array of
+    elements that make a segment costly; it must be the same for all sets."""
     if not s.size:
         return np.empty(0, np.uint64)
     edges = band_edges(num, den, s.size * den // num + 2)
     band = int(np.searchsorted(edges, s.size, side="right")) - 1
     out, value = [], mix(s ^ np.uint64(0x5851F42D4C957F2D))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
+    rare = np.ones(s.size) if frequent is None or not frequent.size else (frequent[np.minimum(np.searchsorted(frequent, s), frequent.size - 1)] != s).astype(float)
     for p in (band - 1, band):
         if p < 0:
             continue
@@ -84,7 +90,8 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         tag = mix(np.arange(m, dtype=np.uint64) + (np.uint64(p) << np.uint64(40)))
         single = np.arange(doubled, m)
         if 0 < spare < single.size and doubled < m:
-            single = single[np.argsort(counts[doubled:] * m + single, kind="stable")[spare:]]
+            own = np.bincount(segment, rare, m).astype(np.int64)
+            single = single[np.lexsort((single, counts[doubled:], own[doubled:]))[spare:]]
         kept = np.concatenate((np.arange(doubled), single))
         out.append(mix(sums[kept] + tag[kept]))
         if doubled:
@@ -140,7 +147,24 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
-def _index(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) -> DataFrame:
+def _frequent(docs: DataFrame, n: int, rows: int, key: str, text: str) -> np.ndarray:
+    """Shingles that many of some documents hold, picked by hashed id; at most ``MOST_FREQUENT``, sorted."""
+    share = math.ceil(min(1.0, GUIDE_DOCS / max(1, rows)) * (1 << 30))
+    some = _rows(docs, key, text).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = shingle_sets(batch.column(1).to_pylist(), n)
+            names, counts = np.unique(np.concatenate(sets or [np.empty(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(counts)], names=["shingle", "n"])
+
+    least = max(8, math.ceil(FREQUENT * min(rows, GUIDE_DOCS)))
+    sums = some.mapInArrow(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = sums.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["shingle"] for r in top], np.int64).view(np.uint64))
+
+
+def _index(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, frequent: np.ndarray) -> DataFrame:
     """``sig, doc_id``; of equal sets in a task only the first is indexed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +181,7 @@ def _index(docs: DataFrame, n: int, num: int, den: int, key: str, text: str) ->
                     if same in seen:
                         continue
                     seen.add(same)
-                    sigs.append(signatures(s, num, den))
+                    sigs.append(signatures(s, num, den, frequent))
                     ids.append(np.full(sigs[-1].size, k, np.int64))
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(ids))], names=["sig", "doc_id"])
@@ -234,7 +258,8 @@ def join(docs: DataFrame, n: int, num: int, den: int, key: str = "doc_id", text:
     whole = members.where("doc_id is not null and n_shingles > 0")
     reps = whole.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("representative"))
     of = common.settled(whole.join(reps, ["k1", "k2", "n_shingles"]).select("doc_id", "representative"), "representatives")
-    index = _index(docs, n, num, den, key, text).repartition("sig").sortWithinPartitions("sig", "doc_id")
+    frequent = _frequent(docs, n, members.count(), key, text)
+    index = _index(docs, n, num, den, key, text, frequent).repartition("sig").sortWithinPartitions("sig", "doc_id")
     stars = index.mapInArrow(_stars, "sig bigint, a bigint, b bigint")
     stars = common.settled(stars.join(of.select(F.col("doc_id").alias("a"), F.col("representative").alias("ra")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("representative").alias("rb")), "b").where("ra <> rb").select("sig", F.col("ra").alias("a"), F.col("rb").alias("b")), "stars")
 
