@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import random
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,22 +40,25 @@ def features(nodes: list[Node]) -> np.ndarray:
     """One row per node of ``walk``'s list."""
     total = max(1, nodes[0].chars) if nodes else 1
     around: dict[int, tuple[int, int]] = {}
+    families: dict[int, tuple[list[Node], dict[int, int], Counter]] = {}  # a parent's children with text, the place of each, their tags
     rows = []
     for node in nodes:
         up = node.parent
         above, tags = around.get(id(up), (0, 0)) if up else (0, 0)
         around[id(node)] = (above | node.hints, tags | (1 << _AROUND.index(node.tag) if node.tag in _AROUND else 0))
         c, w = node.chars, node.words
-        sibs = [k for k in up.kids if k.chars] if up else [node]
-        n = len(sibs)
-        place = sibs.index(node) if n <= 200 else int(n * (node.start - up.start) / max(1, up.chars))
+        if id(up) not in families:
+            sibs = [k for k in up.kids if k.chars] if up else [node]
+            families[id(up)] = sibs, {id(k): i for i, k in enumerate(sibs)}, Counter(k.tag for k in sibs)
+        sibs, places, alike = families[id(up)]
+        n, place = len(sibs), places[id(node)]
         before, after = sibs[place - 1] if place else None, sibs[place + 1] if place + 1 < n else None
         rows.append(
             [
                 _KIND.get(node.tag, 5), node.hints & 511, above & 511, tags, node.depth,
                 np.log1p(c), np.log1p(w), node.linked / c, node.stops / w, w / node.leaves, np.log1p(node.leaves), 1000 * node.tags / c, node.paragraphs / node.leaves, node.items / node.leaves,
                 node.inputs, 1000 * node.links / c, node.upper / node.leaves, node.digits > 0, c / total, node.start / total, (node.start + c) / total, node.hidden,
-                np.log1p(n), place / n, sum(k.tag == node.tag for k in sibs) / n if n <= 200 else 1.0, c / max(1, up.chars) if up else 1.0, (up.linked / max(1, up.chars)) if up else 0.0, np.log1p(up.chars / n) if up else 0.0, _KIND.get(up.tag, 5) if up else -1,
+                np.log1p(n), place / n, alike[node.tag] / n, c / max(1, up.chars) if up else 1.0, (up.linked / max(1, up.chars)) if up else 0.0, np.log1p(up.chars / n) if up else 0.0, _KIND.get(up.tag, 5) if up else -1,
                 before.linked / before.chars if before else -1.0, np.log1p(before.chars) if before else -1.0, _KIND.get(before.tag, 5) if before else -1,
                 after.linked / after.chars if after else -1.0, np.log1p(after.chars) if after else -1.0, _KIND.get(after.tag, 5) if after else -1, len(node.text) if not node.tag else -1,
             ]

@@ -119,6 +119,38 @@ def test_extraction_of_unseen_layouts(extractor):
     assert right / kept > 0.95 and right / wanted > 0.95
 
 
+def long_page(blocks: int, seed: int) -> tuple[str, str]:
+    """A page of so many paragraphs with headings and adverts among them, and its main text."""
+    rng, words, body, want = random.Random(seed), [f"w{i}" for i in range(300)], [], []
+    say = lambda a, b: " ".join(rng.choice(words) for _ in range(rng.randint(a, b)))
+    for i in range(blocks):
+        if i % 40 == 20:
+            body.append(f'<div class="sponsored"><p>{say(8, 20)}. {say(8, 20)}.</p></div>')
+        if i % 25 == 0:
+            want.append(say(1, 4).capitalize())
+            body.append(f"<h2>{want[-1]}</h2>")
+        want.append(". ".join(say(3, 20).capitalize() for _ in range(rng.choice([1, 1, 2, 5]))) + ".")
+        body.append(f"<p>{want[-1]}</p>")
+    return f"<html><head><title>x</title></head><body><nav><ul><li><a href=/>a b</a></li><li><a href=/>c d</a></li></ul></nav><div>{''.join(body)}</div><footer>© 2024 w1 w2. <a href=/>w3</a></footer></body></html>", " ".join(want)
+
+
+def test_features_of_many_siblings_are_exact():
+    nodes = walk(parse(long_page(700, 0)[0]))
+    kinds = {k: i for i, names in enumerate(extraction._KINDS) for k in names}
+    for node, row in zip(nodes, extraction.features(nodes)):
+        sibs = [k for k in node.parent.kids if k.chars] if node.parent else [node]
+        place = [k is node for k in sibs].index(True)
+        assert row[18:21].tolist() == [np.log1p(len(sibs)), place / len(sibs), sum(k.tag == node.tag for k in sibs) / len(sibs)]
+        before, after = sibs[place - 1] if place else None, sibs[place + 1] if place + 1 < len(sibs) else None
+        assert row[25:31].tolist() == [v for k in (before, after) for v in ((k.linked / k.chars, np.log1p(k.chars), kinds.get(k.tag, 5)) if k else (-1, -1, -1))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_extraction_of_long_pages(extractor, seed):
+    page, text = long_page(260, seed)
+    assert extractor.texts([page]) == [text]
+
+
 def test_decoding_never_contradicts(extractor):
     rng = random.Random(5)
     for _ in range(30):
