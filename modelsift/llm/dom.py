@@ -18,6 +18,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp".split())
 SILENT = frozenset("script style textarea title xmp head noscript template iframe svg math select option optgroup datalist button object audio video canvas map".split())
+IN_HEAD = frozenset("html head base link meta title noscript noframes style script template".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 BARRIER = frozenset("article aside body button caption div fieldset figure footer form header html main nav section table td th".split())
 # an open element of the first kind ends where one of the second starts
@@ -100,9 +101,19 @@ def parse(html: str | None, known: dict[str, int] | None = None) -> Node:
     def flush_silent() -> None:
         run.clear()
 
+    def close_head() -> None:
+        for d in range(len(stack) - 1, -1, -1):
+            if stack[d][0] == "head":
+                close(d)
+                break
+            if stack[d][0] == "template":
+                break
+
     while at < end:
         m = TAG.search(html, at)
         piece = html[at : m.start()] if m else html[at:]
+        if silent and stack[-1][0] == "head" and piece.strip():  # the end tag of a head may be left out
+            close_head()
         if piece and not silent:
             piece = unescape(piece) if "&" in piece else piece
             run.append(piece)
@@ -113,6 +124,8 @@ def parse(html: str | None, known: dict[str, int] | None = None) -> Node:
         at = m.end()
         name, attributes = (m[1] or m[3] or "").lower(), m[2] or m[4] or ""
         if name:
+            if name == "body" or (silent and stack[-1][0] == "head" and name not in IN_HEAD):
+                close_head()
             if name == "br" or name == "hr":
                 run.append(" ")
             if name in VOID:
@@ -164,6 +177,8 @@ def parse(html: str | None, known: dict[str, int] | None = None) -> Node:
                 at = close_at.end() if close_at else end
         elif m[5]:
             name = m[5].lower()
+            if name in ("html", "body"):
+                close_head()
             if name == "p" and not any(s[0] == "p" for s in stack):
                 flush()
             for d in range(len(stack) - 1, -1, -1):

@@ -101,6 +101,11 @@ def test_reader():
     assert leaves(deep) == ["x"]
 
 
+@pytest.mark.parametrize("page", ["<html><head><title>t</title><body><p>a</p></body></html>", "<html><head><title>t</title><meta x></head><p>a</html>", "<html><head><title>t</title><link x><p>a</html>", "<head><title>t</title>a", "<head><script>'<p>'</script></html>a", "<head><noscript><img></noscript><style>p{}</style><div>a</div>", "<head><noscript><link><body>a", "<head><template><p>b</p><body></template><body>a", "<head><br>a"])
+def test_a_head_ends_without_its_tag(page):
+    assert [n.text for n in walk(parse(page)) if not n.tag] == ["a"]
+
+
 @pytest.fixture(scope="module")
 def extractor():
     rng = random.Random(1)
