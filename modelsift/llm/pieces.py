@@ -1,13 +1,13 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 A merge-type model joins neighbouring symbols, best score first and leftmost among equals.  Here each candidate merge is skipped
-when a keyed hash of its word, variant and span falls below the dropout, so a text has many segmentations, each a function
-of the seed, the document and the word's place alone.  All of them decode to the text: characters outside the vocabulary, and a
+when a keyed hash of its document, the word's place and the span falls below the dropout, so every occurrence of a word draws its
+own merges, a function of the seed, the document and the place alone.  All of them decode to the text: characters outside the vocabulary, and a
 literal word mark, become bytes.
 
-No piece but a run of word marks continues behind a word mark, so words are encoded apart.  An occurrence picks one of
-``variants`` by keyed hash; a worker keeps the ids of words and variants it has met and encodes the new ones of a batch side by
-side: in each round every word takes the best candidate of its agenda.
+No piece but a run of word marks continues behind a word mark, so words are encoded apart.  What becomes of a word depends on
+which of the spans that could be candidates are skipped; a worker keeps the ids of words and skipped spans it has met and encodes
+the new ones of a batch side by side: in each round every word takes the best candidate of its agenda.
 """
 
 from __future__ import annotations
@@ -25,12 +25,13 @@ from .shingles import mix
 from .tokens import tokenizer_path, worker_store
 
 MARK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 7, 4
-KEPT_WORDS = 400_000   # words of each variant set a worker remembers; emptied when full
+DROPOUT, SEED = 0.1, 7
+KEPT = 400_000         # words, and outcomes of words, a worker remembers; emptied when full
+BLOCK = 1 << 16        # occurrences whose spans are hashed at a time
 LONGEST_KEPT = 40
 LONG = 400             # symbols from which a word is encoded by itself
-_BREAK = re.compile(r"([\n\t])")
-_RUNS = re.compile(r" *[^ ]+| +")
+_RUNS = re.compile(r" *[^ \n\t]+| +|[\n\t]")
+_STEP, _GOLD = np.uint64(0x9E3779B97F4A7C15), 0x9E3779B97F4A7C15
 
 
 def _points(text: str) -> np.ndarray:
@@ -38,13 +39,14 @@ def _points(text: str) -> np.ndarray:
 
 
 class PieceCoder:
-    def __init__(self, file: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, file: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = 0):
+        """``variants``: the most segmentations a word may have; 0: each occurrence has its own."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path(file))
         n = model.get_piece_size()
         self.limit = np.uint64(min(1.0, max(0.0, dropout)) * (2**64 - 1))
-        self.drops, self.seed, self.variants = dropout > 0, seed, max(1, variants) if dropout > 0 else 1
+        self.drops, self.seed, self.variants = dropout > 0, seed, variants
         ordinary = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         names = {model.id_to_piece(i): i for i in ordinary}
         if any(MARK in p[1:] and p.strip(MARK) for p in names):
@@ -73,7 +75,10 @@ class PieceCoder:
             if len(p) == 1:
                 self.lut[ord(p)] = i
         self.lut[ord(" ")], self.lut[ord(MARK)] = self.lut[ord(MARK)], -1
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        wanted = set(self.joined.tolist())
+        self.spans = {p.replace(MARK, " ") for p, i in names.items() if i in wanted}
+        self.widest = max(map(len, self.spans), default=0)
+        self._forget()
 
     @classmethod
     def shared(cls, file: str, dropout: float, seed: int, variants: int) -> PieceCoder:
@@ -83,22 +88,21 @@ class PieceCoder:
             store[name] = cls(*name)
         return store[name]
 
-    def keys_of(self, points: np.ndarray, begin: np.ndarray, start: np.ndarray, variant: int) -> np.ndarray:
-        """The hash keys of the words' dropout decisions, from their characters and the place of each in its word."""
-        own = np.add.reduceat(mix(points.astype(np.uint64) + (start.astype(np.uint64) << np.uint64(32))), begin)
-        return mix(own + np.uint64((variant * 0xBF58476D1CE4E5B9 + self.seed * 0x9E3779B97F4A7C15) & (2**64 - 1)))
-
     def skipped(self, key: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         """Whether the candidate that would span the given characters of a word is dropped."""
-        return mix(mix(key + start.astype(np.uint64)) + stop.astype(np.uint64)) < self.limit
+        return mix(key + self.steps(start, stop)) < self.limit
+
+    @staticmethod
+    def steps(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return (start.astype(np.uint64) * np.uint64(1 << 32) + stop.astype(np.uint64)) * _STEP
 
-    def agenda(self, word: str, variant: int) -> list[int]:
+    def agenda(self, word: str, draw: int) -> list[int]:
         """One word by a priority queue; gives what ``_together`` gives."""
         import heapq
 
         points = _points(word)
         ids, n = self.lut[points].tolist(), len(points)
-        key = self.keys_of(points, np.zeros(1, np.int64), np.arange(n), variant)
+        key = mix(np.array([draw], np.uint64))
         start, stop, before, after, alive = list(range(n)), list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
         heap: list[tuple[int, int, int, int, int]] = []
 
@@ -126,9 +130,9 @@ class PieceCoder:
                 out += [ids[i]] if ids[i] >= 0 else [self.bytes[b] for b in word[start[i] : stop[i]].encode("utf-8", "surrogatepass")]
         return out
 
-    def _together(self, words: list[str], variant: int) -> list[bytes]:
-        """Ids of words as bytes; each round every word takes its best candidate.  Words that are long or hold unknown characters
-        go to ``agenda``."""
+    def _together(self, words: list[str], draws: int | np.ndarray) -> list[bytes]:
+        """Ids of words as bytes, ``draws`` (one for each, or for all) key their merges; each round every word takes its best
+        candidate.  Words that are long or hold unknown characters go to ``agenda``."""
         if not words:
             return []
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -138,7 +142,8 @@ class PieceCoder:
         word = np.repeat(np.arange(len(words)), sizes)
         start = np.arange(len(sym)) - begin[word]
         stop = start + 1
-        key = self.keys_of(points, begin, start, variant)
+        draws = np.broadcast_to(np.asarray(draws, np.uint64), len(words))
+        key = mix(draws)
         odd = (np.minimum.reduceat(sym, begin) < 0) | (sizes > LONG)
         if odd.any():
             keep = ~odd[word]
@@ -180,57 +185,93 @@ class PieceCoder:
         cut = 4 * np.concatenate(([0], np.cumsum(np.bincount(word, minlength=len(words)))))
         out = [data[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
         for i in np.flatnonzero(odd).tolist():
-            out[i] = np.array(self.agenda(words[i], variant), "<u4").tobytes()
+            out[i] = np.array(self.agenda(words[i], int(draws[i])), "<u4").tobytes()
         return out
 
-    def _learn(self, wanted: list[set[str]]) -> list[dict[str, bytes]]:
-        """Ids of new words by variant."""
-        out: list[dict[str, bytes]] = []
-        for v, (words, known) in enumerate(zip(wanted, self.known)):
-            new = words - known.keys()
-            split = {w: [p for p in _BREAK.split(w) if p] for w in new if "\n" in w or "\t" in w}
-            fresh = list((new - split.keys() | {p for ps in split.values() for p in ps}) - known.keys())
-            got = dict(zip(fresh, self._together(fresh, v)))
-            got |= {w: b"".join([got.get(p) or known[p] for p in ps]) for w, ps in split.items()}
-            known.update(got if max(map(len, got), default=0) <= LONGEST_KEPT else {w: ids for w, ids in got.items() if len(w) <= LONGEST_KEPT})
-            out.append({w: ids for w, ids in got.items() if len(w) > LONGEST_KEPT})
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.outcomes: list[dict[int, bytes]] = []                # of each word, by the bits of the skipped spans
+        self.first, self.many = np.zeros(1, np.int64), np.zeros(0, np.int64)  # where each word's spans begin, and how many; -1: more than 64 or a long word
+        self.step, self.n_outcomes = np.zeros(0, np.uint64), 0
+
+    def _meet(self, words: set[str]) -> None:
+        """Number new words and list the spans of each that could be candidates."""
+        many, start, stop = [], [], []
+        for w in words:
+            self.words[w] = len(self.outcomes)
+            self.outcomes.append({})
+            n, before = len(w), len(start)
+            if not self.drops:
+                many.append(0)
+                continue
+            if n <= LONGEST_KEPT:
+                for i in range(n - 1):
+                    for j in range(i + 2, min(n, i + self.widest) + 1):
+                        if w[i:j] in self.spans:
+                            start.append(i)
+                            stop.append(j)
+            if n > LONGEST_KEPT or len(start) - before > 64:
+                del start[before:], stop[before:]
+                many.append(-1)
+            else:
+                many.append(len(start) - before)
+        self.many = np.concatenate((self.many, np.array(many, np.int64)))
+        self.first = np.concatenate(([0], np.cumsum(np.maximum(self.many, 0))))
+        self.step = np.concatenate((self.step, self.steps(np.array(start, np.int64), np.array(stop, np.int64))))
+
+    def _skips(self, word: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """Of each occurrence, a bit for each span of its word that is dropped."""
+        out = np.zeros(len(word), np.uint64)
+        for a in range(0, len(word) if self.drops else 0, BLOCK):
+            w = word[a : a + BLOCK]
+            many = np.maximum(self.many[w], 0)
+            place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            gone = np.flatnonzero(mix(np.repeat(key[a : a + BLOCK], many) + self.step[np.repeat(self.first[w], many) + place]) < self.limit)
+            if gone.size:
+                at = np.repeat(np.arange(len(w)), many)[gone]
+                begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                out[a + at[begin]] = np.bitwise_or.reduceat(np.uint64(1) << place[gone].astype(np.uint64), begin)
         return out
 
     def encode_all(self, texts: list[str | None], names: list[int]) -> list[bytes]:
-        """Ids of each text, unsigned 32-bit little-endian; ``names`` key the choice of variants.  A null or empty text has none."""
-        for known in self.known:
-            if len(known) * self.variants > KEPT_WORDS * 2:
-                known.clear()
-        cut, choice, wanted = [], [], [set() for _ in range(self.variants)]
+        """Ids of each text, unsigned 32-bit little-endian; ``names`` key the merges.  A null or empty text has none."""
+        if len(self.words) > KEPT or self.n_outcomes > KEPT:
+            self._forget()
+        flat, ends, draws = [], [], [np.zeros(0, np.uint64)]
         for t, name in zip(texts, names):
-            if not t:
-                cut.append([])
-                choice.append([])
-                continue
-            words = [" " + w for w in t.split(" ")] if "  " not in t and t[0] != " " and t[-1] != " " else _RUNS.findall(" " + t)
-            if self.variants > 1:
-                base = np.uint64((name * 0x9E3779B97F4A7C15 ^ self.seed) & (2**64 - 1))
-                pick = (mix(np.arange(len(words), dtype=np.uint64) + base) % np.uint64(self.variants)).tolist()
-            else:
-                pick = [0] * len(words)
-            cut.append(words)
-            choice.append(pick)
-            for w, v in zip(words, pick):
-                wanted[v].add(w)
-        long = self._learn(wanted)
-        lookup = [{**x} if x else {} for x in long]
-        known = self.known
-        out = []
-        for words, pick in zip(cut, choice):
-            out.append(b"".join([known[v].get(w) or lookup[v][w] for w, v in zip(words, pick)]))
-        return out
+            if t:
+                words = [" " + w for w in t.split(" ")] if not ("  " in t or t[0] == " " or t[-1] == " " or "\n" in t or "\t" in t) else _RUNS.findall(" " + t)
+                flat += words
+                base = mix(np.array([(name * _GOLD ^ self.seed) & (2**64 - 1)], np.uint64))
+                draws.append(mix(np.arange(len(words), dtype=np.uint64) + base))
+            ends.append(len(flat))
+        draw = np.concatenate(draws)
+        if self.variants:
+            draw %= np.uint64(self.variants)
+        self._meet(set(flat) - self.words.keys())
+        word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        numbers, skips = word.tolist(), self._skips(word, mix(draw)).tolist()
+        outcomes = self.outcomes
+        ids = [outcomes[w].get(m) for w, m in zip(numbers, skips)]
+        alone = self.many[word] < 0
+        new: dict[tuple[int, int], list[int]] = {}
+        for i in [i for i, x in enumerate(ids) if x is None]:
+            new.setdefault((-1, i) if alone[i] and self.drops else (numbers[i], skips[i]), []).append(i)
+        lead = [places[0] for places in new.values()]
+        for ((w, m), places), got in zip(new.items(), self._together([flat[i] for i in lead], draw[lead])):
+            for i in places:
+                ids[i] = got
+            if w >= 0 and len(flat[places[0]]) <= LONGEST_KEPT:
+                outcomes[w][m] = got
+                self.n_outcomes += 1
+        return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: np.ndarray) -> str:
         data = b"".join(map(self.shown.__getitem__, ids.tolist()))
         return data[1:].decode("utf-8", "surrogatepass") if data else ""
 
 
-def encode(docs: DataFrame, file: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS, key: str = "doc_id", text: str = "text", check: bool = False) -> DataFrame:
+def encode(docs: DataFrame, file: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = 0, key: str = "doc_id", text: str = "text", check: bool = False) -> DataFrame:
     """``doc_id, ids`` (unsigned 32-bit, little-endian), with ``lossless`` when ``check``: whether the ids decode to the text.
 
     A null or empty text has no ids.  A null key is encoded as key 0.  Rows are not moved; other columns are not read.

@@ -186,6 +186,22 @@ def test_merge_dropout_varies_and_decodes(awkward, nothing):
     assert pieces.encode(nothing, "piece_bpe_32k.model").count() == 0
 
 
+def test_merge_dropout_draws_every_occurrence_anew():
+    text = "internationalization\nof\tthe  extraordinary 字é " + "x" * 90
+    tokens = pieces._RUNS.findall(" " + text)
+    coder, rng = pieces.PieceCoder("piece_bpe_32k.model", 0.3), np.random.default_rng(1)
+    names = rng.integers(-(2**62), 2**62, 300).tolist()
+    got = coder.encode_all([text] * 300, names)
+    assert len(set(got)) == 300 and got[:7] == pieces.PieceCoder("piece_bpe_32k.model", 0.3).encode_all([text] * 7, names[:7])
+    for name, ids in zip(names, got):  # the kept outcomes are those of each occurrence's own key
+        base = pieces.mix(np.array([(name * pieces._GOLD ^ coder.seed) & (2**64 - 1)], np.uint64))
+        draws = pieces.mix(np.arange(len(tokens), dtype=np.uint64) + base).tolist()
+        assert np.frombuffer(ids, "<u4").tolist() == [x for w, d in zip(tokens, draws) for x in coder.agenda(w, d)]
+    one = coder.encode_all([" ".join(["extraordinary"] * 1000)], [5])[0]
+    assert one != coder.encode_all([" ".join(["extraordinary"] * 1000)], [6])[0]
+    assert len(coder.outcomes[coder.words[" extraordinary"]]) > 20
+
+
 def test_fold():
     assert toxicity.fold("1D10T") == toxicity.fold("\u0456d\u0456\u043et") == toxicity.fold("idiot") == toxicity.fold("ïd!ôt") == toxicity.fold("id​iot")
     assert toxicity.fold(None) == toxicity.fold("") == " " and toxicity.fold(" ,. ").strip() == ""
