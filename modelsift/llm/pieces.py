@@ -13,6 +13,7 @@ the new ones of a batch side by side: in each round every word takes the best ca
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ from .tokens import tokenizer_path, worker_store
 MARK = "▁"
 DROPOUT, SEED = 0.1, 7
 KEPT = 400_000         # words, and outcomes of words, a worker remembers; emptied when full
+OFTEN = 6              # occurrences in a batch from which a word's outcomes are kept; others are encoded each time
+MOST_SPANS = 24        # a word with more is encoded each time, for its outcomes hardly recur
 BLOCK = 1 << 16        # occurrences whose spans are hashed at a time
 LONGEST_KEPT = 40
 LONG = 400             # symbols from which a word is encoded by itself
@@ -190,8 +193,8 @@ class PieceCoder:
 
     def _forget(self) -> None:
         self.words: dict[str, int] = {}
-        self.outcomes: list[dict[int, bytes]] = []                # of each word, by the bits of the skipped spans
-        self.first, self.many = np.zeros(1, np.int64), np.zeros(0, np.int64)  # where each word's spans begin, and how many; -1: more than 64 or a long word
+        self.outcomes: list[dict[int, bytes]] = [{}]              # of each word, by the bits of the skipped spans; 0 stands for all other words
+        self.first, self.many = np.zeros(2, np.int64), np.full(1, -1)  # where each word's spans begin, and how many; -1: encoded each time
         self.step, self.n_outcomes = np.zeros(0, np.uint64), 0
 
     def _meet(self, words: set[str]) -> None:
@@ -210,7 +213,7 @@ class PieceCoder:
                         if w[i:j] in self.spans:
                             start.append(i)
                             stop.append(j)
-            if n > LONGEST_KEPT or len(start) - before > 64:
+            if n > LONGEST_KEPT or len(start) - before > MOST_SPANS:
                 del start[before:], stop[before:]
                 many.append(-1)
             else:
@@ -248,20 +251,21 @@ class PieceCoder:
         draw = np.concatenate(draws)
         if self.variants:
             draw %= np.uint64(self.variants)
-        self._meet(set(flat) - self.words.keys())
-        word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
-        numbers, skips = word.tolist(), self._skips(word, mix(draw)).tolist()
+        self._meet({w for w, n in Counter(flat).items() if n >= OFTEN} - self.words.keys())
+        numbers = [self.words.get(w, 0) for w in flat]
+        word = np.array(numbers, np.int64)
+        skips = self._skips(word, mix(draw)).tolist()
         outcomes = self.outcomes
         ids = [outcomes[w].get(m) for w, m in zip(numbers, skips)]
         alone = self.many[word] < 0
         new: dict[tuple[int, int], list[int]] = {}
         for i in [i for i, x in enumerate(ids) if x is None]:
-            new.setdefault((-1, i) if alone[i] and self.drops else (numbers[i], skips[i]), []).append(i)
+            new.setdefault((-1, i) if alone[i] else (numbers[i], skips[i]), []).append(i)
         lead = [places[0] for places in new.values()]
         for ((w, m), places), got in zip(new.items(), self._together([flat[i] for i in lead], draw[lead])):
             for i in places:
                 ids[i] = got
-            if w >= 0 and len(flat[places[0]]) <= LONGEST_KEPT:
+            if w > 0 and len(flat[places[0]]) <= LONGEST_KEPT:
                 outcomes[w][m] = got
                 self.n_outcomes += 1
         return [b"".join(ids[a:b]) for a, b in zip([0, *ends], ends)]
