@@ -1,12 +1,14 @@
 """License scans: canonical digests of entire texts, hash-joined to the digests of known licences.
 
-Canonical form: lower case, copyright lines removed, equivalent spellings unified, everything but letters and digits one space.
+Canonical form: lower case, copyright notices removed, equivalent spellings unified, everything but letters and digits one space.
 The whole text and each of its lines have a digest, so a document that is a licence and one that quotes a one-line notice are
 both found.  DataFrame functions only; the table of known texts can be replaced by the caller.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,34 @@ NOTICES = {
     "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 3-Clause License."],
 }
 
-# patterns that Java and RE2 read alike
-_COPYRIGHT = r"(^|\n)[ \t\r*#/;]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# other titles of the texts above
+TITLES = {
+    "MIT": ["The MIT License (MIT)", "The MIT License", "MIT License (MIT)", "MIT License (Expat)", "Expat License"],
+    "MIT-0": ["MIT No Attribution License", "MIT-0 License"],
+    "ISC": ["The ISC License", "ISC License (ISC)"],
+    "0BSD": ["Zero-Clause BSD", "BSD Zero-Clause License", "Zero-Clause BSD License (0BSD)"],
+    "BSD-2-Clause": ["The 2-Clause BSD License", "The BSD 2-Clause License", "Simplified BSD License", "BSD 2-Clause \"Simplified\" License", "FreeBSD License"],
+    "BSD-3-Clause": ["The 3-Clause BSD License", "The BSD 3-Clause License", "New BSD License", "Modified BSD License", "BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"],
+    "Zlib": ["The zlib License", "The zlib/libpng License", "zlib License (Zlib)"],
+}
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+
+
+def entire_texts() -> list[tuple[str, str]]:
+    """``license_id, text`` of each known text: under each title and without one, and those of ``known_licenses`` also without
+    what follows their terms."""
+    rows = [(k, f"{title}\n{text}") for k, (first, text) in ((k, t.split("\n", 1)) for k, t in KNOWN.items()) for title in (first, "", *TITLES[k])]
+    for file in sorted((Path(__file__).parent / "known_licenses").glob("*.txt")):
+        text = file.read_text("utf-8")
+        rows.append((file.stem, text))
+        if _TERMS_END in text:
+            rows += [(file.stem, terms := text[: text.index(_TERMS_END)]), (file.stem, terms + _TERMS_END)]
+    return rows
+
+
+# patterns that Java and RE2 read alike; a notice has a sign, a year or a place for one, which other lines that begin so have not
+_YEAR = r"(19|20)[0-9][0-9]"
+_COPYRIGHT = rf"(^|\n)[ \t\r*#/;]*(copyright[ \t:,]*((\(c\)|©)[ \t]*[^_ \t\r\n]|{_YEAR}|[\[<{{])|copyright([ \t]+[^ \t\n]+){{1,4}}[ \t]+{_YEAR}|\(c\)[ \t]*(copyright[ \t]*)?{_YEAR}|©|all rights reserved)[^\n]*"
 _OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -62,8 +90,9 @@ def canonical(text: Column) -> Column:
 
 def known_texts(spark: SparkSession) -> DataFrame:
     """``license_id, digest`` of the texts and notices above."""
-    rows = [(k, t) for k, t in KNOWN.items()] + [(k, t.split("\n", 1)[1]) for k, t in KNOWN.items()] + [(k, t) for k, ts in NOTICES.items() for t in ts]
-    return digests(spark.createDataFrame(rows, "license_id string, text string"))
+    rows = entire_texts() + [(k, t) for k, ts in NOTICES.items() for t in ts]
+    known = digests(spark.createDataFrame(rows, "license_id string, text string"))
+    return spark.createDataFrame(known.collect(), known.schema)  # a row of two short values for each text above
 
 
 def digests(known: DataFrame) -> DataFrame:
@@ -97,7 +126,7 @@ def _canonical_sql(text: str) -> str:
 
 def _sql() -> str:
     quote = lambda t: "'" + t.replace("'", "''") + "'"
-    rows = [(k, t) for k, t in KNOWN.items()] + [(k, t.split("\n", 1)[1]) for k, t in KNOWN.items()] + [(k, t) for k, ts in NOTICES.items() for t in ts]
+    rows = entire_texts() + [(k, t) for k, ts in NOTICES.items() for t in ts]
     values = ", ".join(f"({quote(k)}, {quote(t)})" for k, t in rows)
     return f"""
 with known as (select sha256(c) as digest, min(license_id) as license_id from (select license_id, {_canonical_sql("text")} as c from (values {values}) v(license_id, text)) where c <> '' group by 1),

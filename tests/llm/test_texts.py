@@ -245,3 +245,26 @@ def test_licences_of_awkward_rows(spark, awkward, nothing):
     assert got[4]["notices"] == "CC-BY-NC-4.0,MIT" and got[5]["notices"] is None and got[5]["digest"] == got[6]["digest"]
     assert licenses.scan(awkward.where("doc_id is null or doc_id <> 7"), licenses.known_texts(spark)).count() == awkward.count() - 2
     assert licenses.scan(nothing, licenses.known_texts(spark)).count() == 0
+
+
+def test_entire_licences_at_several_widths(spark):
+    import textwrap
+
+    rows = []
+    for name, text in licenses.entire_texts():
+        notice = re.compile(licenses._COPYRIGHT)
+        for width in (40, 57, 66, 72, 79, 100, 100_000):
+            lines, run = [], []
+            for line in [*text.split("\n"), ""]:
+                if notice.match(line.lower()) or not line.strip():
+                    lines += [*textwrap.wrap(" ".join(run), width, break_long_words=False, break_on_hyphens=False), line]
+                    run = []
+                else:
+                    run.append(line)
+            rows.append((len(rows), "Copyright (c) 2020 Someone\n" + "\n".join(lines), f"{name} {width}"))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, name string")
+    got = rows_by_id(licenses.scan(docs, licenses.known_texts(spark)))
+    assert [n for i, _, n in rows if got[i]["license_id"] != n.split(" ")[0]] == []
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "BSL-1.0", "Unlicense"} <= {r["license_id"] for r in got.values()}
+    mit = licenses.KNOWN["MIT"].replace("MIT License", "The MIT License (MIT)", 1)
+    assert rows_by_id(licenses.scan(spark.createDataFrame([(1, mit)], "doc_id bigint, text string"), licenses.known_texts(spark)))[1]["license_id"] == "MIT"
