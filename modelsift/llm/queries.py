@@ -1,4 +1,4 @@
 """Registers the queries of all operators in this subpackage."""
 
-from . import extraction, hyperplanes, jaccard, licenses, packing, pieces, pstable, simple8b, substrings, toxicity  # noqa: F401
+from . import centroids, chat, extraction, hyperplanes, jaccard, licenses, packing, pieces, pstable, simple8b, spelling, substrings, toxicity  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
