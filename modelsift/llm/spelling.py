@@ -42,10 +42,15 @@ def vocabulary(docs: DataFrame, least_length: int = 5, least_count: int = 3, noi
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Both directions of each word: its digest, and position, prefix digest and next letter of its second half, a row each."""
-    names = ["wid", "pos", "node", "letter"]
+    """Both directions of each word: its digest, and position, prefix digest, next letter and code points left of its second half, a
+    row each."""
+    names = ["wid", "pos", "node", "letter", "left"]
+
+    def rows(wids: list, places: list, nodes: list, letters: list, left: list) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(wids, pa.binary()), pa.array(places, pa.int32()), pa.array(nodes, pa.binary()), pa.array(letters, pa.string()), pa.array(left, pa.int32())], names=names)
+
     for batch in batches:
-        wids, places, nodes, letters = [], [], [], []
+        held: tuple[list, ...] = ([], [], [], [], [])
         for word in batch.column(0).to_pylist():
             for way in WAYS:
                 s = word if way == WAYS[0] else word[::-1]
@@ -56,15 +61,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     own.append(h.copy().digest())
                     h.update(s[p].encode())
                 own.append(h.digest())
-                wids += [own[-1]] * len(own)
-                places += range(at, len(s) + 1)
-                nodes += own
-                letters += [*s[at:], ""]
-                if len(wids) > 50_000:
-                    yield pa.record_batch([pa.array(wids, pa.binary()), pa.array(places, pa.int32()), pa.array(nodes, pa.binary()), pa.array(letters)], names=names)
-                    wids, places, nodes, letters = [], [], [], []
-        if wids:
-            yield pa.record_batch([pa.array(wids, pa.binary()), pa.array(places, pa.int32()), pa.array(nodes, pa.binary()), pa.array(letters)], names=names)
+                for column, values in zip(held, ([own[-1]] * len(own), range(at, len(s) + 1), own, [*s[at:], ""], range(len(s) - at, -1, -1))):
+                    column += values
+                if len(held[0]) > 50_000:
+                    yield rows(*held)
+                    held = ([], [], [], [], [])
+        if held[0]:
+            yield rows(*held)
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,15 +86,15 @@ def _piece(column: str, start: Column | str, length: Column | str) -> Column:
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(names, edges, starts)`` of the tries of ``words`` (column ``word``, distinct) in both directions.
 
-    names: ``wid, s, word, back``.  edges: ``node, salt, label, child, child_salts`` (0 salts: a leaf) and ``ends`` where the child is a
-    word.  starts: ``s, pos, node, salt, edits`` at the first branch in the second half of each word, no edit spent.
+    names: ``wid, s, word, back``.  edges: ``node, salt, label, child, child_salts`` (0 salts: a leaf), what can follow the child
+    (``lengths``, ``letters``), and ``ends`` where the child is a word.  starts: ``s, pos, node, salt, edits`` at the first branch in the second half of each word, no edit spent.
     """
-    letters = common.settled(words.select("word").mapInArrow(_prefixes, "wid binary, pos int, node binary, letter string"), "letters")
+    letters = common.settled(words.select("word").mapInArrow(_prefixes, "wid binary, pos int, node binary, letter string, left int"), "letters")
     names = common.settled(words.select("word").mapInArrow(_ids, "wid binary, s string, word string, back boolean"), "names")
-    steps = letters.groupBy("node", "letter").agg(F.count(F.lit(1)).alias("words"))
-    kept = steps.groupBy("node").agg(F.count(F.lit(1)).alias("ways"), F.sum("words").alias("words")).where("ways > 1")
-    kept = kept.select("node", F.ceil(F.col("words") / HEAVY).cast("int").alias("salts"))
-    paths = letters.drop("letter").join(kept, "node").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "salts"))).alias("path"))
+    steps = letters.groupBy("node", "letter").agg(F.count(F.lit(1)).alias("words"), F.bit_or(_bit("left")).alias("lengths"))
+    kept = steps.groupBy("node").agg(F.count(F.lit(1)).alias("ways"), F.sum("words").alias("words"), F.bit_or("lengths").alias("lengths"), F.bit_or(_bit(F.ascii("letter"))).alias("letters")).where("ways > 1")
+    kept = kept.select("node", F.ceil(F.col("words") / HEAVY).cast("int").alias("salts"), "lengths", "letters")
+    paths = letters.drop("letter", "left").join(kept, "node").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "salts", "lengths", "letters"))).alias("path"))
     paths = common.settled(paths.join(names.select("wid", "s"), "wid"), "paths")
 
     each = paths.select("wid", "s", "path", F.posexplode("path").alias("i", "here"))
@@ -100,16 +103,22 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hops = each.select(
         F.col("here.node").alias("node"), F.col("here.salts").alias("salts"), _piece("s", F.col("here.pos"), stop - F.col("here.pos")).alias("label"),
         F.coalesce("there.node", "wid").alias("child"), F.coalesce("there.salts", F.lit(0)).alias("child_salts"), (stop == F.length("s")).alias("ends"),
+        F.coalesce("there.lengths", F.lit(0)).alias("lengths"), F.coalesce("there.letters", F.lit(0)).alias("letters"),
     ).where("label <> ''")
-    edges = hops.groupBy("node", "salts", "label", "child", "child_salts").agg(F.max("ends").alias("ends"))
-    edges = edges.select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "label", "child", "child_salts", "ends")
-    edges = edges.repartition(common.partitions(words.sparkSession), "node", "salt")
+    edges = hops.groupBy("node", "salts", "label", "child", "child_salts", "lengths", "letters").agg(F.max("ends").alias("ends"))
+    edges = edges.select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "label", "child", "child_salts", "lengths", "letters", "ends")
+    edges = edges.repartition(common.partitions(words.sparkSession), "node", "salt").sortWithinPartitions("node", "salt")
     half = F.filter("path", lambda p: p["pos"] * 2 >= F.length("s") - 1)
     starts = paths.select("s", F.get(half, F.lit(0)).alias("p")).where("p is not null")
     starts = starts.select("s", F.col("p.pos").alias("pos"), F.col("p.node").alias("node"), _salt("s", F.col("p.salts")), F.lit(0).alias("edits"))
     return names, edges, starts
 
 
+def _bit(number: Column | str) -> Column:
+    """A 64-bit set of one number, modulo 64."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.col(number) if isinstance(number, str) else number, F.lit(64)).cast("int"))
+
+
 def _salt(word: str, salts: Column) -> Column:
     return F.pmod(F.crc32(F.col(word).cast("binary")), F.greatest(salts, F.lit(1))).cast("int").alias("salt")
 
@@ -127,10 +136,12 @@ def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
         F.when(swapped, F.struct((F.col("pos") + size).alias("pos"), F.lit(1).alias("edits"))),
         F.when(added, F.struct((F.col("pos") + size - 1).alias("pos"), F.lit(1).alias("edits"))),
     )
-    met = states.join(edges, ["node", "salt"]).select("s", "child", "child_salts", "ends", F.explode(F.array_compact(moves)).alias("to"))
-    done = (F.col("to.edits") == 1) & (F.col("to.pos") == F.length("s"))
-    moved = met.select("s", F.col("to.pos").alias("pos"), F.col("child").alias("node"), _salt("s", F.col("child_salts")), F.col("to.edits").alias("edits"), (done & F.col("ends")).alias("found"), "child_salts", done.alias("done"))
-    return moved.where("found or (not done and child_salts > 0)").drop("child_salts", "done")
+    met = states.join(edges, ["node", "salt"]).select("s", "child", "child_salts", "lengths", "letters", "ends", F.explode(F.array_compact(moves)).alias("to"))
+    left = F.length("s") - F.col("to.pos")
+    found = (F.col("to.edits") == 1) & (left == 0) & F.col("ends")
+    follows = (F.col("lengths").bitwiseAND(_bit(left)) != 0) & (F.col("letters").bitwiseAND(_bit(F.ascii(_piece("s", "to.pos", F.lit(1))))) != 0)
+    goes = (F.col("child_salts") > 0) & F.when(F.col("to.edits") == 1, (left > 0) & follows).otherwise(F.lit(True))
+    return met.where(found | goes).select("s", F.col("to.pos").alias("pos"), F.col("child").alias("node"), _salt("s", F.col("child_salts")), F.col("to.edits").alias("edits"), found.alias("found"))
 
 
 def neighbours(words: DataFrame) -> DataFrame:
