@@ -13,19 +13,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import attribution, neighbours, split
+from ..operators.contraction import Cut, ends
+from ..operators.growth import TreeSpec, grow, out_of_bag, outcome, prediction
 from ..operators.nca import NcaReduce
 from ..operators.reduce import PcaReduce, model_support, pca_report, rfe_support
 from ..operators.scale import Scaler
 from ..sources.tables import read_table
-from . import tuning
+from . import tree_sql, tuning
 from .base import FEATURES, FOLD, LABEL, ROW, Problem
 from .bayes import GaussianNBModel, class_moments
+from .ensemble import TreeEnsemble
 from .linear import ElasticNet, moments, solve_elastic_net
 from .margins import Svm
 from .recommend import Outcome, Recommender, leaderboard_table, prediction_latency
 from .registered import query, rounded
 from .table_queries import LINE_KEY
-from .trees import DecisionTree, Pruner, node_table, oob_score
 
 
 def _customers(spark, sf) -> DataFrame:
@@ -153,26 +155,61 @@ def tree_classifier(spark, sf):
     return _scores(_fitted(_lines(spark, sf), "l_linestatus", "tree", {}, LINE_KEY), spark)
 
 
-def _grown(spark, sf):
-    df = _assembled(_customers(spark, sf).withColumn(LABEL, (F.col("c_acctbal") > 4500).cast("double")), ["c_nationkey", "c_custkey"])
-    problem = Problem("classification", ["c_nationkey", "c_custkey"], classes=[0, 1])
-    return DecisionTree(problem)._grow(df, 5, "gini", 8)
+def _two_columns(spark, sf) -> DataFrame:
+    df = _customers(spark, sf).withColumn(LABEL, (F.col("c_acctbal") > 4500).cast("double")).withColumn(ROW, F.col("c_custkey").cast("string"))
+    return _assembled(df, ["c_nationkey", "c_custkey"])
 
 
-@query("tree_nodes")
+_NODE_SQL = "with " + tree_sql.growth("customer", "c_custkey", "c_acctbal > 4500", ["c_nationkey", "c_custkey"], 8, classes=2, min_leaf=5)
+
+
+def _grown(spark, sf) -> DataFrame:
+    grown = grow(_two_columns(spark, sf), [TreeSpec(min_leaf=5, max_depth=8)], 2)
+    grown.release()
+    return grown.nodes
+
+
+@query("tree_nodes", _NODE_SQL + " select tree, id, case when id > 1 then id // 2 end as parent, feature, threshold, case when s1 > s0 then 1.0 else 0.0 end as prediction, round(imp, 9) as impurity, n from nodes")
 def tree_nodes(spark, sf):
-    return node_table(_grown(spark, sf), spark).select("tree", "id", "parent", "feature", "threshold", "prediction", "impurity", "n")
+    says = prediction(2, outcome(2))
+    return _grown(spark, sf).select("tree", "id", "parent", "feature", "threshold", says.alias("prediction"), F.round("impurity", 9).alias("impurity"), "n")
+
+
+_ALPHAS = (0.0, 0.0005, 0.001, 0.005, 0.01, 0.1)
 
 
-@query("tree_pruning")
+@query("tree_pruning", f"{_NODE_SQL}, {tree_sql.pruning(8, _ALPHAS)} select alpha as ccp_alpha, count(*) as leaves, max(depth) as depth from ends group by alpha")
 def tree_pruning(spark, sf):
     """Leaves and depth left at each complexity cost."""
-    p = Pruner(node_table(_grown(spark, sf), spark).collect())
-    rows = []
-    for a in (0.0, 0.0005, 0.001, 0.005, 0.01, 0.1):
-        end = p.ends(None, 2, a)
-        rows.append((a, len(set(end)), max(p.depth[e] for e in end)))
-    return spark.createDataFrame(rows, "ccp_alpha double, leaves int, depth int")
+    found = ends(_grown(spark, sf), [Cut(0, None, 2, a) for a in _ALPHAS]).select("setting", "end").distinct()
+    costs = F.get(F.lit(list(_ALPHAS)), F.col("setting"))
+    return found.groupBy("setting").agg(F.count(F.lit(1)).alias("leaves"), F.max(F.floor(F.log2("end"))).cast("int").alias("depth")).select(costs.alias("ccp_alpha"), "leaves", "depth")
+
+
+@query(
+    "tree_shapley",
+    "with " + tree_sql.growth(f"(select *, concat_ws('|', {', '.join(LINE_KEY)}) as k from lineitem)", "k", "l_extendedprice", ["l_quantity", "l_discount", "l_tax"], 4, classes=0, min_leaf=20) + ", "
+    + tree_sql.shapley(3) + " select key as line, round(max(phi) filter (f = 0), 4) as quantity, round(max(phi) filter (f = 1), 4) as discount, round(max(phi) filter (f = 2), 4) as tax from phi group by key",
+)
+def tree_shapley(spark, sf):
+    """What quantity, discount and tax add to the price that a tree of depth 4 tells, for every line."""
+    lines = read_table(spark, sf, "lineitem").select(F.concat_ws("|", *LINE_KEY).alias(ROW), F.col("l_extendedprice").alias(LABEL), "l_quantity", "l_discount", "l_tax")
+    df = _assembled(lines, ["l_quantity", "l_discount", "l_tax"])
+    grown = grow(df, [TreeSpec(min_leaf=20, max_depth=4, criterion="variance")], 0)
+    grown.release()
+    told, _ = TreeEnsemble.of(grown.nodes, 1, 0).shapley(df.select(ROW, FEATURES), 3)
+    return told.select(F.col(ROW).alias("line"), *[F.round(F.get(F.get("shapley", F.lit(0)), F.lit(i)), 4).alias(c) for i, c in enumerate(("quantity", "discount", "tax"))])
+
+
+@query("forest_shapley")
+def forest_shapley(spark, sf):
+    """Mean size of what each feature adds to the class shares of a forest, over all lines."""
+    columns = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    lines = _lines(spark, sf).withColumn(ROW, F.concat_ws("|", *LINE_KEY)).withColumn(LABEL, (F.col("l_linestatus") == "O").cast("double"))
+    df = _assembled(lines, columns)
+    grown = grow(df, [TreeSpec(min_leaf=50, max_depth=5, tries=2, bag=True)] * 10, 2)
+    grown.release()
+    return TreeEnsemble.of(grown.nodes, 10, 2).shapley_importance(df, columns)
 
 
 @query("forest")
@@ -180,10 +217,17 @@ def forest(spark, sf):
     return _scores(_fitted(_customers(spark, sf), "c_mktsegment", "forest", {}, "c_custkey"), spark)
 
 
-@query("out_of_bag")
-def out_of_bag(spark, sf):
-    df = _assembled(_customers(spark, sf).withColumn(LABEL, (F.col("c_acctbal") > 4500).cast("double")), ["c_nationkey", "c_acctbal"])
-    return oob_score(df.withColumn(ROW, F.col("c_custkey").cast("string")), True, maxDepth=5)
+@query(
+    "out_of_bag",
+    "with " + tree_sql.growth("customer", "c_custkey", "c_acctbal > 4500", ["c_nationkey", "c_acctbal"], 5, classes=2, trees=20, bag=True)
+    + ", votes as (select key, sum(says[1]) / count(*) as a, sum(says[2]) / count(*) as b from at5 join nodes using (tree, id) where w = 0 group by key) "
+    "select avg(((b > a)::int = y)::int) as oob_score, count(*) as rows from votes join base using (key)",
+)
+def out_of_bag_query(spark, sf):
+    """Share of the rows that the trees whose bag lacks them vote right."""
+    df = _customers(spark, sf).withColumn(LABEL, (F.col("c_acctbal") > 4500).cast("double")).withColumn(ROW, F.col("c_custkey").cast("string"))
+    grown = grow(_assembled(df, ["c_nationkey", "c_acctbal"]), [TreeSpec(max_depth=5, bag=True)] * 20, 2)
+    return out_of_bag(grown)
 
 
 # --- margins --------------------------------------------------------------------------------------------------------

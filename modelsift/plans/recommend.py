@@ -22,6 +22,7 @@ from ..operators.encode import label_encode
 from ..operators.reduce import feature_names, vector_size
 from . import candidates as _registered  # noqa: F401
 from .base import FEATURES, FOLD, LABEL, ROW, Candidate, Problem
+from .ensemble import TreeEnsemble
 from .registry import get_registered_models
 
 Progress = Callable[[int, str], None]
@@ -326,6 +327,9 @@ def explanation_tables(best: Outcome, prepared: Prepared) -> dict[str, DataFrame
         loss = lambda d: d.agg(F.sqrt(F.avg((F.col(LABEL) - F.col("prediction")) ** 2))).first()[0] or 0.0
     if columns:
         out["attribution"] = attribution.permutation_importance(best.candidate.model, prepared.test, columns, ROW, loss, problem.seed)
+    if isinstance(best.candidate.model.stages[-1], TreeEnsemble):
+        ready = PipelineModel(best.candidate.model.stages[:-1]).transform(prepared.test)
+        out["shapley"] = diagnostics.top_importances(best.candidate.model.stages[-1].shapley_importance(ready, best.candidate.feature_names), attribution.TOP)
     if hasattr(best.candidate, "inspected"):
         out["neighbours"] = best.candidate.inspected(prepared.test)
     return out

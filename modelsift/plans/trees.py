@@ -1,135 +1,30 @@
-"""Decision tree with cost-complexity pruning, random forest, out-of-bag score."""
+"""Decision tree with cost-complexity pruning, and random forest with its own out-of-bag score."""
 
 from __future__ import annotations
 
-import json
 import math
-import random
+from functools import reduce
 
-import numpy as np
-from pyspark.ml import Model, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
-from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scratch import scratch_path
-from .base import FEATURES, LABEL, ROW, Candidate, balanced, branch_stages, class_scores, error_scores, parallel, score_models
+from ..functions.scratch import settled
+from ..operators.contraction import Cut, ends, pruned
+from ..operators.growth import DEEPEST, Grown, TreeSpec, grow, out_of_bag, outcome, prediction
+from ..operators.reduce import ModelSelect, vector_size
+from .base import FEATURES, LABEL, ROW, Candidate, branch_stages, class_scores, error_scores, score_models
+from .ensemble import TreeEnsemble
 from .registry import register_model
 from .tuning import Choice, IntRange, Search, random_search, tpe_search
 
-DEEPEST = 30  # the largest depth Spark accepts stands for "no limit"
-MEMORY_MB = 1024
-
-
-def node_table(model, spark) -> DataFrame:
-    """``(tree, id, parent, feature, threshold, categories, prediction, impurity, n, stats, left, right)`` of a fitted tree or forest.
-
-    Read back from the written model, which is a table of nodes already.
-    """
-    path = scratch_path(spark, "tree")
-    model.write().overwrite().save(path)
-    raw = spark.read.parquet(f"{path}/data")
-    if "nodeData" in raw.columns:
-        raw = raw.select(F.col("treeID").alias("tree"), "nodeData.*")
-    else:
-        raw = raw.withColumn("tree", F.lit(0))
-    split = F.col("split")
-    base = raw.select(
-        "tree", "id", F.when(F.col("leftChild") >= 0, split["featureIndex"]).alias("feature"),
-        F.when((F.col("leftChild") >= 0) & (split["numCategories"] < 0), F.get(split["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
-        F.when(split["numCategories"] >= 0, split["leftCategoriesOrThreshold"]).alias("categories"),
-        "prediction", "impurity", F.col("rawCount").alias("n"), F.col("impurityStats").alias("stats"),
-        F.col("leftChild").alias("left"), F.col("rightChild").alias("right"),
-    )
-    edges = base.filter("left >= 0").select("tree", F.col("id").alias("parent"), F.explode(F.array("left", "right")).alias("id"))
-    return base.join(edges, ["tree", "id"], "left")
-
-
-class Pruner:
-    """One grown tree, cut back for any depth limit, split minimum and complexity cost.
-
-    Growth is greedy and top-down, so limiting depth or split size afterwards gives the tree that would have been
-    grown under the limit.  The node table is tree-sized.
-    """
-
-    def __init__(self, nodes):
-        nodes = sorted(nodes, key=lambda r: r["id"])
-        self.left = [r["left"] for r in nodes]
-        self.right = [r["right"] for r in nodes]
-        self.n = np.array([r["n"] for r in nodes], float)
-        self.weight = self.n.copy()
-        self.impurity = np.array([r["impurity"] for r in nodes], float)
-        self.prediction = np.array([r["prediction"] for r in nodes], float)
-        self.stats = [list(r["stats"]) for r in nodes]
-        self.depth = [0] * len(nodes)
-        for i in range(len(nodes)):  # parents come before children
-            for ch in (self.left[i], self.right[i]):
-                if ch >= 0:
-                    self.depth[ch] = self.depth[i] + 1
-        self.leaves = [i for i in range(len(nodes)) if self.left[i] < 0]  # in leaf-index order
-
-    def ends(self, max_depth: int | None = None, min_split: int = 2, ccp_alpha: float = 0.0) -> list[int]:
-        """For each grown leaf, the node that is its leaf after pruning."""
-        total = self.weight[0]
-        leaf = [
-            self.left[i] < 0 or (max_depth is not None and self.depth[i] >= max_depth) or self.n[i] < min_split
-            for i in range(len(self.left))
-        ]
-        cost = [0.0] * len(self.left)
-        for i in reversed(range(len(self.left))):
-            own = self.impurity[i] * self.weight[i] / total + ccp_alpha
-            if leaf[i]:
-                cost[i] = own
-                continue
-            below = cost[self.left[i]] + cost[self.right[i]]
-            # the smallest tree of least cost: a tie prunes
-            if ccp_alpha > 0 and own <= below + 1e-15:
-                leaf[i], cost[i] = True, own
-            else:
-                cost[i] = below
-        end = [-1] * len(self.left)
-        for i in range(len(self.left)):
-            if end[i] < 0 and leaf[i]:
-                end[i] = i
-            for ch in (self.left[i], self.right[i]):
-                if ch >= 0:
-                    end[ch] = end[i]
-        return [end[i] for i in self.leaves]
-
-
-class LeafMap(Model, DefaultParamsReadable, DefaultParamsWritable):
-    """Prediction and probability read from a leaf index."""
-
-    stats = Param(Params._dummy(), "stats", "per-leaf outcome as JSON", TypeConverters.toString)
-
-    def __init__(self):
-        super().__init__()
-        self._setDefault(stats="{}")
-
-    @classmethod
-    def of(cls, prediction: list[float], probability: list[list[float]] | None):
-        m = cls()
-        m._set(stats=json.dumps({"prediction": prediction, "probability": probability}))
-        return m
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        st = json.loads(self.getOrDefault(self.stats))
-        spot = F.col("_leaf").cast("int")
-        out = df.withColumn("prediction", F.get(F.lit(st["prediction"]), spot))
-        if st["probability"] is not None:
-            out = out.withColumn("probability", array_to_vector(F.get(F.lit(st["probability"]), spot)))
-        return out.drop("_leaf")
+TREES_AT_ONCE = 500  # trees grown side by side; a row keeps four bytes for each
 
 
 @register_model("both")
 class DecisionTree(Candidate):
-    """Trees are grown once per leaf minimum; every depth, split minimum and pruning cost is cut from that tree.
+    """Trees are grown once per leaf minimum and criterion, side by side; every depth, split minimum and pruning cost is cut from them.
 
-    One scan of the validation rows counts labels per grown leaf and scores all settings.
+    One scan of the validation rows counts labels per grown leaf, and a join with the leaves' ends scores all settings.
     """
 
     name = "Decision Tree"
@@ -167,125 +62,49 @@ class DecisionTree(Candidate):
         space = {k: self.config[k] for k in keys} | {"criterion": self.criteria}
         return random_search(space, evaluate, self.config["n_iter"], self.problem.seed)
 
-    def _grow(self, frame: DataFrame, leaf: int, criterion: str, depth: int):
-        kind = DecisionTreeClassifier if self.problem.is_classification else DecisionTreeRegressor
-        return kind(
-            featuresCol=FEATURES, labelCol=LABEL, maxDepth=depth, minInstancesPerNode=leaf, impurity=self.IMPURITY[criterion],
-            maxMemoryInMB=MEMORY_MB, cacheNodeIds=True, seed=self.problem.seed, predictionCol="_grown",
-            **({"rawPredictionCol": "", "probabilityCol": ""} if self.problem.is_classification else {}),
-        ).setLeafCol("_leaf").fit(frame)
+    def _spec(self, setting: dict, depth: int | None) -> TreeSpec:
+        return TreeSpec(setting["min_samples_leaf"], 2, depth or DEEPEST, self.IMPURITY[setting["criterion"]], seed=self.problem.seed)
 
     def score(self, train, valid, settings):
-        groups: dict[tuple, list[int]] = {}
-        for i, s in enumerate(settings):
-            groups.setdefault((s["min_samples_leaf"], s["criterion"]), []).append(i)
-        out = [-math.inf] * len(settings)
-
-        def one(key: tuple, members: list[int]) -> None:
-            depth = max(settings[i]["max_depth"] or DEEPEST for i in members)
-            model = self._grow(train, *key, depth)
-            tree = Pruner(node_table(model, train.sparkSession).collect())
-            seen = model.transform(valid).groupBy("_leaf")
-            if self.problem.is_classification:
-                table = seen.pivot(LABEL, [float(c) for c in range(self.problem.n_classes)]).count().na.fill(0).collect()
-                counts = np.zeros((len(tree.leaves), self.problem.n_classes))
-                for r in table:
-                    counts[int(r["_leaf"])] = [r[j + 1] for j in range(self.problem.n_classes)]
-            else:
-                y = F.col(LABEL)
-                counts = np.zeros((len(tree.leaves), 3))
-                for r in seen.agg(F.count(y), F.avg(y), F.var_pop(y)).collect():
-                    counts[int(r["_leaf"])] = r[1:]
-            for i in members:
-                s = settings[i]
-                end = tree.ends(s["max_depth"], s["min_samples_split"], s["ccp_alpha"])
-                pred = tree.prediction[end]
-                if self.problem.is_classification:
-                    out[i] = float(counts[np.arange(len(end)), pred.astype(int)].sum() / counts.sum())
-                else:
-                    sse = (counts[:, 0] * (counts[:, 2] + (counts[:, 1] - pred) ** 2)).sum()
-                    out[i] = -math.sqrt(sse / counts[:, 0].sum())
-
-        parallel([lambda k=k, m=m: one(k, m) for k, m in groups.items()], self.config["parallelism"])
-        return out
+        classes = self.problem.n_classes
+        groups: dict[tuple, list[dict]] = {}
+        for s in settings:
+            groups.setdefault((s["min_samples_leaf"], s["criterion"]), []).append(s)
+        place = {key: t for t, key in enumerate(groups)}
+        specs = [self._spec(members[0], max(s["max_depth"] or DEEPEST for s in members)) for members in groups.values()]
+        grown = grow(train, specs, classes, LABEL, FEATURES, ROW)
+        grown.release()
+        cuts = [Cut(place[s["min_samples_leaf"], s["criterion"]], s["max_depth"], s["min_samples_split"], s["ccp_alpha"]) for s in settings]
+        says = grown.nodes.select("tree", F.col("id").alias("end"), prediction(classes, outcome(classes)).alias("p"))
+        found = ends(grown.nodes, cuts).join(says, ["tree", "end"])
+        reached = TreeEnsemble.of(grown.nodes, len(specs), classes).leaves(valid.select(LABEL, FEATURES)).select(F.col(LABEL).alias("y"), F.posexplode("leaves").alias("tree", "leaf"))
+        if classes:
+            counts = reached.groupBy("tree", "leaf", "y").agg(F.count(F.lit(1)).alias("n"))
+            score = F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")
+        else:
+            counts = reached.groupBy("tree", "leaf").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_pop("y").alias("spread"))
+            score = -F.sqrt(F.sum(F.col("n") * (F.col("spread") + (F.col("mean") - F.col("p")) ** 2)) / F.sum("n"))
+        got = {r["setting"]: r["score"] for r in counts.join(found, ["tree", "leaf"]).groupBy("setting").agg(score.alias("score")).collect()}
+        return [got.get(i, -math.inf) for i in range(len(settings))]
 
     def build(self, frame, setting):
-        self.grown = self._grow(frame, setting["min_samples_leaf"], setting["criterion"], setting["max_depth"] or DEEPEST)
-        self.nodes = node_table(self.grown, frame.sparkSession)
-        tree = self.pruned = Pruner(self.nodes.collect())
-        end = self.end = tree.ends(setting["max_depth"], setting["min_samples_split"], setting["ccp_alpha"])
-        shares = None
-        if self.problem.is_classification:
-            shares = [(np.array(tree.stats[e]) / max(sum(tree.stats[e]), 1e-300)).tolist() for e in end]
-        return PipelineModel(stages=[self.grown, LeafMap.of([float(v) for v in tree.prediction[end]], shares)])
-
-    @property
-    def depth(self) -> int:
-        return max(self.pruned.depth[e] for e in self.end)
-
-    @property
-    def leaf_count(self) -> int:
-        return len(set(self.end))
+        grown = grow(frame, [self._spec(setting, setting["max_depth"])], self.problem.n_classes, LABEL, FEATURES, ROW)
+        grown.release()
+        cut = ends(grown.nodes, [Cut(0, setting["max_depth"], setting["min_samples_split"], setting["ccp_alpha"])])
+        self.ensemble = TreeEnsemble.of(settled(pruned(grown.nodes, cut), "pruned"), 1, self.problem.n_classes, FEATURES)
+        shape = self.ensemble.shape().first()
+        self.depth, self.leaf_count = shape["depth"], shape["leaves"]
+        return self.ensemble
 
     def tailored(self, spark):
         self._fitted()
-        imp = self.grown.featureImportances.toArray()
-        rows = [(n, float(v)) for n, v in zip(self.feature_names, imp)]
         return {
-            "importances": spark.createDataFrame(rows, "feature string, importance double"),
+            "importances": self.ensemble.importances(self.feature_names),
             "shape": spark.createDataFrame([(self.depth, self.leaf_count)], "depth int, leaves int"),
-            "nodes": self.nodes,
+            "nodes": self.ensemble.nodes,
         }
 
 
-# fixed values: cumulative Poisson(1) probabilities
-_POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
-
-
-def bag_weight(row: Column, tree: int, seed: int) -> Column:
-    """Poisson(1) multiplicity of a row in one tree's bag, a function of the row and the tree only."""
-    u = F.pmod(F.xxhash64(row, F.lit(tree), F.lit(seed)), F.lit(1 << 31)).cast("double") / float(1 << 31)
-    w = F.lit(0.0)
-    for p in _POISSON:
-        w = w + (u >= float(p)).cast("double")
-    return w
-
-
-def oob_score(frame: DataFrame, is_classification: bool, n_trees: int = 20, seed: int = 42, width: int = 4, **params) -> DataFrame:
-    """One row ``(oob_score, rows)``: accuracy or R2 of the averaged votes of the trees that did not see a row."""
-    kind = RandomForestClassifier if is_classification else RandomForestRegressor
-    weighted = frame.select(LABEL, FEATURES, ROW)
-
-    def fit(t: int):
-        bag = weighted.withColumn("_w", bag_weight(F.col(ROW), t, seed))
-        return kind(featuresCol=FEATURES, labelCol=LABEL, weightCol="_w", numTrees=1, bootstrap=False, seed=seed + t, maxMemoryInMB=MEMORY_MB, **params).fit(bag)
-
-    models = parallel([lambda t=t: fit(t) for t in range(n_trees)], width)
-    out = weighted
-    for t, m in enumerate(models):
-        m.setPredictionCol(f"p{t}")
-        if is_classification:
-            m.setRawPredictionCol("").setProbabilityCol(f"q{t}")
-        keep = [f"{'q' if is_classification else 'p'}{j}" for j in range(t + 1)]
-        out = m.transform(out).select(LABEL, FEATURES, ROW, *keep)
-    unseen = [(bag_weight(F.col(ROW), t, seed) == 0).cast("double") for t in range(n_trees)]
-    votes = F.aggregate(F.array(*unseen), F.lit(0.0), lambda a, x: a + x)
-    if is_classification:
-        def masked(q: str, u: Column) -> Column:
-            return F.transform(vector_to_array(F.col(q)), lambda v: v * u)
-
-        parts = [masked(f"q{t}", u) for t, u in enumerate(unseen)]
-        total = F.aggregate(F.slice(F.array(*parts), 2, max(n_trees - 1, 1)), F.get(F.array(*parts), F.lit(0)), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-        pick = (F.array_position(total, F.array_max(total)) - 1).cast("double")
-        seen = out.select(LABEL, votes.alias("v"), pick.alias("p")).filter("v > 0")
-        return seen.agg(F.avg((F.col(LABEL) == F.col("p")).cast("double")).alias("oob_score"), F.count(F.lit(1)).alias("rows"))
-    mean = F.aggregate(F.array(*[F.col(f"p{t}") * u for t, u in enumerate(unseen)]), F.lit(0.0), lambda a, x: a + x)
-    seen = out.select(F.col(LABEL).alias("y"), votes.alias("v"), mean.alias("s")).filter("v > 0").select("y", (F.col("s") / F.col("v")).alias("p"))
-    return seen.agg(
-        (1 - F.try_divide(F.avg((F.col("y") - F.col("p")) ** 2), F.nullif(F.var_pop("y"), F.lit(0.0)))).alias("oob_score"), F.count(F.lit(1)).alias("rows")
-    )
-
-
 @register_model("both")
 class RandomForest(Candidate):
     """Bagged trees on the features a small forest finds at least as important as the median."""
@@ -294,7 +113,7 @@ class RandomForest(Candidate):
     # fixed values: the default search ranges
     defaults = {
         "n_estimators": (50, 200), "max_depth": (10, 20), "max_features": ("sqrt", "log2"), "min_samples_split": (2, 10),
-        "min_samples_leaf": (1, 4), "selection_threshold": "median", "n_trials": 10, "oob_trees": 20,
+        "min_samples_leaf": (1, 4), "selection_threshold": "median", "n_trials": 10,
     }
     descriptions = {
         "n_estimators": "number of trees", "max_depth": "deepest level", "max_features": "features tried per split",
@@ -310,8 +129,6 @@ class RandomForest(Candidate):
         return f"Random Forest ({task.capitalize()})"
 
     def stages(self) -> list:
-        from ..operators.reduce import ModelSelect
-
         stages = branch_stages(self.problem)
         if self.config["selection_threshold"]:
             stages[-1].setOutputCol("_all")
@@ -329,49 +146,53 @@ class RandomForest(Candidate):
         }
         return tpe_search(space, evaluate, c["n_trials"], seed=self.problem.seed)
 
-    def _params(self, s: dict) -> dict:
-        # a node of fewer than `split` rows stays a leaf: its halves would fall below split / 2
-        fewest = max(s["min_samples_leaf"], s["min_samples_split"] // 2)
-        return dict(maxDepth=min(s["max_depth"], DEEPEST), featureSubsetStrategy=s["max_features"], minInstancesPerNode=fewest)
+    def _specs(self, s: dict, width: int) -> list[TreeSpec]:
+        tries = {"sqrt": math.isqrt(width), "log2": int(math.log2(max(width, 1)))}.get(s["max_features"], width)
+        one = TreeSpec(s["min_samples_leaf"], s["min_samples_split"], s["max_depth"], "gini" if self.problem.is_classification else "variance", max(1, min(tries, width)), True, self.problem.seed)
+        return [one] * s["n_estimators"]
 
-    def _fit(self, frame: DataFrame, s: dict):
-        kind = RandomForestClassifier if self.problem.is_classification else RandomForestRegressor
-        extra = {"weightCol": "weight"} if self.problem.is_classification else {}
-        return kind(
-            featuresCol=FEATURES, labelCol=LABEL, numTrees=s["n_estimators"], seed=self.problem.seed, maxMemoryInMB=MEMORY_MB, cacheNodeIds=True,
-            **extra, **self._params(s),
-        ).fit(frame)
+    def _grow(self, frame: DataFrame, specs: list[TreeSpec]) -> Grown:
+        weights = None
+        if self.problem.is_classification:
+            counts = {int(r[LABEL]): r["count"] for r in frame.groupBy(LABEL).count().collect()}  # one row per class
+            weights = [sum(counts.values()) / (len(counts) * counts[c]) if c in counts else 1.0 for c in range(self.problem.n_classes)]
+        return grow(frame, specs, self.problem.n_classes, LABEL, FEATURES, ROW, class_weights=weights)
 
     def score(self, train, valid, settings):
-        frame = balanced(train) if self.problem.is_classification else train
-        models = parallel([lambda s=s: self._fit(frame, s) for s in settings], self.config["parallelism"])
+        width, models, batch = vector_size(train, FEATURES), [], []
+
+        def finish() -> None:
+            grown = self._grow(train, reduce(lambda a, b: a + b, batch, []))
+            grown.release()
+            first = 0
+            for specs in batch:
+                own = grown.nodes.where(F.col("tree").between(first, first + len(specs) - 1)).withColumn("tree", F.col("tree") - first)
+                models.append(TreeEnsemble.of(own, len(specs), self.problem.n_classes))
+                first += len(specs)
+
+        for s in settings:
+            specs = self._specs(s, width)
+            if batch and sum(map(len, batch)) + len(specs) > TREES_AT_ONCE:
+                finish()
+                batch = []
+            batch.append(specs)
+        finish()
         return score_models(models, valid, class_scores if self.problem.is_classification else error_scores)
 
     def build(self, frame, setting):
-        self.forest = self._fit(balanced(frame) if self.problem.is_classification else frame, setting)
-        n = min(self.config["oob_trees"], setting["n_estimators"])
-        self.oob = None
-        if n:
-            self.oob = oob_score(
-                frame, self.problem.is_classification, n, self.problem.seed, self.config["parallelism"], **self._params(setting)
-            ).first()["oob_score"]
-        return self.forest
-
-    @property
-    def depth(self) -> int:
-        trees = self.forest.trees
-        return round(sum(t.depth for t in trees) / len(trees))
-
-    @property
-    def leaf_count(self) -> int:
-        trees = self.forest.trees
-        return round(sum((t.numNodes + 1) // 2 for t in trees) / len(trees))
+        specs = self._specs(setting, vector_size(frame, FEATURES))
+        grown = self._grow(frame, specs)
+        self.oob = out_of_bag(grown).first()["oob_score"]
+        grown.release()
+        self.ensemble = TreeEnsemble.of(grown.nodes, len(specs), self.problem.n_classes, FEATURES)
+        shape = self.ensemble.shape().agg(F.round(F.avg("depth")).cast("int").alias("depth"), F.round(F.avg("leaves")).cast("int").alias("leaves")).first()
+        self.depth, self.leaf_count = shape["depth"], shape["leaves"]
+        return self.ensemble
 
     def tailored(self, spark):
         self._fitted()
-        rows = [(n, float(v)) for n, v in zip(self.feature_names, self.forest.featureImportances.toArray())]
         return {
-            "importances": spark.createDataFrame(rows, "feature string, importance double"),
+            "importances": self.ensemble.importances(self.feature_names),
             "oob": spark.createDataFrame([(self.oob,)], "oob_score double"),
-            "first_tree": node_table(self.forest, spark).filter("tree = 0"),
+            "first_tree": self.ensemble.nodes.filter("tree = 0"),
         }

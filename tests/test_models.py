@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from modelsift import errors
 from modelsift.operators import attribution, neighbours, reduce
-from modelsift.plans import base, bayes, linear, margins, registry, trees, tuning
+from modelsift.plans import base, bayes, linear, margins, registry, tuning
 from modelsift.plans.base import FEATURES, FOLD, LABEL, ROW, Problem
 
 
@@ -89,38 +89,6 @@ def test_votes(spark):
     assert got[1]["d"] == pytest.approx([1.5 / 3.5, 2 / 3.5]) and got[1]["r"] == pytest.approx(2 / 3)
 
 
-def test_pruning(spark):
-    rng = np.random.default_rng(4)
-    x = rng.uniform(size=(600, 2))
-    y = ((x[:, 0] > 0.5) ^ (rng.uniform(size=600) < 0.1)).astype(float)
-    df = vectors(spark, x, y)
-    tree = trees.DecisionTree(Problem("classification", [], classes=[0, 1]))
-    deep, shallow = tree._grow(df, 2, "gini", 8), tree._grow(df, 2, "gini", 3)
-    p = trees.Pruner(trees.node_table(deep, spark).collect())
-    # a depth limit applied afterwards equals growing under the limit
-    cut = p.ends(3)
-    leaf = deep.transform(df).select(ROW, F.col("_leaf").cast("int").alias("leaf")).toPandas()
-    grown = shallow.transform(df).select(ROW, "_grown").toPandas().set_index(ROW)["_grown"]
-    assert all(p.prediction[cut[l]] == grown[r] for r, l in zip(leaf[ROW], leaf["leaf"]))
-    # leaves fall as the cost rises, and the pruned tree minimises the penalised risk over the whole nested family
-    sizes = [len(set(p.ends(None, 2, a))) for a in (0.0, 0.001, 0.01, 0.05, 1.0)]
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 1
-    risk = lambda ends: sum(p.impurity[e] * p.weight[e] / p.weight[0] for e in set(ends))
-    best = p.ends(None, 2, 0.01)
-    for a in (0.0, 0.001, 0.005, 0.02, 0.1):
-        other = p.ends(None, 2, a)
-        assert risk(best) + 0.01 * len(set(best)) <= risk(other) + 0.01 * len(set(other)) + 1e-12
-
-
-def test_out_of_bag_sees_the_signal(spark):
-    rng = np.random.default_rng(5)
-    x = rng.normal(size=(500, 2))
-    score = trees.oob_score(vectors(spark, x, (x[:, 0] > 0).astype(float)), True, 6, maxDepth=3).first()
-    assert score["oob_score"] > 0.9 and score["rows"] > 400
-    w = vectors(spark, x, x[:, 0]).select(trees.bag_weight(F.col(ROW), 1, 42).alias("w")).agg(F.avg("w"), F.var_pop("w")).first()
-    assert w[0] == pytest.approx(1, abs=0.15) and w[1] == pytest.approx(1, abs=0.3)
-
-
 def test_svr_follows_a_line(spark):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(400, 2))

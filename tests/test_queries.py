@@ -9,7 +9,7 @@ from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
-QUICK_ROWS_ONLY = ["power_lambdas", "tree_nodes", "tree_pruning", "grid_search", "random_search", "pca", "pca_reconstruction", "nca"]
+QUICK_ROWS_ONLY = ["power_lambdas", "forest_shapley", "grid_search", "random_search", "pca", "pca_reconstruction", "nca"]
 
 
 @pytest.fixture(scope="module")

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from modelsift import errors
 from modelsift.plans.base import LABEL
-from modelsift.plans.recommend import Outcome, Recommender, best_outcome, leaderboard_table, select_candidates
+from modelsift.plans.recommend import Outcome, Recommender, best_outcome, explanation_tables, leaderboard_table, select_candidates
 
 SMALL = {
     "logistic": {"C": [1.0], "penalty": ["l2"], "max_iter": 20}, "tree": {"n_iter": 3, "max_depth": [3]}, "naive": {"var_smoothing": [1e-9, 1e-3]},
-    "knn": {"n_trials": 2, "metric": ("euclidean",)}, "forest": {"n_trials": 1, "n_estimators": (5, 5), "max_depth": (3, 3), "oob_trees": 2},
+    "knn": {"n_trials": 2, "metric": ("euclidean",)}, "forest": {"n_trials": 1, "n_estimators": (5, 5), "max_depth": (3, 3)},
     "svm": {"n_iter": 1, "kernel": ("linear",), "max_iter": 10},
 }
 
@@ -122,10 +122,25 @@ def test_a_failing_candidate_becomes_a_row(spark):
     assert not out.ok and "ConfigurationError" in out.error
 
 
+def test_tree_candidates_explain_save_and_load(spark, tmp_path):
+    prepared = Recommender(key="id").prepare(mixed(spark), "target")
+    for name, config in (("tree", SMALL["tree"]), ("forest", SMALL["forest"])):
+        rec = Recommender(key="id", configs={"*": config})
+        out = rec.train_one(select_candidates("classification", [name])[0], prepared, lambda p, m: None)
+        assert out.ok, out.error
+        tables = explanation_tables(out, prepared)
+        assert 0 < tables["shapley"].count() <= 10 and tables["shapley"].where("importance < 0").isEmpty()
+        assert out.metrics["depth"] <= 3 and (name == "tree" or out.metrics["oob_score"] > 0.4)
+        assert {"importances", "nodes" if name == "tree" else "first_tree"} <= set(out.candidate.tailored(spark))
+        out.candidate.export(str(tmp_path / name))
+        again = PipelineModel.load(str(tmp_path / name)).transform(prepared.test).select("row_id", "prediction").orderBy("row_id").collect()
+        assert again == out.predictions.select("row_id", "prediction").orderBy("row_id").collect()
+
+
 def test_explanations_of_a_run(spark):
     import numpy as np
 
-    from modelsift.plans.recommend import Recommender
+    from modelsift.plans.recommend import Recommender, explanation_tables
 
     rng = np.random.default_rng(8)
     rows = [(i, float(a), float(b), "xy"[i % 2], float(3 * a + 2 * c)) for i, (a, b, c) in enumerate(rng.normal(size=(240, 3)))]
