@@ -86,16 +86,16 @@ def _piece(column: str, start: Column | str, length: Column | str) -> Column:
 def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(names, edges, starts)`` of the tries of ``words`` (column ``word``, distinct) in both directions.
 
-    names: ``wid, s, word, back``.  edges: ``node, salt, label, child, child_salts`` (0 salts: a leaf), what can follow the child
-    (``lengths``, ``letters``), and ``ends`` where the child is a word.  starts: ``s, pos, node, salt, edits`` at the first branch in the second half of each word, no edit spent.
+    names: ``wid, s, word, back``.  edges: ``node, salt, first, rest, child, child_salts`` (a label in two parts; 0 salts: a leaf),
+    what can follow the child (``lengths``, ``letters``), and ``ends`` where the child is a word.  starts: ``s, pos, node, salt, edits`` at the first branch in the second half of each word, no edit spent.
     """
-    letters = common.settled(words.select("word").mapInArrow(_prefixes, "wid binary, pos int, node binary, letter string, left int"), "letters")
-    names = common.settled(words.select("word").mapInArrow(_ids, "wid binary, s string, word string, back boolean"), "names")
+    letters = common.settled(words.select("word").mapInArrow(_prefixes, "wid binary, pos int, node binary, letter string, left int"), "letters", compression="none")
+    names = common.settled(words.select("word").mapInArrow(_ids, "wid binary, s string, word string, back boolean"), "names", compression="none")
     steps = letters.groupBy("node", "letter").agg(F.count(F.lit(1)).alias("words"), F.bit_or(_bit("left")).alias("lengths"))
     kept = steps.groupBy("node").agg(F.count(F.lit(1)).alias("ways"), F.sum("words").alias("words"), F.bit_or("lengths").alias("lengths"), F.bit_or(_bit(F.ascii("letter"))).alias("letters")).where("ways > 1")
     kept = kept.select("node", F.ceil(F.col("words") / HEAVY).cast("int").alias("salts"), "lengths", "letters")
     paths = letters.drop("letter", "left").join(kept, "node").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "salts", "lengths", "letters"))).alias("path"))
-    paths = common.settled(paths.join(names.select("wid", "s"), "wid"), "paths")
+    paths = common.settled(paths.join(names.select("wid", "s"), "wid"), "paths", compression="none")
 
     each = paths.select("wid", "s", "path", F.posexplode("path").alias("i", "here"))
     each = each.select("wid", "s", "here", F.get("path", F.col("i") + 1).alias("there"))
@@ -106,7 +106,7 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.coalesce("there.lengths", F.lit(0)).alias("lengths"), F.coalesce("there.letters", F.lit(0)).alias("letters"),
     ).where("label <> ''")
     edges = hops.groupBy("node", "salts", "label", "child", "child_salts", "lengths", "letters").agg(F.max("ends").alias("ends"))
-    edges = edges.select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "label", "child", "child_salts", "lengths", "letters", "ends")
+    edges = edges.select("node", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.substring("label", 1, 1).alias("first"), F.expr("substring(label, 2)").alias("rest"), "child", "child_salts", "lengths", "letters", "ends")
     edges = edges.repartition(common.partitions(words.sparkSession), "node", "salt").sortWithinPartitions("node", "salt")
     half = F.filter("path", lambda p: p["pos"] * 2 >= F.length("s") - 1)
     starts = paths.select("s", F.get(half, F.lit(0)).alias("p")).where("p is not null")
@@ -125,18 +125,15 @@ def _salt(word: str, salts: Column) -> Column:
 
 def _step(states: DataFrame, edges: DataFrame) -> DataFrame:
     """States one edge further: along their own path, or off it by the one edit."""
-    size = F.length("label")
-    own = F.substring("label", 1, 1) == _piece("s", "pos", F.lit(1))
-    along = F.col("label") == _piece("s", "pos", size)
-    rest = F.expr("substring(label, 2)")
-    swapped = (F.col("edits") == 0) & (F.col("pos") < F.length("s")) & (F.substring("label", 1, 1) > _piece("s", "pos", F.lit(1))) & (rest == _piece("s", F.col("pos") + 1, size - 1))
-    added = (F.col("edits") == 0) & ~own & (rest == _piece("s", "pos", size - 1))
-    moves = F.array(
-        F.when(along, F.struct((F.col("pos") + size).alias("pos"), F.col("edits").alias("edits"))),
-        F.when(swapped, F.struct((F.col("pos") + size).alias("pos"), F.lit(1).alias("edits"))),
-        F.when(added, F.struct((F.col("pos") + size - 1).alias("pos"), F.lit(1).alias("edits"))),
+    here = states.withColumn("next", _piece("s", "pos", F.lit(1)))
+    met = here.join(edges, ["node", "salt"]).where((F.col("first") == F.col("next")) | (F.col("edits") == 0))
+    size, own = F.length("rest"), F.col("first") == F.col("next")
+    after_next, from_next = F.col("rest") == _piece("s", F.col("pos") + 1, size), F.col("rest") == _piece("s", "pos", size)
+    moves = F.array(  # along an equal letter, or with the letter replaced by a greater one; with a letter added
+        F.when(after_next & (own | ((F.col("next") != "") & (F.col("first") > F.col("next")))), F.struct((F.col("pos") + 1 + size).alias("pos"), F.when(own, F.col("edits")).otherwise(1).alias("edits"))),
+        F.when(from_next & ~own, F.struct((F.col("pos") + size).alias("pos"), F.lit(1).alias("edits"))),
     )
-    met = states.join(edges, ["node", "salt"]).select("s", "child", "child_salts", "lengths", "letters", "ends", F.explode(F.array_compact(moves)).alias("to"))
+    met = met.select("s", "child", "child_salts", "lengths", "letters", "ends", F.explode(moves).alias("to")).where("to is not null")
     left = F.length("s") - F.col("to.pos")
     found = (F.col("to.edits") == 1) & (left == 0) & F.col("ends")
     follows = (F.col("lengths").bitwiseAND(_bit(left)) != 0) & (F.col("letters").bitwiseAND(_bit(F.ascii(_piece("s", "to.pos", F.lit(1))))) != 0)
@@ -154,7 +151,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     try:
         found = []
         while True:  # one level of branches a round; as many rounds as branches lie on the longest path through a second half
-            after = common.settled(_step(states, edges), "frontier")
+            after = common.settled(_step(states, edges), "frontier", compression="none")  # digests do not compress
             if after.isEmpty():
                 break
             found.append(after.where("found").select("s", "node"))
