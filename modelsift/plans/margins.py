@@ -1,7 +1,9 @@
-"""Support vector machines: linear, and kernels through explicit feature maps.
+"""Support vector machines: exact kernels in the dual, or linear machines on explicit feature maps.
 
-The rbf kernel is replaced by random Fourier features (Rahimi and Recht 2007) and the cubic kernel by the cubic
-expansion, so kernel results approximate those of an exact kernel solver.
+``solver="dual"`` (default) solves the kernel problems themselves, one per pair of classes; its passes and support rows grow with
+the table, as for any kernel machine.  ``solver="features"`` is for tables beyond that: the rbf kernel becomes random Fourier features
+(Rahimi and Recht 2007), the cubic kernel its expansion or random products, classes run one against the rest, and results are
+approximate.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConfigurationError
+from ..operators.kernel_dual import Dual, Solved, solve
 from ..operators.reduce import vector_size
 from .base import FEATURES, FOLD, LABEL, Candidate, balanced, branch_stages, class_scores, error_scores, parallel
+from .kernels import KernelMachine, fit_sigmoids
 from .registry import register_model
 from .tuning import Choice, FloatRange, Search, tpe_search
 
@@ -151,18 +155,22 @@ class Platt(Model, DefaultParamsReadable, DefaultParamsWritable):
         return df.withColumn("probability", array_to_vector(shares))
 
 
-def feature_map(frame: DataFrame, kernel: str, gamma, seed: int):
-    """Transformer from ``features`` to ``mapped``."""
+def kernel_width(frame: DataFrame, gamma) -> float:
+    """``auto``: one over the number of features, ``scale``: that over the variance of all entries, or a number."""
     p = max(vector_size(frame, FEATURES), 1)
     if gamma == "auto":
-        width = 1.0 / p
-    elif gamma == "scale":
-        s = frame.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(FEATURES)).alias("s")).first()["s"]
-        mean = s["mean"].toArray()
-        var = float((s["variance"].toArray() * (s["count"] - 1) / max(s["count"], 1) + (mean - mean.mean()) ** 2).mean())
-        width = 1.0 / (p * var) if var > 0 else 1.0
-    else:
-        width = float(gamma)
+        return 1.0 / p
+    if gamma != "scale":
+        return float(gamma)
+    s = frame.select(Summarizer.metrics("mean", "variance", "count").summary(F.col(FEATURES)).alias("s")).first()["s"]
+    mean = s["mean"].toArray()
+    var = float((s["variance"].toArray() * (s["count"] - 1) / max(s["count"], 1) + (mean - mean.mean()) ** 2).mean())
+    return 1.0 / (p * var) if var > 0 else 1.0
+
+
+def feature_map(frame: DataFrame, kernel: str, gamma, seed: int):
+    """Transformer from ``features`` to ``mapped``."""
+    p, width = max(vector_size(frame, FEATURES), 1), kernel_width(frame, gamma)
     if kernel == "linear":
         return VectorAssembler(inputCols=[FEATURES], outputCol=MAPPED)
     if kernel == "rbf":
@@ -220,8 +228,8 @@ def fit_svr(frame: DataFrame, c: float, epsilon: float = EPSILON, rounds: int =
 class Svm(Candidate):
     name = "SVM"
     # fixed values: the default search ranges
-    defaults = {"kernel": ("linear", "rbf", "poly"), "C": (0.1, 100.0), "gamma": ("scale", "auto"), "scaler": "standard", "pca_components": 0.95, "n_iter": 10, "max_iter": 50}
-    descriptions = {"C": "inverse strength of the penalty", "kernel": "feature map (rbf and poly are approximated)", "gamma": "reach of one row"}
+    defaults = {"kernel": ("linear", "rbf", "poly"), "C": (0.1, 100.0), "gamma": ("scale", "auto"), "scaler": "standard", "pca_components": 0.95, "n_iter": 10, "solver": "dual", "rounds": 1000, "max_iter": 50}
+    descriptions = {"C": "inverse strength of the penalty", "kernel": "inner product of rows", "gamma": "reach of one row"}
 
     def __init__(self, problem, config=None):
         super().__init__(problem, config)
@@ -266,7 +274,55 @@ class Svm(Candidate):
             out = done.select(LABEL, FEATURES, *[f"p{j}" for j in range(i + 1)])
         return out.select(LABEL, F.inline(F.array(*[F.struct(F.lit(i).alias("setting"), F.col(f"p{i}").alias("p")) for i in range(len(models))])))
 
+    # --- exact machines
+
+    def _pairs(self) -> list[tuple[int, int] | None]:
+        k = self.problem.n_classes
+        return [(a, b) for a in range(k) for b in range(a + 1, k)] if self.problem.is_classification else [None]
+
+    def _duals(self, frame: DataFrame, settings: list[dict]) -> list[Dual]:
+        """A problem per setting and pair of classes, with balanced class weights."""
+        widths = {g: kernel_width(frame, g) for g in {s["gamma"] for s in settings}}
+        weights = {}
+        if self.problem.is_classification:
+            counts = {int(r[LABEL]): r["count"] for r in frame.groupBy(LABEL).count().collect()}  # one row per class
+            weights = {c: sum(counts.values()) / (len(counts) * n) for c, n in counts.items()}
+        unknown = {s["kernel"] for s in settings} - {"linear", "rbf", "poly"}
+        if unknown:
+            raise ConfigurationError("unknown kernel", kernel=", ".join(map(str, unknown)))
+        return [
+            Dual(s["kernel"], widths[s["gamma"]], s["C"], p, (weights.get(p[0], 1.0), weights.get(p[1], 1.0)) if p else (1.0, 1.0), EPSILON)
+            for s in settings for p in self._pairs()
+        ]
+
+    def _solve(self, frame: DataFrame, settings: list[dict]) -> tuple[Solved, list[Dual], list[list[int]]]:
+        duals, each = self._duals(frame, settings), len(self._pairs())
+        solved = solve(frame.select(LABEL, FEATURES), duals, LABEL, FEATURES, self.config["rounds"])
+        return solved, duals, [list(range(i * each, (i + 1) * each)) for i in range(len(settings))]
+
+    def _curves(self, frame: DataFrame, setting: dict) -> list[tuple[float, float]]:
+        """Sigmoids per pair, fitted on scores of rows the scoring machine had not seen."""
+        pairs = self._pairs()
+
+        def one(f: int) -> DataFrame:
+            solved, duals, (own,) = self._solve(frame.filter(F.col(FOLD) != f), [setting])
+            scored = KernelMachine.of(solved, duals, own, self.problem.n_classes).scores(frame.filter(F.col(FOLD) == f).select(LABEL, FEATURES))
+            return scored.select(LABEL, F.posexplode("scores").alias("pair", "f"))
+
+        parts = parallel([lambda f=f: one(f) for f in range(self.problem.folds)], self.config["parallelism"])
+        long = parts[0]
+        for part in parts[1:]:
+            long = long.unionAll(part)
+        first, second = (F.get(F.lit([p[i] for p in pairs]), F.col("pair")) for i in (0, 1))
+        return fit_sigmoids(long.where((F.col(LABEL) == first) | (F.col(LABEL) == second)).select("pair", (F.col(LABEL) == first).alias("positive"), "f"), len(pairs))
+
     def score(self, train, valid, settings):
+        if self.config["solver"] == "dual":
+            solved, duals, groups = self._solve(train, settings)
+            long = self._predicted([KernelMachine.of(solved, duals, own, self.problem.n_classes) for own in groups], valid)
+            found = class_scores(long) if self.problem.is_classification else error_scores(long)
+            return [found.get(i, -math.inf) for i in range(len(settings))]
+
         def attempt(s: dict):
             try:
                 return self._fit(train, s)
@@ -302,19 +358,45 @@ class Svm(Candidate):
         return parallel([lambda c=c: sigmoid(c) for c in ([1] if k == 2 else range(k))], self.config["parallelism"])
 
     def build(self, frame, setting):
+        self.solved = None
+        if self.config["solver"] == "dual":
+            curves = self._curves(frame, setting) if self.problem.is_classification else None
+            self.solved, duals, (own,) = self._solve(frame, [setting])
+            return KernelMachine.of(self.solved, duals, own, self.problem.n_classes, curves)
         self.margin = self._fit(frame, setting)
         self.support = support_table(self.margin, frame, self.problem)
         if not self.problem.is_classification:
             return self.margin
         return PipelineModel(stages=[*self.margin.stages, Platt.of(self._sigmoids(frame, setting))])
 
+    def _named_support(self) -> DataFrame:
+        """Support rows with the names of their pair and class."""
+        rows = self.solved.support
+        if not self.problem.is_classification:
+            return rows.select(F.lit(None).cast("string").alias("first"), F.lit(None).cast("string").alias("second"), F.lit("all").alias("class"), "id", (F.col("plus") - F.col("minus")).alias("coefficient"), (F.col("plus") + F.col("minus")).alias("multiplier"), "x")
+        names, pairs = F.lit([str(c) for c in self.problem.classes]), self._pairs()
+        ends = [F.get(names, F.get(F.lit([p[i] for p in pairs]), F.col("problem"))) for i in (0, 1)]
+        return rows.select(
+            ends[0].alias("first"), ends[1].alias("second"), F.get(names, F.col("label").cast("int")).alias("class"), "id",
+            (F.col("plus") - F.col("minus")).alias("coefficient"), (F.col("plus") + F.col("minus")).alias("multiplier"), "x",
+        )
+
     def tailored(self, spark):
+        """Support rows with their multipliers and counts per class, and the weights of linear machines, for each pair of classes."""
         self._fitted()
+        if self.solved is not None:
+            rows = self._named_support()
+            out = {"support_rows": rows, "support_counts": rows.groupBy("class").agg(F.count_distinct("id").alias("n"))}
+            if self.best["kernel"] == "linear":
+                weights = rows.select("first", "second", "coefficient", F.posexplode("x").alias("i", "v")).groupBy("first", "second", "i").agg(F.sum(F.col("coefficient") * F.col("v")).alias("coefficient"))
+                out["coefficients"] = weights.select("first", "second", F.get(F.lit(list(self.feature_names)), F.col("i")).alias("feature"), "coefficient")
+            return out
         out = {"support_counts": self.support}
         last = self.margin.stages[-1]
-        if self.best["kernel"] == "linear" and hasattr(last, "coefficients"):
-            rows = [(n, float(v)) for n, v in zip(self.feature_names, last.coefficients.toArray())]
-            out["coefficients"] = spark.createDataFrame(rows, "feature string, coefficient double")
+        if self.best["kernel"] == "linear":
+            models = last.models if hasattr(last, "models") else [last]
+            rows = [(str(self.problem.classes[c]) if len(models) > 1 else None, n, float(v)) for c, m in enumerate(models) for n, v in zip(self.feature_names, m.coefficients.toArray())]
+            out["coefficients"] = spark.createDataFrame(rows, "class string, feature string, coefficient double")
         return out
 
 
