@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +28,7 @@ from .shingles import mix, shingle_sets
 from .tokens import worker_store
 
 BITMAP_WORDS = (4, 1024)  # least and most 64-bit words of a parity bitmap, which has two to four cells per element
+SLICE, SEEN = 200, 200_000  # documents whose signatures are held at once; sets a task remembers
 SMALL = 64           # up to this size all segments are doubled
 WEAK_COST = 200.0    # comparisons that a signature of at most one element is expected to cause
 GUIDE_DOCS = 4_000   # documents, about, whose shingles tell frequent ones
@@ -43,9 +43,18 @@ def band_edges(num: int, den: int, top: int) -> list[int]:
     return edges
 
 
-@lru_cache(maxsize=4096)
+_SCHEMES: dict[tuple[int, int, int, int], tuple[int, int, int]] = {}  # a plain table travels by value to workers without the package
+
+
 def scheme(num: int, den: int, low: int, high: int) -> tuple[int, int, int]:
     """``(segments, doubled, spare)`` for sets of ``low`` to ``high`` elements; no segments where only equal sets link."""
+    key = (num, den, low, high)
+    if key not in _SCHEMES:
+        _SCHEMES[key] = _scheme(*key)
+    return _SCHEMES[key]
+
+
+def _scheme(num: int, den: int, low: int, high: int) -> tuple[int, int, int]:
     worst = (den - num) * 2 * high // (den + num)
     if worst == 0:
         return 0, 0, 0
@@ -110,7 +119,7 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, k1, k2``: set size and a 128-bit key of the set."""
+    """``doc_id, n_shingles, k1, k2``: set size and a key of the set under each of two independent word hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_store("none")
@@ -118,7 +127,8 @@ def describe(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text") -
             sets = shingle_sets(batch.column(1).to_pylist(), n)
             size = np.array([s.size for s in sets], np.int64)
             k1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            k2 = np.array([mix(s ^ np.uint64(0xD6E8FEB86659FD93)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            other = shingle_sets(batch.column(1).to_pylist(), n, 1)
+            k2 = np.array([mix(s).sum(dtype=np.uint64) for s in other], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(k1), pa.array(k2)], names=["doc_id", "n_shingles", "k1", "k2"])
 
     return _rows(docs, key, text).mapInArrow(run, "doc_id bigint, n_shingles bigint, k1 bigint, k2 bigint")
@@ -165,15 +175,17 @@ def _frequent(docs: DataFrame, n: int, rows: int, key: str, text: str) -> np.nda
 
 
 def _index(docs: DataFrame, n: int, num: int, den: int, key: str, text: str, frequent: np.ndarray) -> DataFrame:
-    """``sig, doc_id``; of equal sets in a task only the first is indexed."""
+    """``sig, doc_id``; of equal sets near each other in a task only the first is indexed, which saves work only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_store("none")
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
                 ids, sigs = [], []
+                if len(seen) > SEEN:
+                    seen.clear()
                 for k, s in zip(part.column(0).to_pylist(), shingle_sets(part.column(1).to_pylist(), n)):
                     if k is None or not s.size:
                         continue
@@ -226,17 +238,21 @@ def _verify(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> D
     both = pairs.join(t.withColumnsRenamed({"id": "b", "t": "tb"}), "b").join(t.withColumnsRenamed({"id": "a", "t": "ta"}), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, one = None, np.empty(0, np.uint64)
+        text, ones = None, []
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 rows = []
-                for a, b, ta, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), shingle_sets(part.column(3).to_pylist(), n)):
+                others = part.column(3).to_pylist()
+                for a, b, ta, *sets in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), shingle_sets(others, n), shingle_sets(others, n, 1)):
                     if ta != text:
-                        text, one = ta, shingle_sets([ta], n)[0]
-                    both = np.sort(np.concatenate((one, s)))
-                    common_n = int((both[1:] == both[:-1]).sum())
-                    union = one.size + s.size - common_n
+                        text, ones = ta, [shingle_sets([ta], n, seed)[0] for seed in (0, 1)]
+                    shared = []
+                    for one, s in zip(ones, sets):
+                        both = np.sort(np.concatenate((one, s)))
+                        shared.append(int((both[1:] == both[:-1]).sum()))
+                    common_n = min(shared)  # a chance collision can only add to one of the two
+                    union = max(o.size + s.size for o, s in zip(ones, sets)) - common_n
                     if union and den * common_n >= num * union:
                         rows.append((a, b, common_n, union))
                 if rows:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+LONG = 64                                           # bytes of a word that is hashed by blocks
+KEYS = (0x2545F4914F6CDD1D, 0xD6E8FEB86659FD93)     # two independent word hashes: sets that must be equal agree under both
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SPACE = np.zeros(256, bool)
@@ -28,21 +32,39 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def _word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word and its hash; words are maximal runs without ASCII white space."""
+def _word_hashes(data: bytes, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start of each word and its keyed hash; words are maximal runs without ASCII white space.
+
+    A word of up to ``LONG`` bytes runs through ``mix`` eight bytes at a time, each step a bijection of the state, so no sums or
+    powers can cancel; a longer one has a keyed cryptographic digest.
+    """
     b = np.frombuffer(data, np.uint8)
     if not b.size:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     inside = np.concatenate(([False], ~_SPACE[b], [False]))
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, stop = edge[::2], edge[1::2]
-    up, down = _powers(b.size)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up)))
-    return start, mix((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+    size = stop - start
+    padded = np.concatenate((b, np.zeros(8, np.uint8)))
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    h = mix(size.astype(np.uint64) + np.uint64(KEYS[seed]))
+    short = size <= LONG
+    for at in range(0, LONG, 8):
+        some = np.flatnonzero(short & (size > at))
+        if not some.size:
+            break
+        block = np.ascontiguousarray(eight[start[some] + at]).view("<u8").ravel()
+        left = np.minimum(size[some] - at, 8).astype(np.uint64)
+        block = block & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - left * np.uint64(8)))
+        h[some] = mix(h[some] ^ block) + np.uint64(_BASE)
+    for i in np.flatnonzero(~short).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[start[i]:stop[i]], digest_size=8, key=KEYS[seed].to_bytes(8, "little")).digest(), "little")
+    return start, h
 
 
-def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int, seed: int = 0) -> list[np.ndarray]:
     """The set of each text: distinct ``n``-word shingles, A-Z lower-cased; with fewer words the whole sequence is the only one.
+    ``seed`` picks one of two independent hashes.
 
     A null text, an empty one and one of white space have the empty set.
     """
@@ -53,13 +75,13 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
         group.append((t or "").encode("utf-8", "surrogatepass").lower())
         size += len(group[-1]) + 1
         if size >= CHUNK or i + 1 == len(texts):
-            out += _sets(group, n)
+            out += _sets(group, n, seed)
             group, size = [], 0
     return out
 
 
-def _sets(group: list[bytes], n: int) -> list[np.ndarray]:
-    start, word = _word_hashes(b"\n".join(group))
+def _sets(group: list[bytes], n: int, seed: int) -> list[np.ndarray]:
+    start, word = _word_hashes(b"\n".join(group), seed)
     ends = np.cumsum([len(g) + 1 for g in group])
     first = np.concatenate(([0], np.searchsorted(start, ends)))
     h = mix(word + np.uint64(n))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -16,6 +19,7 @@ from modelsift.llm.tokens import tokenizer_path
 
 from .conftest import rows_by_id, texts
 
+REPO, SF = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -268,3 +272,29 @@ def test_entire_licences_at_several_widths(spark):
     assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "BSL-1.0", "Unlicense"} <= {r["license_id"] for r in got.values()}
     mit = licenses.KNOWN["MIT"].replace("MIT License", "The MIT License (MIT)", 1)
     assert rows_by_id(licenses.scan(spark.createDataFrame([(1, mit)], "doc_id bigint, text string"), licenses.known_texts(spark)))[1]["license_id"] == "MIT"
+
+
+def test_long_words_that_fool_polynomials_do_not_link(spark):
+    """Complementary Thue-Morse words have equal polynomial hashes modulo 2 ** 64 for every base."""
+    one = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{one} x y z"), (2, f"{two} x y z"), (3, f"{one} x y z"), (4, " ".join(["abcdefgh1", "abcdefgh2", "abcdefgh", "abcdefghi" * 7]))]
+    classes, _ = jaccard.join(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes.collect()} == {1: (2, 1), 2: (2, 2), 3: (2, 1), 4: (2, 4)}
+    words = ["a" * k for k in range(1, 200)] + ["a" * k + "b" + "a" * (80 - k) for k in range(80)]
+    for seed in (0, 1):
+        assert len({int(shingle_sets([w], 1, seed)[0][0]) for w in words}) == len(words)
+
+
+def test_workers_need_no_package(tmp_path):
+    """Queries run where only the driver can import the package."""
+    code = f"""
+import sys; sys.path.insert(0, {REPO!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", {str(tmp_path / "w")!r}).getOrCreate()
+for name in ("op8_jaccard_join", "op11_trie_variants", "op12_prefix_target_chat", "op13_bisector_clusters"):
+    assert e.queries()[name](spark, {SF!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=600)
