@@ -89,13 +89,13 @@ def trie(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     names: ``wid, s, word, back``.  edges: ``node, salt, first, rest, child, child_salts`` (a label in two parts; 0 salts: a leaf),
     what can follow the child (``lengths``, ``letters``), and ``ends`` where the child is a word.  starts: ``s, pos, node, salt, edits`` at the first branch in the second half of each word, no edit spent.
     """
-    letters = common.settled(words.select("word").mapInArrow(_prefixes, "wid binary, pos int, node binary, letter string, left int"), "letters", compression="none")
-    names = common.settled(words.select("word").mapInArrow(_ids, "wid binary, s string, word string, back boolean"), "names", compression="none")
+    letters = common.settled(words.select("word").mapInArrow(_prefixes, "wid binary, pos int, node binary, letter string, left int"), "letters", compression="zstd")
+    names = common.settled(words.select("word").mapInArrow(_ids, "wid binary, s string, word string, back boolean"), "names", compression="zstd")
     steps = letters.groupBy("node", "letter").agg(F.count(F.lit(1)).alias("words"), F.bit_or(_bit("left")).alias("lengths"))
     kept = steps.groupBy("node").agg(F.count(F.lit(1)).alias("ways"), F.sum("words").alias("words"), F.bit_or("lengths").alias("lengths"), F.bit_or(_bit(F.ascii("letter"))).alias("letters")).where("ways > 1")
     kept = kept.select("node", F.ceil(F.col("words") / HEAVY).cast("int").alias("salts"), "lengths", "letters")
     paths = letters.drop("letter", "left").join(kept, "node").groupBy("wid").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "salts", "lengths", "letters"))).alias("path"))
-    paths = common.settled(paths.join(names.select("wid", "s"), "wid"), "paths", compression="none")
+    paths = common.settled(paths.join(names.select("wid", "s"), "wid"), "paths", compression="zstd")
 
     each = paths.select("wid", "s", "path", F.posexplode("path").alias("i", "here"))
     each = each.select("wid", "s", "here", F.get("path", F.col("i") + 1).alias("there"))
@@ -151,7 +151,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     try:
         found = []
         while True:  # one level of branches a round; as many rounds as branches lie on the longest path through a second half
-            after = common.settled(_step(states, edges), "frontier", compression="none")  # digests do not compress
+            after = common.settled(_step(states, edges), "frontier", compression="zstd")
             if after.isEmpty():
                 break
             found.append(after.where("found").select("s", "node"))
