@@ -152,24 +152,33 @@ class PieceCoder:
             keep = ~odd[word]
             sym, word, start, stop = sym[keep], word[keep], start[keep], stop[keep]
         done_word, done_sym = [], []
-        while sym.size:
-            pair = sym[:-1] * self.n + sym[1:]
+
+        def candidates(i: np.ndarray) -> np.ndarray:
+            """What the symbols at ``i`` and behind make; -1 where nothing, where a word ends or where the merge is dropped."""
+            pair = sym[i] * self.n + sym[i + 1]
             at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            ok = (self.keys[at] == pair) & (word[1:] == word[:-1])
-            c = np.flatnonzero(ok)
-            if self.drops and c.size:
-                c = c[~self.skipped(key[word[c]], start[c], stop[c + 1])]
+            ok = (self.keys[at] == pair) & (word[i] == word[i + 1])
+            if self.drops:
+                some = np.flatnonzero(ok)
+                ok[some] = ~self.skipped(key[word[i[some]]], start[i[some]], stop[i[some] + 1])
+            return np.where(ok, self.joined[at], -1)
+
+        makes = np.full(len(sym), -1)
+        if sym.size and self.keys.size:
+            makes[:-1] = candidates(np.arange(len(sym) - 1))
+        while sym.size:
+            c = np.flatnonzero(makes >= 0)
             if not c.size:
                 break
             # the best candidate of each word: least rank, then leftmost
-            rank = self.rank[self.joined[at[c]]]
+            rank = self.rank[makes[c]]
             first = np.flatnonzero(np.concatenate(([True], word[c[1:]] != word[c[:-1]])))
             group = np.repeat(np.arange(first.size), np.diff(np.concatenate((first, [c.size]))))
             best = np.minimum.reduceat(rank, first)
             hits = np.flatnonzero(rank == best[group])
             hits = hits[np.concatenate(([True], group[hits[1:]] != group[hits[:-1]]))]
             left = c[hits]
-            sym[left], stop[left] = self.joined[at[left]], stop[left + 1]
+            sym[left], stop[left] = makes[left], stop[left + 1]
             keep = np.ones(len(sym), bool)
             keep[left + 1] = False
             going = np.zeros(len(words), bool)
@@ -179,7 +188,12 @@ class PieceCoder:
                 done_word.append(word[finished])
                 done_sym.append(sym[finished])
                 keep &= ~finished
-            sym, word, start, stop = sym[keep], word[keep], start[keep], stop[keep]
+            left = np.cumsum(keep)[left] - 1
+            sym, word, start, stop, makes = sym[keep], word[keep], start[keep], stop[keep], makes[keep]
+            # only a merged symbol and the one before it have new neighbours
+            makes[left] = -1
+            near = np.concatenate((left[left > 0] - 1, left[left + 1 < len(sym)]))
+            makes[near] = candidates(near)
         done_word.append(word)
         done_sym.append(sym)
         word, sym = np.concatenate(done_word), np.concatenate(done_sym)
