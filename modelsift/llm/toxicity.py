@@ -125,7 +125,18 @@ class Matcher:
                 spared.append((a, end + 1))
             elif a not in spans or size > spans[a][1] - a:
                 spans[a] = (a, end + 1, weight)
-        return [s for s in spans.values() if not any(a <= s[0] and s[1] <= b for a, b in spared)]
+        if not spared:
+            return list(spans.values())
+        # one sweep over the starts: a span is spared if a phrase that begins no later reaches its end
+        spared.sort()
+        out, reach, at = [], 0, 0
+        for a in sorted(spans):
+            while at < len(spared) and spared[at][0] <= a:
+                reach = max(reach, spared[at][1])
+                at += 1
+            if spans[a][1] > reach:
+                out.append(spans[a])
+        return out
 
     def measure(self, text: str | None) -> tuple[float, int, int]:
         """Matched weight, matches, words."""
