@@ -6,6 +6,7 @@ Inline tags only count for statistics; a line break is white space; scripts, sty
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from html import unescape
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<([a-zA-Z][^\s/>]*+)([^>]*+)>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<[!?/][^>]*+>", re.S)
@@ -71,6 +72,7 @@ def parse(html: str | None, known: dict[str, int] | None = None) -> Node:
     html, known = html or "", {} if known is None else known
     root = Node("body", None)
     stack: list[tuple[str, Node]] = []   # open elements, and the block each stands in
+    where: dict[str, list[int]] = {}     # the depths at which an element of each name is open
     here, run, linked, link, silent = root, [], 0, 0, 0
     at, end = 0, len(html)
 
@@ -89,6 +91,7 @@ def parse(html: str | None, known: dict[str, int] | None = None) -> Node:
         nonlocal here, link, silent
         while len(stack) > depth:
             name, block = stack.pop()
+            where[name].pop()
             if name == "a":
                 link -= 1
             if name in SILENT:
@@ -101,13 +104,18 @@ def parse(html: str | None, known: dict[str, int] | None = None) -> Node:
     def flush_silent() -> None:
         run.clear()
 
+    def deepest(names: Iterable[str]) -> int:
+        """Depth of the innermost open element of one of the names, -1 without any."""
+        return max((where[n][-1] for n in names if where.get(n)), default=-1)
+
+    def close_within(names: Iterable[str], limits: Iterable[str]) -> None:
+        """Close the innermost element of the names unless one of the limits is open inside it."""
+        d = deepest(names)
+        if d >= 0 and d >= deepest(limits):
+            close(d)
+
     def close_head() -> None:
-        for d in range(len(stack) - 1, -1, -1):
-            if stack[d][0] == "head":
-                close(d)
-                break
-            if stack[d][0] == "template":
-                break
+        close_within(("head",), ("template",))
 
     while at < end:
         m = TAG.search(html, at)
@@ -135,31 +143,20 @@ def parse(html: str | None, known: dict[str, int] | None = None) -> Node:
                     flush()
                 continue
             if name in ENDS:
-                for d in range(len(stack) - 1, -1, -1):
-                    if stack[d][0] in ENDS[name]:
-                        close(d)
-                        break
-                    if stack[d][0] in LIMITS[name]:
-                        break
+                close_within(ENDS[name], LIMITS[name])
             elif name in CLOSES_P:
-                for d in range(len(stack) - 1, -1, -1):
-                    if stack[d][0] == "p":
-                        close(d)
-                        break
-                    if stack[d][0] in BARRIER:
-                        break
+                if where.get("p"):
+                    close_within(("p",), BARRIER)
                 if name == "hr":
                     continue
             if name == "a" and link:  # links do not nest
-                for d in range(len(stack) - 1, -1, -1):
-                    if stack[d][0] == "a":
-                        close(d)
-                        break
+                close_within(("a",), ())
             if name in SILENT:
                 flush()
                 silent += 1
             if name in ("html", "body"):
                 continue
+            where.setdefault(name, []).append(len(stack))
             stack.append((name, here))
             if name in INLINE:
                 here.tags += 1
@@ -179,14 +176,10 @@ def parse(html: str | None, known: dict[str, int] | None = None) -> Node:
             name = m[5].lower()
             if name in ("html", "body"):
                 close_head()
-            if name == "p" and not any(s[0] == "p" for s in stack):
+            if name == "p" and not where.get("p"):
                 flush()
-            for d in range(len(stack) - 1, -1, -1):
-                if stack[d][0] == name:
-                    close(d)
-                    break
-                if name in INLINE and stack[d][0] in BARRIER:
-                    break
+            if where.get(name):
+                close_within((name,), BARRIER if name in INLINE else ())
     close(0)
     flush()
     _measure(root)
