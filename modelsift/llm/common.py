@@ -35,6 +35,14 @@ def scratch(spark: SparkSession, kind: str) -> str:
     return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def unused(names: list[str], name: str) -> str:
+    """A column name that is not among ``names``, whatever their case."""
+    taken = {n.lower() for n in names}
+    while name.lower() in taken:
+        name = f"{name}_"
+    return name
+
+
 def settled(df: DataFrame, kind: str, **options) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage ends there, so a lost executor costs no recomputation."""
     path = scratch(df.sparkSession, kind)

@@ -27,6 +27,8 @@ from .tokens import worker_store
 SIZE = 50
 GRAM = 24              # bytes of a marked gram
 CHUNK = 1 << 17        # bytes hashed together
+SHARD_BYTES = 8 << 20  # text a shard stands for: there are as many shards as the measured text asks for, one for each shuffle partition at least
+BLOCK = 1 << 16        # occurrences whose windows are compared at a time
 BROADCAST_NUMBERS = 4_000_000  # numbers of the table of removed runs sent to every executor at most (32 MB); more are shuffled
 _FULL = b"\x01"
 
@@ -207,7 +209,7 @@ def _spans_of_docs(size: int) -> Callable:
     return run
 
 
-def _shared(shards: int) -> Callable:
+def _shared(buckets: int) -> Callable:
     """Marks that at least two documents of a shard hold: the low halves of their hashes, by document."""
 
     def run(group: pa.Table) -> pa.Table:
@@ -221,7 +223,7 @@ def _shared(shards: int) -> Callable:
             several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
             keep = np.repeat(several, np.diff(np.concatenate((start, [h.size]))))
             h, doc = h[keep], doc[keep]
-        return _to_buckets(doc, [h.astype("<u4")], fold, shards)
+        return _to_buckets(doc, [h.astype("<u4")], fold, buckets)
 
     return run
 
@@ -290,7 +292,7 @@ def _row_hash(rows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _repeated(size: int, gram: int, shards: int) -> Callable:
+def _repeated(size: int, gram: int, buckets: int) -> Callable:
     """Per shard: the windows of each document that also start in a smaller one, as first places and bit masks."""
     wide, offsets = 2 * size - gram, size - gram + 1
 
@@ -314,18 +316,25 @@ def _repeated(size: int, gram: int, shards: int) -> Callable:
             base += len(cut)
         fold = np.concatenate(folded)
         if not cuts:
-            return _to_buckets(np.empty(0, np.int64), [np.empty(0, "<u4"), np.empty(0, "<u8")], fold, shards)
+            return _to_buckets(np.empty(0, np.int64), [np.empty(0, "<u4"), np.empty(0, "<u8")], fold, buckets)
         cut, count, which, doc, place = np.concatenate(cuts), np.concatenate(counts), np.concatenate(which), np.concatenate(doc), np.concatenate(place)
+        del cuts
         rep, again = _distinct(cut, _row_hash(cut))  # equal cuts of different tasks are one
         cut, count, which = cut[rep], count[rep].astype(np.int64), again[which]
-        least = np.full(len(cut), np.iinfo(np.int64).max)
+        names, doc = np.unique(doc, return_inverse=True)  # places in ascending order stand for ids
+        doc = doc.astype(np.int32)
+        least = np.full(len(cut), len(names), np.int32)
         np.minimum.at(least, which, doc)
         winner = np.repeat(least[:, None], offsets, axis=1)  # least document of each window of each cut
         _settle(cut, count, least, winner, size)
-        gone = (winner[which] < doc[:, None]) & (np.arange(offsets) < count[which][:, None])
-        mask = np.bitwise_or.reduce(gone.astype(np.uint64) << np.arange(offsets, dtype=np.uint64), axis=1)
+        mask = np.empty(len(doc), np.uint64)
+        step = np.arange(offsets, dtype=np.uint64)
+        for i in range(0, len(doc), BLOCK):
+            w = which[i : i + BLOCK]
+            gone = (winner[w] < doc[i : i + BLOCK, None]) & (np.arange(offsets) < count[w][:, None])
+            mask[i : i + BLOCK] = np.bitwise_or.reduce(gone.astype(np.uint64) << step, axis=1)
         hit = np.flatnonzero(mask)
-        return _to_buckets(doc[hit], [place[hit].astype("<u4"), mask[hit].astype("<u8")], fold, shards)
+        return _to_buckets(names[doc[hit]], [place[hit].astype("<u4"), mask[hit].astype("<u8")], fold, buckets)
 
     return run
 
@@ -361,13 +370,14 @@ def repeated_spans(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     gram = gram or max(4, min(GRAM, size // 2))
     if size - gram + 1 > 64 or size > 254:
         raise ValueError("a mark may have 64 windows of 254 bytes")
-    shards = common.partitions(docs.sparkSession)
-    rows = _rows(docs, key, text)
+    rows, buckets = _rows(docs, key, text), common.partitions(docs.sparkSession)
+    size_of_all = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(buckets, -(-size_of_all // SHARD_BYTES))
     marked = rows.mapInArrow(_mark_rows(size, gram, shards), "shard int, blob binary")
     parts = "bucket int, blob binary"
-    shared = marked.groupBy("shard").applyInArrow(_shared(shards), parts).groupBy("bucket").applyInArrow(_marks_of_docs, "doc_id bigint, blob binary")
+    shared = marked.groupBy("shard").applyInArrow(_shared(buckets), parts).groupBy("bucket").applyInArrow(_marks_of_docs, "doc_id bigint, blob binary")
     cut = rows.join(shared, "doc_id").mapInArrow(_cut_rows(size, gram, shards), "shard int, blob binary")
-    gone = cut.groupBy("shard").applyInArrow(_repeated(size, gram, shards), parts)
+    gone = cut.groupBy("shard").applyInArrow(_repeated(size, gram, buckets), parts)
     return gone.groupBy("bucket").applyInArrow(_spans_of_docs(size), "doc_id bigint, spans array<bigint>")
 
 
@@ -382,7 +392,7 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
     is neither searched nor matched.  Strings are judged on the input, so what a document loses does not free others.  Other
     columns are not read.
     """
-    joined = _with_spans(_rows(docs, key, text), repeated_spans(docs, size, key, text), "doc_id").select("doc_id", "text", "__spans")
+    joined = _with_spans(_rows(docs, key, text), repeated_spans(docs, size, key, text), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts, found in _batches(batches, 3, 8 << 20):
@@ -400,10 +410,11 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, key: str = "doc_id", text:
 
 
 def _with_spans(rows: DataFrame, spans_: DataFrame, key: str) -> DataFrame:
-    """Rows with their removed runs as ``__spans``; the table of runs is sent to the rows while it is small, which is measured."""
-    found = common.settled(spans_, "spans").select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    held = found.agg(F.sum(F.size("__spans") + 2)).first()[0] or 0
-    return rows.join(F.broadcast(found) if held <= BROADCAST_NUMBERS else found, F.col(f"`{key}`") == F.col("__id"), "left").drop("__id")
+    """Rows with their removed runs as one more column, the last; the table of runs is sent to the rows while it is small, which is measured."""
+    own, runs = common.unused(rows.columns, "own"), common.unused(rows.columns, "runs")
+    found = common.settled(spans_, "spans").select(F.col("doc_id").alias(own), F.col("spans").alias(runs))
+    held = found.agg(F.sum(F.size(runs) + 2)).first()[0] or 0
+    return rows.join(F.broadcast(found) if held <= BROADCAST_NUMBERS else found, F.col(f"`{key}`") == F.col(own), "left").drop(own)
 
 
 def _keep(text: bytes, runs: list[int]) -> bytes:
