@@ -93,9 +93,9 @@ def test_search_of_few_rows_is_exact(spark):
 def test_reader():
     leaves = lambda h: [n.text for n in walk(parse(h)) if not n.tag]
     assert leaves("<p>a &amp; <b>b</b>c<br>d<p>e</p><script>x='<p>'</script>f<!-- g -->") == ["a & bc d", "e", "f"]
-    assert leaves("<ul><li>a<li>b</ul><textarea>t</textarea><form>q<input>z</form>") == ["a", "b", "q z"] or True
+    assert leaves("<ul><li>a<li>b</ul><textarea>t</textarea><form>q<input>z</form>") == ["a", "b", "qz"]
     assert leaves("<div class='x>'>a</div><p title=\"y>\">b") == ["a", "b"]
-    assert leaves(None) == leaves("") == leaves("<") == [] or leaves("<") == ["<"]
+    assert leaves(None) == leaves("") == [] and leaves("<") == ["<"]
     assert leaves("a < b <c") == ["a < b <c"]
     deep = "<div>" * 3000 + "x" + "</div>" * 2000
     assert leaves(deep) == ["x"]
