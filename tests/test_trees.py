@@ -251,3 +251,29 @@ def test_ensemble_walks_saves_and_loads(spark, tmp_path, monkeypatch, at_once):
     shares = {r["feature"]: r["importance"] for r in model.importances(list("abcd")).collect()}
     assert sum(shares.values()) == pytest.approx(1)
     assert Counter(r["tree"] for r in model.shape().collect()) == {0: 1, 1: 1}
+
+
+@pytest.mark.parametrize("classes,small,at_once", [(3, 60, 1_000_000), (0, 60, 1_000_000), (2, 25, 9), (2, 0, 9)])
+def test_subtrees_of_one_task_equal_those_of_passes(spark, monkeypatch, classes, small, at_once):
+    x, y = table(seed=classes, classes=classes)
+    df = frame(spark, x, y)
+    specs = [TreeSpec(**{**s.__dict__, "criterion": s.criterion if classes else "variance"}) for s in SPECS]
+    told = []
+    for rows, nodes in ((100_000, 1_000_000), (small, at_once)):
+        monkeypatch.setattr(growth, "SMALL", rows)
+        monkeypatch.setattr(growth, "NODES_AT_ONCE", nodes)
+        monkeypatch.setattr(growth, "CELLS_AT_ONCE", 50 if rows == small else 500_000)
+        grown = growth.grow(df, specs, classes)
+        told.append(({(r["tree"], r["id"]): (r["feature"], r["cut_bin"], r["n"]) for r in grown.nodes.collect()}, growth.out_of_bag(grown).first()["oob_score"]))
+        grown.release()
+    assert told[0][0] == told[1][0] and told[0][1] == pytest.approx(told[1][1])
+
+
+def test_passes_follow_the_rows_not_the_depth(spark, monkeypatch):
+    """A chain of 29 levels over few rows needs no pass a level."""
+    made = []
+    histograms = growth._histograms
+    monkeypatch.setattr(growth, "_histograms", lambda *a: made.append(a) or histograms(*a))
+    x = np.arange(30.0).reshape(-1, 1)
+    nodes = growth.grow(frame(spark, x, 4.0 ** np.arange(30)), [TreeSpec(criterion="variance")], 0).nodes
+    assert nodes.where("left < 0").count() == 30 and nodes.agg(F.max("depth")).first()[0] > 10 and not made
