@@ -8,6 +8,9 @@ A leaf is a box: per feature on its path an interval, and the share ``z`` of the
 
 and Gauss-Legendre points integrate that polynomial of degree m - 1 exactly.  So no coalition is listed, and all rows and leaves of an
 Arrow batch go through the same few array products.  Leaves add up, so they are sent to the tasks in pieces.
+
+What a leaf adds depends on x through the m values ``o`` alone.  Where all 2^m of them fit in memory (``CELLS``), they are worked out
+once, and a row only looks up its place between the thresholds of each feature; rows between the same thresholds are told once.
 """
 
 from __future__ import annotations
@@ -55,18 +58,78 @@ def _by_length(rows: pa.Table, trees: int) -> list[tuple[np.ndarray, ...]]:
     return [(np.array([x[0] for x in v]), *[np.array([x[i] for x in v], float) for i in (1, 2, 3)], np.array([x[4] for x in v], float) / trees) for v in found.values()]
 
 
-def contributions(x: np.ndarray, groups: Sequence[tuple[np.ndarray, ...]], out: int) -> np.ndarray:
-    """Rows x (classes x features) contributions of the leaves in ``groups``."""
+def _inside(v: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return ~(v <= low) & ((v <= high) | (high == np.inf))  # a missing value goes right
+
+
+def _gauss(m: int) -> tuple[np.ndarray, np.ndarray]:
+    points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
+    return (points + 1) / 2, weights / 2
+
+
+def _listed(width: int, leaves: int, m: int) -> bool:
+    """Whether all that leaves with paths of ``m`` features can add is worked out beforehand."""
+    return m < 20 and max(width, m * ((m + 1) // 2)) * leaves << m <= CELLS
+
+
+def worth(features: np.ndarray, low: np.ndarray, high: np.ndarray, z: np.ndarray, width: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """Per feature its thresholds and the bits that each place between them sets in the pattern of each leaf, and what each pattern
+    of each leaf is worth to each feature (features x leaves x patterns)."""
+    leaves, m = features.shape
+    t, w = _gauss(m)
+    on = (np.arange(1 << m)[:, None] >> np.arange(m) & 1).astype(bool)   # patterns x m
+    base = z[:, None, :, None] * (1 - t) + on[None, :, :, None] * t
+    rest = np.prod(base, axis=2, keepdims=True) / base
+    part = (rest @ w) * (on - z[:, None, :])                             # leaves x patterns x m
+    value, bits = np.zeros((width, leaves, 1 << m)), {}
+    for j in range(m):
+        value[features[:, j], np.arange(leaves), :] = part[:, :, j]
+    for f in np.unique(features).tolist():
+        leaf, j = np.nonzero(features == f)
+        edges = np.concatenate([low[leaf, j], high[leaf, j]])
+        cuts = np.unique(edges[np.isfinite(edges)])
+        told = np.zeros((len(cuts) + 1, leaves), np.int64)
+        told[:, leaf] = _inside(np.append(cuts, np.inf)[:, None], low[leaf, j], high[leaf, j]).astype(np.int64) << j
+        bits[f] = cuts, told
+    return bits, value
+
+
+def _looked_up(x: np.ndarray, bits: dict[int, tuple[np.ndarray, np.ndarray]], value: np.ndarray, says: np.ndarray, total: np.ndarray) -> None:
+    """Adds the contributions of listed leaves to ``total``."""
+    width, leaves, patterns = value.shape
+    places = np.stack([np.searchsorted(cuts, x[:, f], side="left") for f, (cuts, _) in bits.items()], 1)  # a missing value sorts last
+    key = np.zeros(len(x), np.int64)
+    for i, (cuts, _) in enumerate(bits.values()):
+        if len(x) * (len(cuts) + 1) * (int(key.max(initial=0)) + 1) > 1 << 62:
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * (len(cuts) + 1) + places[:, i]
+    _, one, back = np.unique(key, return_index=True, return_inverse=True)
+    places, found = places[one], np.zeros((len(one), *total.shape[1:]))
+    some = max(1, CELLS // leaves)
+    for a in range(0, len(places), some):
+        code = np.arange(leaves) * patterns + sum(told[places[a:a + some, i]] for i, (_, told) in enumerate(bits.values()))
+        for c in range(total.shape[1]):
+            for f in bits:
+                found[a:a + some, c, f] = (value[f] * says[:, c, None]).ravel()[code].sum(1)
+    total += found[back]
+
+
+def contributions(x: np.ndarray, groups: Sequence[tuple[np.ndarray, ...]], out: int, listed: dict | None = None) -> np.ndarray:
+    """Rows x (classes x features) contributions of the leaves in ``groups``; ``listed`` keeps what is worked out beforehand."""
     n, width = x.shape
-    total = np.zeros((n, out, width))
-    for features, low, high, z, says in groups:
+    total, listed = np.zeros((n, out, width)), {} if listed is None else listed
+    for g, (features, low, high, z, says) in enumerate(groups):
         m = features.shape[1]
-        points, weights = np.polynomial.legendre.leggauss((m + 1) // 2)
-        t, w = (points + 1) / 2, weights / 2
+        if _listed(width, len(features), m):
+            if g not in listed:
+                listed[g] = worth(features, low, high, z, width)
+            _looked_up(x, *listed[g], says, total)
+            continue
+        t, w = _gauss(m)
         some = max(1, CELLS // (m * len(t) * len(features)))
         for a in range(0, n, some):
             v = x[a:a + some][:, features]                              # rows x leaves x m
-            inside = ~(v <= low) & ((v <= high) | (high == np.inf))     # a missing value goes right
+            inside = _inside(v, low, high)
             base = z[None, :, :, None] * (1 - t) + inside[..., None] * t
             rest = np.prod(base, axis=2, keepdims=True) / base          # the product over the others
             part = (rest @ w) * (inside - z)
@@ -77,10 +140,12 @@ def contributions(x: np.ndarray, groups: Sequence[tuple[np.ndarray, ...]], out:
 
 
 def _adder(groups: list[tuple[np.ndarray, ...]], out: int):
+    listed: dict = {}
+
     def add(x: pa.Array, before: pa.Array) -> pa.Array:
         n = len(x)
         rows = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
-        sums = before.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) + contributions(rows, groups, out)
+        sums = before.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) + contributions(rows, groups, out, listed)
         return pa.ListArray.from_arrays(pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)), pa.array(sums.ravel()))
 
     return F.arrow_udf(add, "array<double>")

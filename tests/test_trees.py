@@ -277,3 +277,23 @@ def test_passes_follow_the_rows_not_the_depth(spark, monkeypatch):
     x = np.arange(30.0).reshape(-1, 1)
     nodes = growth.grow(frame(spark, x, 4.0 ** np.arange(30)), [TreeSpec(criterion="variance")], 0).nodes
     assert nodes.where("left < 0").count() == 30 and nodes.agg(F.max("depth")).first()[0] > 10 and not made
+
+
+@pytest.mark.parametrize("out", [1, 2])
+def test_listed_leaves_add_what_all_points_add(monkeypatch, out):
+    """Leaves whose patterns are looked up, in time that does not follow the product of rows and points."""
+    rng = np.random.default_rng(out)
+    x = rng.normal(size=(300, 5)).round(1)
+    x[::17, 2] = np.nan
+    groups = []
+    for m in (1, 2, 4):
+        features = np.stack([rng.permutation(5)[:m] for _ in range(40)])
+        low, high = rng.normal(-1, 1, (40, m)).round(1), rng.normal(1, 1, (40, m)).round(1)
+        low[rng.random((40, m)) < 0.3], high[rng.random((40, m)) < 0.3] = -np.inf, np.inf
+        groups.append((features, low, high, rng.uniform(0.1, 1, (40, m)), rng.normal(size=(40, out))))
+    kept: dict = {}
+    got = shapley.contributions(x, groups, out, kept)
+    assert sorted(kept) == [0, 1, 2]
+    monkeypatch.setattr(shapley, "CELLS", 0)
+    monkeypatch.setattr(shapley, "_listed", lambda *a: False)
+    assert got == pytest.approx(shapley.contributions(x, groups, out), abs=1e-12)
