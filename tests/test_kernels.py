@@ -165,3 +165,13 @@ def test_candidate_tables(spark):
     told = svm.model.transform(df).collect()
     assert all(abs(r["probability"].toArray().sum() - 1) < 1e-9 for r in told)
     assert np.mean([np.argmax(r["probability"].toArray()) == r["label"] for r in told]) > 0.5
+
+
+def test_passes_are_few_for_many_support_rows(spark):
+    """Most rows lie outside the tube: the working set takes them together, not 192 variables a pass."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(800, 4))
+    y = 300 * x[:, 0] + 200 * rng.normal(size=800)
+    df = spark.createDataFrame([(float(v), r.tolist()) for v, r in zip(y, x)], "label double, x array<double>").select("label", array_to_vector("x").alias("features"))
+    solved = kernel_dual.solve(df, [kernel_dual.Dual("linear", 1.0, 50.0), kernel_dual.Dual("rbf", 0.25, 10.0)], rounds=8)
+    assert max(solved.gaps) < kernel_dual.TOLERANCE and solved.support.where("problem = 0").count() > 700
