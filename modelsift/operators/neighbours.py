@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..errors import ConfigurationError
 
 METRICS = ("euclidean", "manhattan", "minkowski")
-BLOCK_ROWS, CHUNK_ROWS, MAX_PIVOTS = 20_000, 20_000, 1024
+BLOCK_ROWS, CHUNK_ROWS, MAX_PIVOTS = 20_000, 5_000, 1024
 SLACK = 1e-9  # relative guard on the pruning bounds against rounding
 HITS = "query string, id string, distance double"
 
@@ -38,6 +38,35 @@ def _distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _closest(a: np.ndarray, b: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row of ``a``, row of ``b`` and distance of the ``k`` nearest, by distance, then place in ``b``.
+
+    Euclidean distances are first told by one matrix product; its rounding is bounded, so only the rows that may be among the nearest
+    within that bound are measured.
+    """
+    k = min(k, len(b))
+    if metric != "manhattan":
+        with np.errstate(over="ignore", invalid="ignore"):
+            aa, bb = (a * a).sum(1), (b * b).sum(1)
+            rough = aa[:, None] + bb - 2 * (a @ b.T)
+            slack = 16 * (a.shape[1] + 4) * np.finfo(float).eps * (aa + bb.max())
+        if np.isfinite(rough).all():
+            reach = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * slack
+            r, c = np.nonzero(rough <= reach[:, None])
+            d = np.empty(len(r))
+            step = max(1, 4_000_000 // max(1, a.shape[1]))
+            for i in range(0, len(r), step):
+                e = a[r[i : i + step]] - b[c[i : i + step]]
+                d[i : i + step] = np.sqrt((e * e).sum(-1))
+            order = np.lexsort((c, d, r))
+            first = np.searchsorted(r, np.arange(len(a)))  # r ascends, and so does r[order]
+            kept = order[np.arange(len(r)) - first[r] < k]
+            return r[kept], c[kept], d[kept]
+    d = _distances(a, b, metric)
+    top = np.argsort(d, axis=1, kind="stable")[:, :k]
+    return np.repeat(np.arange(len(a)), k), top.ravel(), np.take_along_axis(d, top, 1).ravel()
+
+
 def vector_key(x: Column) -> Column:
     return F.md5(F.to_json(x))
 
@@ -109,12 +138,8 @@ def _search(visits: DataFrame, train: DataFrame, sizes: dict[int, int], k: int,
         step = max(1, 2_000_000 // len(t))
         for i in range(0, len(q), step):
             part = q.iloc[i : i + step]
-            d = _distances(np.stack(part["qx"].to_numpy()), tx, metric)
-            top = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows are in id order, so ties go to the smaller id
-            out.append(pd.DataFrame({
-                "query": np.repeat(part["query"].to_numpy(), top.shape[1]), "id": ids[top.ravel()],
-                "distance": np.take_along_axis(d, top, 1).ravel(),
-            }))
+            r, c, d = _closest(np.stack(part["qx"].to_numpy()), tx, k, metric)  # rows are in id order, so ties go to the smaller id
+            out.append(pd.DataFrame({"query": part["query"].to_numpy()[r], "id": ids[c], "distance": d}))
         return pd.concat(out)
 
     return left.groupBy("qs", "qb", "qc").cogroup(right.groupBy("ts", "tb", "tc")).applyInPandas(best, HITS)

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
 from modelsift import errors
-from modelsift.operators import diagnostics, encode, impute, leakage, metrics, order_stats, outliers, running, scale, schema, select, split
+from modelsift.operators import diagnostics, encode, impute, leakage, metrics, neighbours, order_stats, outliers, running, scale, schema, select, split
 from modelsift.operators import profile as prof
 from modelsift.sources.tables import read_csv
 
@@ -346,3 +346,18 @@ def test_coefficient_ranking_uses_the_ratio(spark):
     t = frame(spark, [("a", -5.0), ("b", 0.1), ("c", 1.0)], "feature string, coefficient double")
     assert [r["feature"] for r in diagnostics.top_coefficients(t, 2).collect()] == ["a", "c"]
     assert [r["feature"] for r in diagnostics.top_coefficients(t, 2, odds_ratio=True).collect()] == ["b", "c"]
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e6])
+def test_closest_rows_are_measured_exactly(monkeypatch, shift):
+    """Same rows, order and digits as measuring all pairs, with copies, ties and far origins; few pairs are measured."""
+    rng = np.random.default_rng(1)
+    b = np.concatenate([rng.normal(size=(700, 16)), rng.integers(0, 2, (300, 16))]) + shift
+    b[500:520] = b[3]
+    a = np.concatenate([b[::40], rng.normal(size=(30, 16)) + shift])
+    d = neighbours._distances(a, b, "euclidean")
+    top = np.argsort(d, axis=1, kind="stable")[:, :7]
+    monkeypatch.setattr(neighbours, "_distances", None)
+    r, c, got = neighbours._closest(a, b, 7, "euclidean")
+    assert r.tolist() == np.repeat(np.arange(len(a)), 7).tolist() and c.tolist() == top.ravel().tolist()
+    assert got.tolist() == np.take_along_axis(d, top, 1).ravel().tolist()
