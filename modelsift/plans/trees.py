@@ -17,7 +17,7 @@ from .ensemble import TreeEnsemble
 from .registry import register_model
 from .tuning import Choice, IntRange, Search, random_search, tpe_search
 
-TREES_AT_ONCE = 500  # trees grown side by side; a row keeps four bytes for each
+TREES_AT_ONCE = 500  # trees grown side by side; a row keeps eight bytes for each once its places are written
 
 
 @register_model("both")
