@@ -8,6 +8,10 @@ tree.  Bag weights are a function of the row and the tree, so they lie inside th
 A node of up to ``SMALL`` rows leaves the passes: its rows are dealt out by ``(tree, node)`` once, and the task that gets them grows
 the subtree to its leaves by the same rules.  So passes follow the logarithm of the rows, not the depth of the trees.
 
+Rows of equal bins are one cell: they take every cut together, so only their number and label sums count.  Without bags the cells are
+made once for all trees; a bag weighs rows anew in every tree, so there the rows of a task are added up as they are dealt out.  Where
+the cells of all rows are few enough for one task, it grows a whole tree from them, whatever the number of rows.
+
 Node ids are those of a heap: the root is 1, the children of i are 2 i and 2 i + 1.  The node table is a Spark table.  Tasks get the
 cuts made so far and walk their rows down to the level in hand; when those pass ``NODES_AT_ONCE``, the places reached are written and
 the next cuts start from there, so driver and tasks never hold more than that many nodes.
@@ -33,7 +37,9 @@ from ..functions.scratch import scratch_path, settled
 
 NODES_AT_ONCE = 1_000_000  # nodes that the driver and a task hold at once; larger tables go in pieces
 SMALL = 100_000            # rows of the bag up to which one task grows the whole subtree of a node
+VALUES = 20                # cells times the features looked at, for each of SMALL, up to which one task grows a whole tree
 CELLS_AT_ONCE = 500_000    # sums that a task holds before it passes them on
+ROWS_AT_ONCE = 200_000     # rows that a task adds up at once
 DEEPEST = 30               # ids of deeper nodes would not fit 32 bits
 BINS = 64
 PURE = 1e-12               # an impurity up to here counts as zero
@@ -72,13 +78,14 @@ def bag_weight(h: Column, tree: int, seed: int) -> Column:
     return w
 
 
-def bag_weights(h: np.ndarray, specs: Sequence[TreeSpec]) -> np.ndarray:
-    """``bag_weight`` for rows x trees."""
-    out = np.ones((len(h), len(specs)), np.int64)
+def bag_weights(h: np.ndarray, specs: Sequence[TreeSpec], start: int = 0) -> np.ndarray:
+    """``bag_weight`` for rows x trees; the first of ``specs`` is that of tree ``start``."""
+    out = np.ones((len(h), len(specs)), np.int64, order="F")
+    h = h % PRIME
     for t, s in enumerate(specs):
         if s.bag:
-            a, b = _factors(s.seed, t)
-            out[:, t] = np.searchsorted(POISSON, ((h % PRIME) * a + b) % PRIME / float(PRIME), side="right")
+            a, b = _factors(s.seed, start + t)
+            out[:, t] = np.searchsorted(POISSON, (h * a + b) % PRIME / float(PRIME), side="right")
     return out
 
 
@@ -147,7 +154,7 @@ def _binned(cuts: list[list[float]]):
             bins = np.empty(x.shape, np.uint8)
             for i, c in enumerate(cuts):
                 bins[:, i] = np.searchsorted(c, x[:, i], side="left")
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([b.tobytes() for b in bins], pa.binary()), pa.array([b""] * len(bins), pa.binary())], names=["label", "h", "bins", "at"])
+            yield pa.record_batch([batch.column(0), batch.column(1), _packed(bins), _packed(bins[:, :0])], names=["label", "h", "bins", "at"])
 
     return run
 
@@ -155,16 +162,79 @@ def _binned(cuts: list[list[float]]):
 STATE = "label double, h bigint, bins binary, at binary"
 
 
+def distinct_rows(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each distinct row of integers, and for every row the number of its distinct one."""
+    codes = np.ascontiguousarray(codes)
+    n, size = len(codes), codes.shape[1] * codes.itemsize
+    if size <= 8:  # one number tells a row
+        flat = np.zeros((n, 8), np.uint8)
+        flat[:, :size] = codes.view(np.uint8).reshape(n, size)
+        key = flat.view(np.uint64).ravel()
+    else:
+        key = codes.view(np.dtype((np.void, size))).ravel()
+    _, first, kind = np.unique(key, return_index=True, return_inverse=True)
+    return first, kind.ravel()
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """A row of bytes each as binary values of equal length."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``ROWS_AT_ONCE`` rows; rows that carry places with them stay in their batches."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if len(batch.column("at")[0].as_py()):
+            yield batch
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= ROWS_AT_ONCE:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, rows = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _cells(width: int, classes: int):
+    """Number and label sums of the rows of equal bins, for trees that weigh all rows the same."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _gathered(batches):
+            bins, label = _bins(batch, width), batch.column("label").to_numpy(zero_copy_only=False)
+            one, kind = distinct_rows(bins)
+            columns = [np.bincount(kind, minlength=len(one)).astype(float), *[np.bincount(kind, s, len(one)) for s in _sums(label, np.ones(len(label)), classes)]]
+            yield pa.record_batch([_packed(bins[one]), *[pa.array(c) for c in columns]], names=["bins", "n", *[f"s{i}" for i in range(classes or 3)]])
+
+    return run
+
+
 STUCK, FEW, MANY = 0, 1, 2  # what comes of a node: a leaf, a subtree of one task, a cut of the next pass
 CODES = 4                   # a place is the id of a node times this, plus what comes of it
 
 
-def _read(batch: pa.RecordBatch, width: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Labels, hashes, bins and places (``first`` until places are written) of a batch."""
-    bins = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, width)
-    told = b"".join(batch.column(3).to_pylist())
+def _bins(batch: pa.RecordBatch | pa.Table, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch["bins"].to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _read(batch: pa.RecordBatch, width: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Bins and places (``first`` until places are written) of a batch, and whether places are written."""
+    told = b"".join(batch["at"].to_pylist())
     at = np.frombuffer(told, "<i8").reshape(-1, len(first)) if told else np.broadcast_to(first, (batch.num_rows, len(first)))
-    return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), bins, at
+    return _bins(batch, width), at, bool(told)
+
+
+def _counted(batch: pa.RecordBatch, specs: Sequence[TreeSpec], classes: int, start: int = 0):
+    """Which rows the bags of ``specs`` hold (rows x trees), and the row count and label sums of given places of rows and trees."""
+    if "h" in batch.schema.names:
+        label, weights = batch["label"].to_numpy(zero_copy_only=False), bag_weights(batch["h"].to_numpy(), specs, start)
+        return weights > 0, lambda r, tree: [np.ones(len(r)), *_sums(label[r], weights[r, tree], classes)]
+    held = [batch[c].to_numpy() for c in ["n", *[f"s{i}" for i in range(classes or 3)]]]
+    return np.broadcast_to(True, (batch.num_rows, len(specs))), lambda r, tree: [c[r] for c in held]
 
 
 # --- one level
@@ -181,7 +251,10 @@ def _roots(specs: Sequence[TreeSpec], classes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(specs), 1 + (classes or 3)))
         for batch in batches:
-            label, h = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            if "h" not in batch.schema.names:
+                total += [batch[c].to_numpy().sum() for c in ["n", *[f"s{i}" for i in range(classes or 3)]]]
+                continue
+            label, h = batch["label"].to_numpy(zero_copy_only=False), batch["h"].to_numpy()
             w = bag_weights(h, specs)
             total[:, 0] += (w > 0).sum(0)
             for i, s in enumerate(_sums(label[:, None], w, classes)):
@@ -226,10 +299,10 @@ def _histograms(specs: Sequence[TreeSpec], width: int, bins: int, classes: int,
         for batch in batches:
             if not batch.num_rows:
                 continue
-            label, h, binned, at = _read(batch, width, first)
-            at, weights = _placed(at, binned, held), bag_weights(h, specs)
+            binned, at, _ = _read(batch, width, first)
+            at, (present, counts) = _placed(at, binned, held), _counted(batch, specs, classes)
             for t in np.unique(tries).tolist():
-                r, tree = np.nonzero((at >= CODES << level) & (at % CODES == MANY) & (weights > 0) & (tries == t))
+                r, tree = np.nonzero((at >= CODES << level) & (at % CODES == MANY) & present & (tries == t))
                 if not len(r):
                     continue
                 key, own = np.unique(tree.astype(np.int64) << 32 | at[r, tree] // CODES, return_inverse=True)
@@ -238,9 +311,7 @@ def _histograms(specs: Sequence[TreeSpec], width: int, bins: int, classes: int,
                 f = looked[own]                                        # row of a node x feature place
                 cell = ((own[:, None] * t + np.arange(t)) * bins + binned[r[:, None], f]).ravel()
                 places, cell = np.unique(cell, return_inverse=True) if len(key) * t * bins > 4 * len(cell) else (np.arange(len(key) * t * bins), cell)
-                w = weights[r, tree]
-                columns = [np.bincount(cell, minlength=len(places)).astype(np.float64)]
-                columns += [np.bincount(cell, np.repeat(s, t), len(places)) for s in _sums(label[r], w, classes)]
+                columns = [np.bincount(cell, np.repeat(v, t), len(places)) for v in counts(r, tree)]
                 hit = np.flatnonzero(columns[0])
                 node, rest = np.divmod(places[hit], t * bins)
                 yield pa.record_batch(
@@ -251,14 +322,15 @@ def _histograms(specs: Sequence[TreeSpec], width: int, bins: int, classes: int,
     return lambda batches: _folded(run(batches))
 
 
-def _placed(at: np.ndarray, bins: np.ndarray, held: list[dict[str, np.ndarray]], least: int = MANY) -> np.ndarray:
-    """Rows at a cut node go down to the last child that ``held`` tells of; only nodes from ``least`` on are looked up."""
+def _placed(at: np.ndarray, bins: np.ndarray, held: list[dict[str, np.ndarray]], least: int = MANY, start: int = 0) -> np.ndarray:
+    """Rows at a cut node go down to the last child that ``held`` tells of; only nodes from ``least`` on are looked up.  The first column
+    is that of tree ``start``."""
     at = at.astype(np.int64)
     for chunk in held:
         r, tree = np.nonzero(at % CODES >= least)
         while len(r):  # a turn a level
             node = at[r, tree] // CODES
-            key = tree.astype(np.int64) << 32 | node
+            key = tree.astype(np.int64) + start << 32 | node
             spot = np.minimum(np.searchsorted(chunk["key"], key), len(chunk["key"]) - 1)
             hit = chunk["key"][spot] == key
             r, tree, c = r[hit], tree[hit], spot[hit]
@@ -272,9 +344,10 @@ def _placed(at: np.ndarray, bins: np.ndarray, held: list[dict[str, np.ndarray]],
 def _advance(held: list[dict[str, np.ndarray]], width: int, first: np.ndarray, least: int = MANY):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, _, bins, at = _read(batch, width, first)
-            at = _placed(at, bins, held, least).astype("<i8")
-            yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([v.tobytes() for v in at], pa.binary())], names=["label", "h", "bins", "at"])
+            if batch.num_rows:
+                bins, at, _ = _read(batch, width, first)
+                at = _placed(at, bins, held, least).astype("<i8")
+                yield batch.set_column(batch.schema.names.index("at"), "at", pa.array([v.tobytes() for v in at], pa.binary()))
 
     return run
 
@@ -282,21 +355,33 @@ def _advance(held: list[dict[str, np.ndarray]], width: int, first: np.ndarray, l
 # --- subtrees of one task
 
 
-def _dealt(specs: Sequence[TreeSpec], width: int, held: list[dict], first: np.ndarray):
-    """The rows of every small node, a row per tree that holds them there."""
+def _dealt(specs: Sequence[TreeSpec], width: int, classes: int, held: list[dict], first: np.ndarray):
+    """The rows of every small node, those of a task with equal bins added up for each tree that holds them there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label, h, bins, at = _read(batch, width, first)
-            at, weights = _placed(at, bins, held), bag_weights(h, specs)
-            r, tree = np.nonzero((at % CODES == FEW) & (weights > 0))
-            for i in range(0, len(r), CELLS_AT_ONCE):
-                a, t = r[i:i + CELLS_AT_ONCE], tree[i:i + CELLS_AT_ONCE]
-                flat = pa.py_buffer(np.ascontiguousarray(bins[a]).tobytes())
-                ends = pa.py_buffer(np.arange(0, len(a) * width + 1, max(width, 1), dtype=np.int32)[: len(a) + 1].tobytes())
+        for batch in _gathered(batches):
+            bins, at, written = _read(batch, width, first)
+            one, kind = distinct_rows(bins)
+            step = max(1, CELLS_AT_ONCE // batch.num_rows)
+            for t in range(0, len(specs), step):
+                present, counts = _counted(batch, specs[t:t + step], classes, t)
+                if written or held:
+                    place = _placed(at[:, t:t + step], bins, held, start=t)
+                    r, tree = np.nonzero((place % CODES == FEW) & present)
+                    key, node = np.unique(tree.astype(np.int64) + t << 32 | place[r, tree] // CODES, return_inverse=True)
+                else:  # all rows of a tree are at its root
+                    r, tree = np.nonzero(present & (first[t:t + step] % CODES == FEW))
+                    key, node = np.arange(t, t + present.shape[1], dtype=np.int64) << 32 | first[t:t + step] // CODES, tree
+                if not len(r):
+                    continue
+                cell = node * len(one) + kind[r]
+                places, cell = np.unique(cell, return_inverse=True) if len(key) * len(one) > 4 * len(cell) else (np.arange(len(key) * len(one)), cell)
+                columns = [np.bincount(cell, v, len(places)) for v in counts(r, tree)]
+                hit = np.flatnonzero(columns[0])
+                node, own = np.divmod(places[hit], len(one))
                 yield pa.record_batch(
-                    [pa.array(t.astype(np.int32)), pa.array((at[a, t] // CODES).astype(np.int32)), pa.array(label[a]), pa.array(weights[a, t].astype(np.int8)), pa.Array.from_buffers(pa.binary(), len(a), [None, ends, flat])],
-                    names=["tree", "id", "label", "w", "bins"],
+                    [pa.array((key[node] >> 32).astype(np.int32)), pa.array((key[node] & 0xFFFFFFFF).astype(np.int32)), _packed(bins[one[own]]), *[pa.array(c[hit]) for c in columns]],
+                    names=["tree", "id", "bins", "n", *[f"s{i}" for i in range(classes or 3)]],
                 )
 
     return run
@@ -322,16 +407,14 @@ def _below(values: np.ndarray, start: np.ndarray, run: np.ndarray) -> np.ndarray
 
 
 def _subtree(specs: Sequence[TreeSpec], width: int, bins: int, classes: int, scale: Sequence[float]):
-    """All cuts below one node, from its rows, by the rules of the passes: level by level, over the nodes of a level at once."""
+    """All cuts below one node, from its cells, by the rules of the passes: level by level, over the nodes of a level at once."""
     names = ["n", *[f"s{i}" for i in range(classes or 3)]]
 
     def run(group: pa.Table) -> pa.Table:
         tree, top = group["tree"][0].as_py(), group["id"][0].as_py()
         spec, level = specs[tree], top.bit_length() - 1
         t = spec.tries or width
-        x = np.frombuffer(b"".join(group["bins"].to_pylist()), np.uint8).reshape(-1, width)
-        weight = group["w"].to_numpy().astype(float)
-        sums = _sums(group["label"].to_numpy(), weight, classes)
+        x, sums = _bins(group, width), [group[c].to_numpy() for c in names]
         rows, own, ids, found = np.arange(len(x)), np.zeros(len(x), np.int64), np.array([top], np.int64), []
 
         def goes_on(n: np.ndarray, s: list[np.ndarray], depth: int) -> np.ndarray:
@@ -345,11 +428,10 @@ def _subtree(specs: Sequence[TreeSpec], width: int, bins: int, classes: int, sca
             cell = ((own[:, None] * t + np.arange(t)) * bins + x[rows[:, None], looked[own]]).ravel()
             if len(ids) * t * bins > 8 * len(cell):
                 hit, cell = np.unique(cell, return_inverse=True)
-                columns = [np.bincount(cell, minlength=len(hit)).astype(float)] + [np.bincount(cell, np.repeat(s[rows], t), len(hit)) for s in sums]
+                columns = [np.bincount(cell, np.repeat(s[rows], t), len(hit)) for s in sums]
             else:
-                n = np.bincount(cell, minlength=len(ids) * t * bins)
-                hit = np.flatnonzero(n)
-                columns = [n[hit].astype(float)] + [np.bincount(cell, np.repeat(s[rows], t), len(n))[hit] for s in sums]
+                hit = np.flatnonzero(np.bincount(cell, minlength=len(ids) * t * bins))
+                columns = [np.bincount(cell, np.repeat(s[rows], t), len(ids) * t * bins)[hit] for s in sums]
             place = hit // bins
             start = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
             part = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(hit)]))
@@ -456,17 +538,24 @@ def grow(frame: DataFrame, specs: Sequence[TreeSpec], classes: int, label: str =
     """Grow one tree per spec.  ``classes`` 0 is regression.  A node splits at the cut of largest weighted impurity decrease (ties, for
     means to nine digits: smallest feature, then smallest cut) among those that leave ``min_leaf`` rows of the bag on both sides; it stays a leaf when it
     is pure, at the depth limit, or has fewer than ``min_split`` rows of the bag.  Rows are counted, not weighted, in both minima.
-    Missing values (NaN) go right.  Rows without a label are left out."""
+    Missing values (NaN) go right.  Rows without a label are left out.  ``row`` is read where some tree has a bag."""
     specs = list(specs)
+    bagged = any(s.bag for s in specs)
     trees, k = len(specs), classes or 3
     spark = frame.sparkSession
     usable = frame.where(F.col(label).isNotNull() & ~F.isnan(F.col(label)))
     cuts = bin_cuts(usable, features, bins)
     width, most_bins = len(cuts), max((len(c) for c in cuts), default=0) + 1
     scale = [float(v) for v in class_weights] if class_weights else [1.0] * k
-    start = usable.select(F.col(label).cast("double").alias("label"), hash60([row], 0).alias("h"), vector_to_array(F.col(features)).alias("x"))
-    state = start.mapInArrow(_binned(cuts), STATE).persist(StorageLevel.MEMORY_AND_DISK)
+    h = hash60([row], 0) if bagged else F.lit(0).cast("bigint")
+    rows = usable.select(F.col(label).cast("double").alias("label"), h.alias("h"), vector_to_array(F.col(features)).alias("x")).mapInArrow(_binned(cuts), STATE)
     names = [f"s{i}" for i in range(k)]
+    told = "n double, " + ", ".join(f"{s} double" for s in names)
+    shape, state = STATE, rows
+    if not bagged:
+        added = rows.mapInArrow(_cells(width, classes), f"bins binary, {told}").groupBy("bins").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+        shape, state = f"{told}, bins binary, at binary", added.select("n", *names, "bins", F.lit(b"").alias("at"))
+    state = state.persist(StorageLevel.MEMORY_AND_DISK)
     rules = F.broadcast(spark.createDataFrame([(t, s.min_leaf, s.min_split, min(s.max_depth, DEEPEST), s.criterion) for t, s in enumerate(specs)], "tree int, min_leaf int, min_split int, max_depth int, criterion string"))
 
     def scaled(prefix: str) -> list[Column]:
@@ -476,12 +565,16 @@ def grow(frame: DataFrame, specs: Sequence[TreeSpec], classes: int, label: str =
         splits = (F.col(n) >= F.col("min_split")) & (F.col(n) >= 2 * F.col("min_leaf")) & (F.col("max_depth") > depth) & (impurity(scaled(prefix), F.col("criterion"), classes) > PURE)
         return F.when(splits & (F.col(n) <= SMALL), FEW).when(splits, MANY).otherwise(STUCK)
 
-    roots = state.mapInArrow(_roots(specs, classes), "tree int, n double, " + ", ".join(f"{s} double" for s in names))
+    roots = state.mapInArrow(_roots(specs, classes), f"tree int, {told}")
     roots = roots.groupBy("tree").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).where("n > 0")
     roots = settled(roots.join(rules, "tree").select("tree", F.lit(1).alias("id"), "n", *names, comes_of("n", "s", 0).alias("go"), "criterion"), "roots")
     first = np.full(trees, CODES + STUCK, np.int64)
     for r in roots.select("tree", "go").collect():  # one row a tree
         first[r["tree"]] = CODES + r["go"]
+    if (first % CODES == MANY).any():
+        cells = (state.select("bins").distinct() if bagged else state).count()
+        if cells * max(s.tries or width for s in specs) <= VALUES * SMALL:
+            first[first % CODES == MANY] = CODES + FEW
     by_feature = Window.partitionBy("tree", "id", "feature")
     below, whole = by_feature.orderBy("bin"), by_feature.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sides = [(_weight(scaled(p), classes), impurity(scaled(p), F.col("criterion"), classes)) for p in ("ls", "rs")]
@@ -497,7 +590,7 @@ def grow(frame: DataFrame, specs: Sequence[TreeSpec], classes: int, label: str =
     levels = min(DEEPEST, max((s.max_depth for s in specs), default=0)) if large else 0
     cuts_made, small = None, None
     for level in range(levels):
-        part = state.mapInArrow(_histograms(specs, width, most_bins, classes, level, held, first), "tree int, id int, feature int, bin int, n double, " + ", ".join(f"{s} double" for s in names))
+        part = state.mapInArrow(_histograms(specs, width, most_bins, classes, level, held, first), f"tree int, id int, feature int, bin int, {told}")
         cells = part.groupBy("tree", "id", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("n", *names)]).repartition("tree", "id")
         run = cells.select("tree", "id", "feature", "bin", *[F.sum(c).over(below).alias(f"l{c}") for c in ("n", *names)], *[F.sum(c).over(whole).alias(f"t{c}") for c in ("n", *names)])
         run = run.select("tree", "id", "feature", "bin", *[F.col(f"l{c}") for c in ("n", *names)], *[(F.col(f"t{c}") - F.col(f"l{c}")).alias(f"r{c}") for c in ("n", *names)])
@@ -508,7 +601,7 @@ def grow(frame: DataFrame, specs: Sequence[TreeSpec], classes: int, label: str =
         cuts_made, alive = T.StructType([*cut.schema, T.StructField("level", T.IntegerType())]), False
         for chunk in pieces(spark.read.schema(cut.schema).parquet(f"{found}/level={level}"), ["feature", "bin", "left", "right"]):
             if sum(len(c["key"]) for c in held) + len(chunk["key"]) > NODES_AT_ONCE and held:
-                state, old = settled(state.mapInArrow(_advance(held, width, first), STATE), "places"), state
+                state, old = settled(state.mapInArrow(_advance(held, width, first), shape), "places"), state
                 old.unpersist()
                 held = []
             held.append(chunk)
@@ -519,9 +612,11 @@ def grow(frame: DataFrame, specs: Sequence[TreeSpec], classes: int, label: str =
     if cuts_made is not None:
         cuts_made = spark.read.schema(cuts_made).parquet(found)
     if some:
-        rows = state.mapInArrow(_dealt(specs, width, held, first), "tree int, id int, label double, w tinyint, bins binary")
-        shape = "tree int, criterion string, id int, feature int, bin int, " + ", ".join(f"{c} double" for c in both) + ", left int, right int, level int"
-        small = settled(rows.groupBy("tree", "id").applyInArrow(_subtree(specs, width, most_bins, classes, scale), shape), "subtrees")
+        dealt = state.mapInArrow(_dealt(specs, width, classes, held, first), f"tree int, id int, bins binary, {told}")
+        # a task has added up its own rows: what is left to add comes together where the subtree is grown
+        dealt = dealt.repartition("tree", "id").groupBy("tree", "id", "bins").agg(*[F.sum(c).alias(c) for c in ("n", *names)])
+        cut_shape = "tree int, criterion string, id int, feature int, bin int, " + ", ".join(f"{c} double" for c in both) + ", left int, right int, level int"
+        small = settled(dealt.groupBy("tree", "id").applyInArrow(_subtree(specs, width, most_bins, classes, scale), cut_shape), "subtrees")
         cuts_made = small if cuts_made is None else cuts_made.unionByName(small)
 
     threshold = F.get(F.get(F.lit([[float(v) for v in c] or [0.0] for c in cuts] or [[0.0]]), F.col("feature")), F.col("cut_bin"))
@@ -538,7 +633,11 @@ def grow(frame: DataFrame, specs: Sequence[TreeSpec], classes: int, label: str =
         F.col("n").cast("bigint").alias("n"), F.array(*scaled("s")).alias("sums"), impurity(scaled("s"), F.col("criterion"), classes).alias("impurity"), _weight(scaled("s"), classes).alias("weight"),
         F.when(inner, F.col("id") * 2).otherwise(-1).alias("left"), F.when(inner, F.col("id") * 2 + 1).otherwise(-1).alias("right"),
     )
-    return Grown(settled(table, "nodes"), state, held, specs, classes, width, first, small)
+    nodes = settled(table, "nodes")
+    if not bagged:  # rows are walked by themselves, from the root, and only where votes are asked for
+        state.unpersist()
+        state, held, small = rows, [], cuts_made
+    return Grown(nodes, state, held, specs, classes, width, first, small)
 
 
 def outcome(classes: int) -> Column:
@@ -558,18 +657,21 @@ def _votes(chunk: dict[str, np.ndarray], held: list[dict], specs: Sequence[TreeS
     trees = len(specs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, h, bins, at = _read(batch, width, first)
-            key = np.arange(trees, dtype=np.int64) << 32 | _placed(at, bins, held, FEW) // CODES
-            spot = np.minimum(np.searchsorted(chunk["key"], key), len(chunk["key"]) - 1)
-            hit = chunk["key"][spot] == key
-            if unseen:
-                hit &= bag_weights(h, specs) == 0
-            votes = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<f8").reshape(-1, out + 1).copy()
-            r, t = np.nonzero(hit)
-            np.add.at(votes[:, 0], r, 1)
-            for c in range(out):
-                np.add.at(votes[:, 1 + c], r, chunk["says"][spot[r, t], c])
+        for batch in _gathered(batches):
+            h, (bins, at, written) = batch["h"].to_numpy(), _read(batch, width, first)
+            # rows of equal bins that start from the same places end in the same leaves
+            one, kind = (np.arange(len(h)),) * 2 if written else distinct_rows(bins)
+            votes = np.frombuffer(b"".join(batch["votes"].to_pylist()), "<f8").reshape(-1, out + 1).copy()
+            step = max(1, CELLS_AT_ONCE // len(h))
+            for start in range(0, trees, step):
+                key = np.arange(start, min(start + step, trees), dtype=np.int64) << 32 | _placed(at[one, start:start + step], bins[one], held, FEW, start) // CODES
+                spot = np.minimum(np.searchsorted(chunk["key"], key), len(chunk["key"]) - 1)
+                hit = chunk["key"][spot] == key
+                unbagged = bag_weights(h, specs[start:start + step], start) == 0 if unseen else np.ones((len(h), key.shape[1]), bool)
+                for t in range(key.shape[1]):
+                    r = np.flatnonzero(unbagged[:, t] & hit[kind, t])
+                    votes[r, 0] += 1
+                    votes[r, 1:] += chunk["says"][spot[kind[r], t]]
             yield pa.record_batch([*batch.columns[:4], pa.array([v.tobytes() for v in votes], pa.binary())], names=["label", "h", "bins", "at", "votes"])
 
     return run
