@@ -28,6 +28,7 @@ class DecisionTree(Candidate):
     """
 
     name = "Decision Tree"
+    keyed = False  # no bag reads the key
     # fixed values: the default search lists
     defaults = {
         "max_depth": [None, 5, 10, 20], "min_samples_split": [2, 5, 10], "min_samples_leaf": [1, 2, 4], "ccp_alpha": [0.0, 0.001, 0.01, 0.1],
@@ -77,7 +78,8 @@ class DecisionTree(Candidate):
         cuts = [Cut(place[s["min_samples_leaf"], s["criterion"]], s["max_depth"], s["min_samples_split"], s["ccp_alpha"]) for s in settings]
         says = grown.nodes.select("tree", F.col("id").alias("end"), prediction(classes, outcome(classes)).alias("p"))
         found = ends(grown.nodes, cuts).join(says, ["tree", "end"])
-        reached = TreeEnsemble.of(grown.nodes, len(specs), classes).leaves(valid.select(LABEL, FEATURES)).select(F.col(LABEL).alias("y"), F.posexplode("leaves").alias("tree", "leaf"))
+        # outer: no filter on the size of the list, which would walk the rows a second time
+        reached = TreeEnsemble.of(grown.nodes, len(specs), classes).leaves(valid.select(LABEL, FEATURES)).select(F.col(LABEL).alias("y"), F.posexplode_outer("leaves").alias("tree", "leaf"))
         if classes:
             counts = reached.groupBy("tree", "leaf", "y").agg(F.count(F.lit(1)).alias("n"))
             score = F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)) / F.sum("n")

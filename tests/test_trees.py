@@ -7,6 +7,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -297,3 +298,65 @@ def test_listed_leaves_add_what_all_points_add(monkeypatch, out):
     monkeypatch.setattr(shapley, "CELLS", 0)
     monkeypatch.setattr(shapley, "_listed", lambda *a: False)
     assert got == pytest.approx(shapley.contributions(x, groups, out), abs=1e-12)
+
+
+@pytest.mark.parametrize("classes,bag", [(3, True), (0, True), (2, False), (0, False)])
+def test_rows_of_equal_bins_grow_as_cells(spark, monkeypatch, classes, bag):
+    """Many rows of few cells need no pass, and a task gets the cells of a tree and not its rows."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 4, (1_000, 2)).astype(float)
+    x[::50, 1] = np.nan
+    y = (x[:, 0] + rng.integers(0, 3, len(x))) % (classes or 7)
+    df = frame(spark, x, y).repartition(2)
+    spec = TreeSpec(max_depth=5, min_leaf=3, criterion="gini" if classes else "variance", tries=1 if bag else 0, bag=bag)
+    told = []
+    for small, values in ((100_000, 20), (60, 20), (60, 0)):  # one task by rows, one task by cells, passes
+        made = []
+        histograms = growth._histograms
+        with monkeypatch.context() as m:
+            m.setattr(growth, "SMALL", small)
+            m.setattr(growth, "VALUES", values)
+            m.setattr(growth, "_histograms", lambda *a: made.append(a) or histograms(*a))
+            grown = growth.grow(df, [spec] * 3, classes)
+            told.append({(r["tree"], r["id"]): (r["feature"], r["cut_bin"], r["n"]) for r in grown.nodes.collect()})
+            state = grown.state.select("label", "h", "bins", "at")
+            first = np.full(3, growth.CODES + growth.FEW, np.int64)
+            dealt = state.mapInArrow(growth._dealt([spec] * 3, 2, classes, [], first), "tree int, id int, bins binary, n double, " + ", ".join(f"s{i} double" for i in range(classes or 3)))
+            sizes = {r["tree"]: (r["cells"], r["rows"]) for r in dealt.groupBy("tree").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("rows")).collect()}
+            assert all(cells <= 2 * 20 and rows > 550 for cells, rows in sizes.values()) and len(sizes) == 3
+            assert bool(made) == (values == 0)
+            grown.release()
+    assert told[0] == told[1] == told[2]
+
+
+def test_pruning_of_whole_trees_equals_bands(spark, monkeypatch):
+    x, y = table(400, 4, 3, 2)
+    grown = growth.grow(frame(spark, x, y), [TreeSpec(), TreeSpec(min_leaf=5, max_depth=9)], 2)
+    cuts = [contraction.Cut(t, d, m, a) for t in (0, 1) for d, m, a in ((None, 2, 0.0), (4, 2, 0.001), (None, 30, 0.0), (None, 2, 0.005), (None, 2, 5.0))]
+    told, written = [], []
+    settled = contraction.settled
+    monkeypatch.setattr(contraction, "settled", lambda d, kind: written.append(kind) or settled(d, kind))
+    monkeypatch.setattr(contraction, "BAND", 2)
+    for whole in (1_000_000, 0):
+        monkeypatch.setattr(contraction, "WHOLE", whole)
+        told.append({tuple(r) for r in contraction.ends(grown.nodes, cuts).select("setting", "tree", "leaf", "end").collect()})
+        assert bool(written) == (whole == 0)
+    assert told[0] == told[1] and len({e for _, _, _, e in told[0]}) > 10
+    grown.release()
+
+
+def test_rows_between_the_same_thresholds_are_walked_once(spark, monkeypatch):
+    x, y = table(300, 3, 1, 2)
+    grown = growth.grow(frame(spark, x, y), [TreeSpec(max_depth=2), TreeSpec(max_depth=2, bag=True)], 2)
+    inner, leaves = TreeEnsemble.of(grown.nodes, 2, 2)._steps()
+    walked, walk = [], ensemble._walked
+    monkeypatch.setattr(ensemble, "_walked", lambda c, rows, at: walked.append(len(rows)) or walk(c, rows, at))
+    rows = pa.array([*x.tolist(), *x.tolist()], pa.list_(pa.float64()))
+    score = ensemble._whole(inner, leaves, 2, 2).func
+    first, again = score(rows).to_pylist(), score(rows).to_pylist()
+    assert first == again and first[: len(x)] == first[len(x):] and len(walked) == 1 and walked[0] <= 7 ** 3 and walked[0] < len(x)
+    monkeypatch.setattr(ensemble, "KNOWN", 1)
+    assert ensemble._whole(inner, leaves, 2, 2).func(rows).to_pylist() == first
+    monkeypatch.setattr(ensemble, "NODES_AT_ONCE", 4)
+    deep = grown.nodes.where("left >= 0").select("depth").distinct().count()
+    assert 1 <= len(list(TreeEnsemble.of(grown.nodes, 2, 2)._steps()[0])) <= deep
